@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradus.llm import bpe, chat, simhash
+from gradus.llm import bpe, chat, language, simhash, weighted
+from gradus.llm.sampling import held_out
 from gradus.llm.tables import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -20,6 +21,11 @@ def query(f):
     return f
 
 
+@query
+def op1_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weighted.compare_edited(read(spark, sf_dir, "documents"), samples=128, shingle=5)
+
+
 @query
 def op2_chat_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.render(read(spark, sf_dir, "conversations"))
@@ -28,6 +34,14 @@ def op2_chat_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE["op2_chat_collapse"] = chat.ORACLE_SQL
 
 
+@query
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    net = language.fit(docs.where(~held_out(F.col("doc_id"))), each=600)
+    found = language.predict(docs, net)
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 @query
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
