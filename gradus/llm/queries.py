@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradus.llm import bpe, chat, language, simhash, weighted
+from gradus.llm import bpe, chat, language, quality, simhash, weighted
 from gradus.llm.sampling import held_out
 from gradus.llm.tables import read
 
@@ -34,6 +34,14 @@ def op2_chat_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE["op2_chat_collapse"] = chat.ORACLE_SQL
 
 
+@query
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    machine = quality.fit(docs, labels.where(~held_out(F.col("doc_id"))), "quality", ["n_chars"], each=1500)
+    found = quality.score(docs, machine, ["n_chars"])
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 @query
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
