@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradus.llm import bpe, chat, language, mixing, quality, simhash, weighted
+from gradus.llm import bpe, chat, language, links, mixing, quality, simhash, weighted
 from gradus.llm.sampling import held_out
 from gradus.llm.tables import read
 
@@ -42,6 +42,14 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
+
+
+@query
+def op4_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return links.judge(read(spark, sf_dir, "pages"), RULES).drop("trust", "distrust")
+
+
 @query
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
