@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradus.llm import bpe, chat, language, links, mixing, pii, quality, simhash, weighted
+from gradus.llm import bpe, chat, language, links, mixing, pii, quality, simhash, vectors, weighted
 from gradus.llm.sampling import held_out
 from gradus.llm.tables import read
 
@@ -70,6 +70,11 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(read(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, digests=True)
 
 
+@query
+def op8_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(read(spark, sf_dir, "embeddings"), least=0.93)
+
+
 @query
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
