@@ -2,8 +2,9 @@
 
 Merging always takes the pair of lowest rank, the leftmost among equals. Open
 pairs wait in one bucket per merge rank, which holds their positions in a linked
-list of parts. A bitmap of three levels says which buckets are filled, so that
-find-first-set yields the next rank in a few steps. A merge leaves the pairs it
+list of parts. A bitmap of two levels says which buckets are filled: a bit for
+each of 256 ranks in a word, and a bit for each word. Find-first-set on both
+yields the next rank. A merge leaves the pairs it
 destroyed where they are; they are recognised as stale when they come up. A
 pre-token of n bytes takes O(n log n), whatever its length.
 
@@ -16,6 +17,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from heapq import heappop, heappush
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -30,43 +32,12 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in lines if line.strip())}
 
 
-class RankQueue:
-    """Positions by rank; pops the lowest rank, and within it the lowest position."""
-
-    def __init__(self, ranks: int):
-        self.buckets: dict[int, list[int]] = {}
-        n = max(1, -(-ranks // 64))
-        self.low = [0] * n
-        self.mid = [0] * -(-n // 64)
-        self.top = 0
-
-    def push(self, rank: int, at: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket is None:
-            self.buckets[rank] = [at]
-            i, j = rank >> 6, rank >> 12
-            self.low[i] |= 1 << (rank & 63)
-            self.mid[j] |= 1 << (i & 63)
-            self.top |= 1 << j
-        else:
-            heappush(bucket, at)
-
-    def pop(self) -> tuple[int, int] | None:
-        if not self.top:
-            return None
-        j = (self.top & -self.top).bit_length() - 1
-        i = j << 6 | (self.mid[j] & -self.mid[j]).bit_length() - 1
-        rank = i << 6 | (self.low[i] & -self.low[i]).bit_length() - 1
-        bucket = self.buckets[rank]
-        at = heappop(bucket)
-        if not bucket:
-            del self.buckets[rank]
-            self.low[i] &= self.low[i] - 1
-            if not self.low[i]:
-                self.mid[j] &= self.mid[j] - 1
-                if not self.mid[j]:
-                    self.top &= self.top - 1
-        return rank, at
+def _add(buckets: dict, rank: int, at: int) -> None:
+    held = buckets[rank]
+    if type(held) is int:
+        buckets[rank] = [min(held, at), max(held, at)]
+    else:
+        heappush(held, at)
 
 
 class Encoder(dict):
@@ -75,55 +46,85 @@ class Encoder(dict):
     Remembers up to ``memory`` pre-tokens of moderate length, then starts anew.
     """
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, memory: int = 300_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, memory: int = 400_000):
         super().__init__()
         self.ranks, self.find, self.memory = ranks, regex.compile(pattern).findall, memory
-        self.queue = RankQueue(max(ranks.values(), default=0) + 1)
         self.longest = max(map(len, ranks), default=1)
         size = max(ranks.values(), default=-1) + 1
+        self.low = [0] * -(-size // 256)  # one bit per filled bucket; empty again after every pre-token
         self.tokens = [b""] * size
         for token, rank in ranks.items():
             self.tokens[rank] = token
 
     def merge(self, piece: bytes) -> list[int]:
-        whole = self.ranks.get(piece)
+        """The ids of one pre-token.
+
+        ``end[i]`` is where the part that starts at i ends, ``before[i]`` where
+        the part before it starts, and ``open_at[i]`` the rank of the pair that
+        starts at i, -1 if it has none. A bucket is one position, or a heap of them.
+        """
+        get = self.ranks.get
+        whole = get(piece)
         if whole is not None:
             return [whole]
-        ranks, queue, n, longest = self.ranks, self.queue, len(piece), self.longest
-        # end[i]: where the part that starts at i ends, 0 once it has been merged away
-        end = list(range(1, n + 1))
-        before = list(range(-1, n))
+        n, longest, low, top, buckets = len(piece), self.longest, self.low, 0, {}
+        end, before, open_at = list(range(1, n + 1)), list(range(-1, n)), [-1] * n
         for i in range(n - 1):
-            rank = ranks.get(piece[i : i + 2])
+            rank = get(piece[i : i + 2])
             if rank is not None:
-                queue.push(rank, i)
-        while (entry := queue.pop()) is not None:
-            rank, i = entry
-            j = end[i]
-            if not j or j >= n or ranks.get(piece[i : end[j]]) != rank:
+                open_at[i] = rank
+                if rank in buckets:
+                    _add(buckets, rank, i)
+                else:
+                    buckets[rank] = i
+                    low[rank >> 8] |= 1 << (rank & 255)
+                    top |= 1 << (rank >> 8)
+        while top:
+            word = (top & -top).bit_length() - 1
+            bits = low[word]
+            rank = word << 8 | (bits & -bits).bit_length() - 1
+            i = buckets[rank]
+            if type(i) is list:
+                i = heappop(at := i)
+                done = not at
+            else:
+                done = True
+            if done:
+                del buckets[rank]
+                low[word] = bits = bits & (bits - 1)
+                if not bits:
+                    top &= top - 1
+            if open_at[i] != rank:
                 continue  # stale
+            j = end[i]
             stop = end[i] = end[j]
-            end[j] = 0
+            open_at[i] = open_at[j] = -1
             if stop < n:
                 before[stop] = i
-                if end[stop] - i <= longest:
-                    rank = ranks.get(piece[i : end[stop]])
-                    if rank is not None:
-                        queue.push(rank, i)
-            h = before[i]
-            if h >= 0 and stop - h <= longest:
-                rank = ranks.get(piece[h:stop])
-                if rank is not None:
-                    queue.push(rank, h)
+            for h, to in ((before[i], stop), (i, end[stop] if stop < n else 0)):
+                if h < 0 or not to:
+                    continue
+                rank = get(piece[h:to]) if to - h <= longest else None
+                if rank is None:
+                    open_at[h] = -1
+                    continue
+                open_at[h] = rank
+                if rank in buckets:
+                    _add(buckets, rank, h)
+                else:
+                    buckets[rank] = h
+                    low[rank >> 8] |= 1 << (rank & 255)
+                    top |= 1 << (rank >> 8)
         out, i = [], 0
         while i < n:
-            out.append(ranks[piece[i : end[i]]])
+            out.append(get(piece[i : end[i]]))
             i = end[i]
         return out
 
     def __missing__(self, token: str) -> bytes:
         piece = token.encode("utf-8", "surrogatepass")
-        ids = np.array(self.merge(piece), "<u4").tobytes()
+        found = self.merge(piece)
+        ids = pack(f"<{len(found)}I", *found)
         if len(piece) <= 64:
             if len(self) >= self.memory:
                 self.clear()
