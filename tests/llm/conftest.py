@@ -14,3 +14,20 @@ def spark():
     )
     session.sparkContext.setLogLevel("ERROR")
     return session
+
+
+@pytest.fixture(scope="session")
+def docs_of(spark):
+    """Makes a documents table of texts, or of (doc_id, text, lang, source), with extra columns of clashing names."""
+
+    def make(rows):
+        full = [(i, r, "en", f"src{i % 3}") if r is None or isinstance(r, str) else r for i, r in enumerate(rows)]
+        full = [(*r, len(r[1] or ""), 7, "x", 1.5, [1]) for r in full]
+        kinds = "doc_id long, text string, lang string, source string, n_chars long, size int, fp string, score double, row array<int>"
+        return spark.createDataFrame(full, kinds)
+
+    return make
+
+
+#: Texts at the edges: null, empty, white space, one word, repeated, long, beyond ASCII, control characters.
+EDGES = [None, "", " \n\t", "word", "word", "a b", "Ünïcode ß 日本語 🙂 x", "x\x00y \x85 \xa0z", "long " * 20000, "no-space" * 5000, "1 2 3 4 5 6 7 8 9"]
