@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -136,10 +138,22 @@ def word_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit(rf"[{MARKS}]+"))
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, with the value computed once, even where lambdas inside name it at every element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def runs(size: Column, n: int, make: Callable[[Column], Column]) -> Column:
+    """make(i) for every start i of n places among ``size``, from 1."""
+    at = F.when(size >= n, F.sequence(F.lit(1), size - n + 1)).otherwise(F.array().cast("array<int>"))
+    return F.transform(at, make)
+
+
 def ngrams(items: Column, n: int) -> Column:
     """Joined runs of n items; none if there are fewer."""
-    at = F.when(F.size(items) >= n, F.sequence(F.lit(1), F.size(items) - n + 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(at, lambda i: F.array_join(F.slice(items, i, n), " "))
+    if n == 1:
+        return items
+    return let(items, lambda x: runs(F.size(x), n, lambda i: F.array_join(F.slice(x, i, n), " ")))
 
 
 def ratio(a: Column, b: Column) -> Column:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import LongType
 
-from gradus.functions.text import f_measure, ngrams, normalize_answer, ratio, tokens
+from gradus.functions.text import f_measure, let, ngrams, normalize_answer, ratio, runs, tokens
 
 
 def overlap(preds: DataFrame, refs: DataFrame, split: Callable[[Column], Column], n: int = 1) -> DataFrame:
@@ -24,9 +24,8 @@ def overlap(preds: DataFrame, refs: DataFrame, split: Callable[[Column], Column]
     ``preds`` holds (item_id, pred), ``refs`` (item_id, ref_ix, ref); ``split``
     makes the array of a text's tokens, of which runs of n are counted.
     """
-    # tokens in a step of their own: they are made once per text, not once per run
-    p = preds.select("item_id", split(F.col("pred")).alias("items")).select("item_id", ngrams(F.col("items"), n).alias("items"))
-    r = refs.select("item_id", "ref_ix", split(F.col("ref")).alias("items")).select("item_id", "ref_ix", ngrams(F.col("items"), n).alias("items"))
+    p = preds.select("item_id", ngrams(split(F.col("pred")), n).alias("items"))
+    r = refs.select("item_id", "ref_ix", ngrams(split(F.col("ref")), n).alias("items"))
     left = p.select("item_id", F.explode("items").alias("token")).groupBy("item_id", "token").agg(F.count("*").alias("n"))
     right = r.select("item_id", "ref_ix", F.explode("items").alias("token")).groupBy("item_id", "ref_ix", "token").agg(F.count("*").alias("m"))
     common = right.join(left, ["item_id", "token"]).groupBy("item_id", "ref_ix").agg(F.sum(F.least("n", "m")).alias("common"))
@@ -147,18 +146,16 @@ def rouge_lsum(pairs: DataFrame) -> DataFrame:
 
 def chrf(preds: DataFrame, refs: DataFrame, chars: int = 6, words: int = 2, beta: float = 2.0) -> DataFrame:
     """chrF of a corpus on 0 to 100: F-scores of character and word n-grams, whose counts are summed over all items, averaged over orders."""
-    def runs(size: Column, n: int, make) -> Column:
-        at = F.when(size >= n, F.sequence(F.lit(1), size - n + 1)).otherwise(F.array().cast("array<int>"))
-        return F.transform(at, make)
+    def pieces(bare: Column, n: int) -> Column:
+        return let(bare, lambda t: runs(F.length(t), n, lambda i: F.substring(t, i, F.lit(n))))
+
+    def named(order: str, grams: Column) -> Column:
+        return F.transform(grams, lambda x: F.struct(F.lit(order).alias("order"), x.alias("gram")))
 
     def counted(df: DataFrame, c: str, name: str) -> DataFrame:
-        split = F.filter(F.split(F.col(c), r"\s+"), lambda x: x != "")
-        parts = df.select("item_id", F.regexp_replace(F.col(c), r"\s+", "").alias("bare"), split.alias("words"))
-        bare, words_ = F.col("bare"), F.col("words")
-        grams = [(f"c{n}", runs(F.length(bare), n, lambda i, n=n: F.substring(bare, i, F.lit(n)))) for n in range(1, chars + 1)]
-        grams += [(f"w{n}", runs(F.size(words_), n, lambda i, n=n: F.array_join(F.slice(words_, i, n), " "))) for n in range(1, words + 1)]
-        each = [F.transform(g, lambda x, k=k: F.struct(F.lit(k).alias("order"), x.alias("gram"))) for k, g in grams]
-        rows = parts.select("item_id", F.explode(F.flatten(F.array(*each))).alias("e"))
+        bare, split = F.regexp_replace(F.col(c), r"\s+", ""), F.filter(F.split(F.col(c), r"\s+"), lambda x: x != "")
+        each = [named(f"c{n}", pieces(bare, n)) for n in range(1, chars + 1)] + [named(f"w{n}", ngrams(split, n)) for n in range(1, words + 1)]
+        rows = df.select("item_id", F.explode(F.flatten(F.array(*each))).alias("e"))
         return rows.groupBy("item_id", "e.order", "e.gram").agg(F.count("*").alias(name))
 
     both = counted(preds, "pred", "n").join(counted(refs, "ref", "m"), ["item_id", "order", "gram"], "full")
