@@ -29,7 +29,7 @@ def normalize_answer(text: Column) -> Column:
 
 def normalize_line(text: Column) -> Column:
     """As an answer, and without English articles."""
-    return collapse(F.regexp_replace(F.regexp_replace(F.lower(text), rf"[{PUNCT}]", ""), r"\b(a|an|the)\b", " "))
+    return F.array_join(F.filter(F.split(normalize_answer(text), " "), lambda w: ~w.isin("a", "an", "the")), " ")
 
 
 def normalize_cell(text: Column) -> Column:
