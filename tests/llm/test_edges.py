@@ -3,8 +3,8 @@
 from collections import Counter
 
 import pytest
-from conftest import EDGES
 from public_tokenizers import PATTERN, path
+from samples import EDGES
 
 import corpus_pipeline
 from gradus.llm import bpe, language, mixing, pii, quality, simhash, weighted
