@@ -11,13 +11,16 @@ from pyspark.sql import functions as F
 
 from gradus.functions.draws import draw, draw_sql
 from gradus.functions.text import extract_choice
+from gradus.sources.parallel import spread
 
 MODELS, RUNS = 5, 4
 LABELS = ["bad", "good", "toxic"]
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; texts, which cost most per row, are dealt out to all cores."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name == "documents" else df
 
 
 def sql(*parts: str) -> str:
@@ -45,7 +48,7 @@ CTE = {
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 1, "good").otherwise("bad")
-    docs = read(spark, sf_dir, "documents").select("doc_id", "lang", "source")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", "source")
     return docs.join(read(spark, sf_dir, "labels"), "doc_id").select(
         F.col("doc_id").alias("item_id"),
         "lang",
