@@ -1,12 +1 @@
-"""Operators for preparing large training corpora.
-
-Nothing outside this subpackage imports it. Functions that run inside Spark
-tasks travel with the job (pickled by value), so executors need numpy, pyarrow
-and the small libraries an operator names, but not this package.
-"""
-
-import sys
-
-from pyspark import cloudpickle
-
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
+"""Operators for preparing large training corpora. Nothing outside this subpackage imports it."""

@@ -6,9 +6,12 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+from gradus.sources.parallel import spread
+
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table, with work for all cores even if it is one small file."""
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def cut(df: DataFrame) -> DataFrame:
