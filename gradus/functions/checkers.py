@@ -177,6 +177,27 @@ def no_comma(r: Column) -> Column:
     return ~F.contains(r, F.lit(","))
 
 
+def key_sentences(r: Column, phrases: list[str], n: int) -> Column:
+    """Exactly n of the given sentences occur as sentences of the response."""
+    own = F.transform(sentences(r), bare)
+    return F.size(F.array_intersect(own, F.array(*map(F.lit, phrases)))) == n
+
+
+def shared_words(r: Column, original: str, low: int, high: int) -> Column:
+    """Between low and high words are shared with an original text, counted as often as both have them."""
+    split = lambda t: F.filter(F.split(F.lower(t), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    mine, other = split(r), split(F.lit(original))
+    count = lambda words_, w: F.size(F.filter(words_, lambda x: x == w))
+    shared = F.aggregate(F.array_intersect(mine, other), F.lit(0), lambda n, w: n + F.least(count(mine, w), count(other, w)))
+    return (shared >= low) & (shared <= high)
+
+
+def rephrased(r: Column, original: str) -> Column:
+    """Differs from the original only between stars: without the starred part both are the same, and there is one in each."""
+    plain = F.regexp_replace(r, r"\*[^*]*\*", "")
+    return (plain == F.regexp_replace(F.lit(original), r"\*[^*]*\*", "")) & r.rlike(r"\*[^*]*\*") & F.lit("*" in original)
+
+
 SCRIPTS = {"th": r"\p{IsThai}", "lo": r"\p{IsLao}", "km": r"\p{IsKhmer}", "my": r"\p{IsMyanmar}", "ta": r"\p{IsTamil}", "zh": r"\p{IsHan}", "hi": r"\p{IsDevanagari}"}
 
 
@@ -192,6 +213,7 @@ CHECKERS: dict[str, Callable[..., Column]] = {
         words, sentence_count, starred_parts, blank_line_paragraphs, placeholders, postscript, highlights, bullets, sections, json_value, one_of, title,
         starts, ends, in_quotes, has_words, lacks_words, has_keywords, word_frequency, number_frequency, letter_frequency, capital_words, repeats,
         two_responses, nth_paragraph_word, all_capitals, all_lower, no_comma, in_script,
+        key_sentences, shared_words, rephrased,
     )
 }
 
