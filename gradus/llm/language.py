@@ -139,8 +139,8 @@ def fit(labelled: DataFrame, each: int = 600, passage: int = 1024, epochs: int =
     At most 2 * each * languages passages reach the driver.
     """
     start = F.lit(1) + F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.greatest(F.char_length("text") - passage + 1, F.lit(1))).cast("int")
-    some = per_label(labelled.where(F.col("text").isNotNull()).select("doc_id", "text", "lang"), "lang", each)
-    rows = some.select("lang", F.substring(F.col("text"), start, F.lit(passage)).alias("text")).collect()
+    passages = labelled.where(F.col("text").isNotNull()).select("doc_id", "lang", F.substring(F.col("text"), start, F.lit(passage)).alias("text"))
+    rows = per_label(passages, "lang", each).collect()
     languages = sorted({r.lang for r in rows})
     rng = np.random.default_rng(seed)
     x, y = [], []

@@ -329,21 +329,17 @@ def fit(docs: DataFrame, sample: int = 2000, seed: int = 23) -> Field | None:
         return None
     draw = F.xxhash64(F.lit(seed), F.col("doc_id"))
     some = docs.where(F.pmod(draw, F.lit(GRAIN)) < max(1, round(GRAIN * min(1.0, sample / n)))).select(draw.alias("draw"), F.col("text").cast("string"))
-    some = some.where(F.col("text").rlike("[0-9@]")).orderBy("draw").limit(2 * sample)
+    some = some.where(F.col("text").rlike("[0-9@]"))
 
     def run(batches):
         for batch in batches:
-            out = [(*e[0].features.shape, e) for t in batch.column(1) if (e := examples(t.as_py()))]
-            cols = [
-                pa.array([e.features.tobytes() for *_, (e, _) in out], pa.binary()),
-                pa.array([e.chained.tobytes() for *_, (e, _) in out], pa.binary()),
-                pa.array([e.ties.tobytes() for *_, (e, _) in out], pa.binary()),
-                pa.array([e.possible.tobytes() for *_, (e, _) in out], pa.binary()),
-                pa.array([y.tobytes() for *_, (_, y) in out], pa.binary()),
-            ]
-            yield pa.RecordBatch.from_arrays(cols, ["x", "c", "t", "p", "y"])
-
-    rows = some.mapInArrow(run, "x binary, c binary, t binary, p binary, y binary").collect()
+            out = [(d, *e) for d, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) if (e := examples(t.as_py()))]
+            kept = [[x.tobytes() for x in (e.features, e.chained, e.ties, e.possible, y)] for _, e, y in out]
+            cols = [pa.array([d for d, *_ in out], pa.int64()), *(pa.array([k[i] for k in kept], pa.binary()) for i in range(5))]
+            yield pa.RecordBatch.from_arrays(cols, ["draw", "x", "c", "t", "p", "y"])
+
+    found = some.mapInArrow(run, "draw long, x binary, c binary, t binary, p binary, y binary")
+    rows = found.orderBy("draw").limit(2 * sample).collect()
     rows.sort(key=lambda r: (bytes(r.x), bytes(r.y), bytes(r.t)))
     known, gold = [], []
     for r in rows:
