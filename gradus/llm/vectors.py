@@ -9,6 +9,12 @@ enough are compared exactly, with the original vectors in double precision. A
 pair that meets in several tables counts in the first only, which its two codes
 tell without any exchange.
 
+So many bits to a key are too few for labels with very many vectors: their
+buckets would grow in proportion. There, keys are drawn of more bits each, which
+share bits, and as many of them as find 19 in 20 of the pairs at the limit. The
+bits of a key grow with the logarithm of the vectors, up to twice as many, where
+a vector meets a thousandth part of its label, one in 65,536 in each of 61 tables.
+
 Equal vectors of a label are one class from the start. A bucket emits counts and
 spanning links, never its pairs. Crowded buckets are dealt out in slices: each
 slice keeps its share of the vectors and sees all others pass by, so that no task
@@ -18,6 +24,7 @@ holds more than ``bucket_rows`` vectors and none is left out.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from math import acos, comb, pi
 
 import numpy as np
 import pyarrow as pa
@@ -56,9 +63,33 @@ class Quantiser:
         return np.packbits(bits, axis=1, bitorder="little").view(np.uint64)[:, 0]
 
 
-def substrings(size: int, tables: int) -> list[int]:
-    """Masks of the substrings of the codes of vectors of this length."""
-    return [sum(1 << int(b) for b in part) for part in np.array_split(np.arange(min(64, size)), tables)]
+def key_bits(rows: int, size: int, tables: int, bucket_rows: int) -> int:
+    """Bits of a key, so that ``rows`` vectors of one label, with even codes, fill buckets to a quarter at most.
+
+    Twice the bits of a substring at most: wider keys would take too many tables.
+    """
+    narrow = width = max(1, min(64, size) // tables)
+    while (rows >> width) * 4 > bucket_rows and width + 2 <= 2 * narrow:
+        width += 2
+    return width
+
+
+def found_share(bits: int, width: int, keys: int, least: float) -> float:
+    """How many in one of the pairs at cosine ``least`` agree on one of so many keys of ``width`` bits drawn at random."""
+    p = acos(least) / pi
+    meet = lambda d: comb(bits - d, width) / comb(bits, width)
+    return sum(comb(bits, d) * p**d * (1 - p) ** (bits - d) * (1 - (1 - meet(d)) ** keys) for d in range(bits + 1))
+
+
+def key_masks(size: int, width: int, tables: int, least: float, share: float = 0.95) -> list[int]:
+    """The bits of each key, for vectors of this length: ``tables`` substrings, or, for wider keys, as many drawn ones as find ``share``."""
+    bits = min(64, size)
+    if width <= bits // tables or bits < tables:
+        return [sum(1 << int(b) for b in part) for part in np.array_split(np.arange(bits), tables)]
+    keys, rng = tables, np.random.default_rng(width)
+    while found_share(bits, width, keys, least) < share:
+        keys += 1
+    return [sum(1 << int(b) for b in rng.choice(bits, width, replace=False)) for _ in range(keys)]
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -89,18 +120,26 @@ def fit(classes: DataFrame, sample: int = 4000, seed: int = 31) -> dict[int, Qua
     return {n: Quantiser.fit(unit(np.array(v))) for n, v in by_size.items()}
 
 
-def encode(classes: DataFrame, quantisers: dict[int, Quantiser], tables: int) -> DataFrame:
-    """``classes`` with the code of each vector and its substrings, one for each table."""
+def plan_keys(classes: DataFrame, tables: int, bucket_rows: int, least: float) -> dict[int, list[int]]:
+    """Vector length -> key masks, by the number of vectors in its largest label; one row per length reaches the driver."""
+    rows = classes.groupBy("label", F.size("v").alias("size")).agg(F.count("*").alias("n")).groupBy("size").agg(F.max("n").alias("n"))
+    return {r["size"]: key_masks(r["size"], key_bits(r["n"], r["size"], tables, bucket_rows), tables, least) for r in rows.collect()}
+
+
+def encode(classes: DataFrame, quantisers: dict[int, Quantiser], masks: dict[int, list[int]]) -> DataFrame:
+    """``classes`` with the code of each vector and the bits of its keys, one for each table."""
 
     def run(batches):
         for batch in batches:
             v = batch.column(3)
-            sizes, codes, keys = pc.list_value_length(v).to_numpy(), np.zeros(batch.num_rows, np.uint64), np.zeros((batch.num_rows, tables), np.uint64)
-            for n in np.unique(sizes):
-                at = np.flatnonzero(sizes == n)
-                codes[at] = quantisers[int(n)].codes(unit(_matrix(v.take(pa.array(at)))))
-                keys[at] = codes[at][:, None] & np.array(substrings(int(n), tables), np.uint64)
-            listed = pa.ListArray.from_arrays(np.arange(len(keys) + 1, dtype=np.int32) * tables, keys.view(np.int64).ravel())
+            sizes, codes = pc.list_value_length(v).to_numpy(), np.zeros(batch.num_rows, np.uint64)
+            ends = np.cumsum([0, *(len(masks[n]) for n in sizes.tolist())])
+            keys = np.zeros(ends[-1], np.uint64)
+            for n in np.unique(sizes).tolist():
+                at, own = np.flatnonzero(sizes == n), np.array(masks[n], np.uint64)
+                codes[at] = quantisers[n].codes(unit(_matrix(v.take(pa.array(at)))))
+                keys[ends[at][:, None] + np.arange(len(own))] = codes[at][:, None] & own
+            listed = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(keys.view(np.int64)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(codes.view(np.int64)), listed], [*batch.schema.names, "code", "keys"])
 
     kind = classes.schema["v"].dataType.simpleString()
@@ -130,23 +169,23 @@ class Rows:
 def close(q: Rows, c: Rows, t: int, masks: list[int], least: float, radius: int, block: int = 1 << 15) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs of q and c that link and meet in table t for the first time."""
     apart = q.code[:, None] ^ c.code[None, :]
-    near = (np.bitwise_count(apart) <= radius) & (q.node[:, None] != c.node[None, :])
+    i, j = np.nonzero((np.bitwise_count(apart) <= radius) & (q.node[:, None] != c.node[None, :]))
     for mask in masks[:t]:
-        near &= (apart & np.uint64(mask)) != 0
-    i, j = np.nonzero(near)
+        new = (apart[i, j] & np.uint64(mask)) != 0
+        i, j = i[new], j[new]
     cosine = [(q.unit[i[k : k + block]] * c.unit[j[k : k + block]]).sum(axis=1) for k in range(0, len(i), block)]
     linked = np.concatenate([*cosine, np.zeros(0)]) >= least
     return i[linked], j[linked]
 
 
-def _compare(least: float, tables: int, block: int = 512):
+def _compare(least: float, masks: dict[int, list[int]], block: int = 512):
     """Rows sorted by bucket, a slice's own vectors before its guests -> (a, n): link counts, and (a, b): spanning links."""
 
     def met(rows: Rows, held: Rows, t: int):
-        masks = substrings(rows.unit.shape[1], tables)
+        own = masks[rows.unit.shape[1]]
         for lo in range(0, len(rows.node), block):
             q = rows.part(lo, lo + block)
-            i, j = close(q, held, t, masks, least, min(64, rows.unit.shape[1]) // 4)
+            i, j = close(q, held, t, own, least, min(64, rows.unit.shape[1]) // 4)
             if not len(i):
                 continue
             counts = np.bincount(i, held.copies[j], len(q.node)).astype(np.int64)
@@ -201,13 +240,16 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93, tables: int = 8, bu
 
     More tables find more and cost more. With 64 bits in 8 tables, pairs at the
     limit of 0.93 differ in 8 bits on average and are missed if every substring
-    has one of them: 1 to 2 in a hundred there, and hardly any above 0.95.
+    has one of them: 1 to 2 in a hundred there, and hardly any above 0.95. Labels
+    with more than about 130,000 different vectors get wider keys, and more of
+    them, that find 95 in a hundred there and nearly all above 0.95.
     """
     fine = vectors.where(_usable()).select("vec_id", "label", _stored(vectors).alias("v"))
     classes = fine.groupBy("label", "v").agg(F.min("vec_id").cast("long").alias("first"), F.count("*").alias("copies"))
     # written once, so that the numbers given here stay
     classes = cut(classes.withColumn("node", F.monotonically_increasing_id()))
-    coded = cut(encode(classes, fit(classes, sample), tables))
+    masks = plan_keys(classes, tables, bucket_rows, least)
+    coded = cut(encode(classes, fit(classes, sample), masks))
     keyed = coded.select("node", "of", F.posexplode("keys").alias("t", "key"))
     sizes = keyed.groupBy("of", "t", "key").agg(F.count("*").alias("rows")).where("rows > 1")
     placed = keyed.join(sizes, ["of", "t", "key"]).withColumn("slices", F.ceil(F.col("rows") / bucket_rows))
@@ -216,7 +258,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93, tables: int = 8, bu
     dealt = dealt.select("node", "t", "key", "slice", (F.col("slice") != F.col("mine")).cast("int").alias("guest"))
     rows = dealt.join(coded.drop("keys"), "node").select(*BUCKET, "guest", "node", "copies", "code", "v")
     rows = rows.repartition(*BUCKET).sortWithinPartitions(*BUCKET, "guest", "node")
-    found = cut(rows.mapInArrow(_compare(least, tables), "a long, b long, n long"))
+    found = cut(rows.mapInArrow(_compare(least, masks), "a long, b long, n long"))
 
     counts = found.where("n is not null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n"))
     roots = connected_components(found.where("b is not null").select("a", "b"))

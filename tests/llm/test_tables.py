@@ -121,5 +121,20 @@ def test_recall_at_the_limit(spark):
     assert found.agg({"n_links": "sum"}).first()[0] / 800 > 0.95
 
 
+def test_wider_keys_for_crowded_labels(spark):
+    assert [vectors.key_bits(n, 64, 8, 2048) for n in (0, 5000, 130_000, 140_000, 10**8, 10**12)] == [8, 8, 8, 10, 16, 16]
+    for width in (10, 16):
+        masks = vectors.key_masks(64, width, 8, 0.93)
+        assert {m.bit_count() for m in masks} == {width}
+        assert 0.95 <= vectors.found_share(64, width, len(masks), 0.93) < 0.96
+    # the same pairs as ever, from keys of 10 bits
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(200, 64))
+    rows = [(i, 0, (centres[i % 200] + 0.1 * rng.normal(size=64)).tolist()) for i in range(600)]
+    table = spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>")
+    assert vectors.key_bits(600, 64, 8, 4) == 10
+    assert sorted(tuple(r) for r in vectors.near_duplicates(table, bucket_rows=4).collect()) == sorted(plain_links(rows))
+
+
 def test_no_vectors(spark):
     assert vectors.near_duplicates(spark.createDataFrame([], "vec_id long, label int, embedding array<float>")).count() == 0
