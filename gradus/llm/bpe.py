@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -173,8 +174,8 @@ class Encoder(dict):
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-def _groups(texts: list[str], size: int = 1 << 21):
-    """Neighbouring texts of together about ``size`` characters."""
+def _groups(texts: Iterable[str], size: int = 1 << 18):
+    """Neighbouring texts of together about ``size`` characters, one group in memory at a time."""
     held, total = [], 0
     for text in texts:
         held.append(text)
@@ -203,7 +204,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, digests: bool
         encoder = Encoder(shared.value, pattern)
         for batch in batches:
             found = []
-            for texts in _groups([t.as_py() or "" for t in batch.column(1)]):
+            for texts in _groups(t.as_py() or "" for t in batch.column(1)):
                 for ids in encoder.encode_all(texts):
                     if digests:
                         found.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(encoder.decode(ids)).hexdigest()))
