@@ -104,7 +104,7 @@ def rouge_l(spark, sf_dir):
 
 @query()
 def rouge_lsum(spark, sf_dir):
-    return generate.rouge_lsum(preds(spark, sf_dir).join(refs(spark, sf_dir), "item_id").where("ref_ix = 0"))
+    return generate.rouge_lsum(preds(spark, sf_dir).join(refs(spark, sf_dir), "item_id"))
 
 
 _CHR = (
