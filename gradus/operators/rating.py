@@ -23,10 +23,10 @@ def decoded(ix: Column, runs: int, turns: int, pairs: Column) -> dict[str, Colum
     return {"run": ix % runs, "turn": rest % turns, "item_ix": F.floor(item_pair / pairs).cast("long"), "model_a": a, "model_b": (p - a * (a - 1) / 2).cast("long")}
 
 
-def contests(groups: DataFrame, by: list[str], n: int, seed: int, runs: int, models: int, items: str) -> DataFrame:
-    """n contests of each group, drawn with replacement by hash; ``groups`` has one row per group with its number of items."""
+def contests(groups: DataFrame, by: list[str], n: int | Column, seed: int, runs: int, models: int, items: str) -> DataFrame:
+    """n contests of each group, drawn with replacement by hash; ``groups`` has one row per group with its number of items. A column ``n`` gives each group its own number."""
     pairs = models * (models - 1) // 2
-    rows = groups.withColumn("contest", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
+    rows = groups.withColumn("contest", F.explode(F.sequence(F.lit(0).cast("long"), (F.lit(n) - 1).cast("long"))))
     rows = rows.withColumn("ix", below(F.col(items) * (runs * pairs), seed, *by, "contest"))
     return rows.select(*by, "contest", *[c.alias(n) for n, c in decoded(F.col("ix"), runs, 1, F.lit(pairs)).items()])
 

@@ -12,6 +12,7 @@ from gradus.plans.tables import MODELS, RUNS, items, scored, sql
 REGISTRY = Registry()
 query = REGISTRY.query
 CONTESTS, SEED = 2000, 42
+BOOTSTRAPS, TOTAL, LEVELS = 30, 20_000, ["lang", "competency", "task"]
 PAIRS = MODELS * (MODELS - 1) // 2
 
 _I = "ix AS (SELECT lang, item_id, row_number() OVER (PARTITION BY lang ORDER BY item_id) - 1 AS item_ix, count(*) OVER (PARTITION BY lang) AS n FROM items)"
@@ -22,19 +23,39 @@ _O = """o AS (SELECT d.lang, contest, d.a AS model_a, d.b AS model_b, CASE WHEN
     FROM d JOIN ix i ON i.lang = d.lang AND i.item_ix = d.item_ix LEFT JOIN scored x ON x.item_id = i.item_id AND x.model = d.a AND x.run = d.run LEFT JOIN scored y ON y.item_id = i.item_id AND y.model = d.b AND y.run = d.run)"""
 
 
-def contests(spark, sf_dir):
-    """Drawn contests of each language with both models' scores; a missing score is -1."""
+def numbered(spark, sf_dir, by):
     from pyspark.sql import Window
 
-    known = items(spark, sf_dir).select("lang", "item_id", (F.row_number().over(Window.partitionBy("lang").orderBy("item_id")) - 1).cast("long").alias("item_ix"))
-    groups = known.groupBy("lang").agg(F.count("*").alias("n"))
-    drawn = rating.contests(groups, ["lang"], CONTESTS, SEED, RUNS, MODELS, "n").join(known, ["lang", "item_ix"])
+    place = Window.partitionBy(*by).orderBy("item_id")
+    return items(spark, sf_dir).select(*by, "item_id", (F.row_number().over(place) - 1).cast("long").alias("item_ix"))
+
+
+def played(spark, sf_dir, drawn):
+    """Drawn contests with both models' scores and the outcome; a missing score is -1."""
     scores = scored(spark, sf_dir).select("item_id", "run", "model", "correct")
     a = scores.select("item_id", "run", F.col("model").alias("model_a"), F.col("correct").cast("double").alias("x"))
     b = scores.select("item_id", "run", F.col("model").alias("model_b"), F.col("correct").cast("double").alias("y"))
     rows = drawn.join(a, ["item_id", "run", "model_a"], "left").join(b, ["item_id", "run", "model_b"], "left")
     x, y = F.coalesce("x", F.lit(-1.0)), F.coalesce("y", F.lit(-1.0))
-    return rows.select("lang", "contest", "model_a", "model_b", rating.outcome(x, y).alias("outcome"))
+    return rows.withColumn("outcome", rating.outcome(x, y))
+
+
+def contests(spark, sf_dir):
+    """Drawn contests of each language."""
+    known = numbered(spark, sf_dir, ["lang"])
+    groups = known.groupBy("lang").agg(F.count("*").alias("n"))
+    drawn = rating.contests(groups, ["lang"], CONTESTS, SEED, RUNS, MODELS, "n").join(known, ["lang", "item_ix"])
+    return played(spark, sf_dir, drawn).select("lang", "contest", "model_a", "model_b", "outcome")
+
+
+def bootstrap_contests(spark, sf_dir):
+    """Contests of every bootstrap, split evenly over languages, competencies and tasks, in an order that mixes the groups."""
+    known = numbered(spark, sf_dir, LEVELS)
+    groups = known.groupBy(*LEVELS).agg(F.count("*").alias("n")).join(rating.allocation(known, LEVELS, TOTAL), LEVELS)
+    groups = groups.withColumn("bootstrap", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(BOOTSTRAPS - 1).cast("long"))))
+    drawn = rating.contests(groups, ["bootstrap", *LEVELS], F.col("n_contests"), SEED, RUNS, MODELS, "n").join(known, [*LEVELS, "item_ix"])
+    place = F.md5(F.concat_ws("|", F.lit("order"), F.lit(str(SEED)), *[F.col(c).cast("string") for c in ("bootstrap", *LEVELS, "contest")]))
+    return played(spark, sf_dir, drawn).select("bootstrap", *LEVELS, "contest", place.alias("place"), "model_a", "model_b", "outcome")
 
 
 @query(sql(_I, _K, _D, _O, "SELECT lang, contest, model_a, model_b, outcome FROM o"), "outcome")
@@ -71,14 +92,15 @@ def contest_allocation(spark, sf_dir):
 
 @query()
 def rating_mle(spark, sf_dir):
-    found = rating.bradley_terry(contests(spark, sf_dir))
+    """Over the contests of all bootstraps."""
+    found = rating.bradley_terry(bootstrap_contests(spark, sf_dir))
     return spark.createDataFrame(sorted(found.items()), "model long, rating double")
 
 
 @query()
 def rating_elo(spark, sf_dir):
-    """Sequential ratings, one order of contests for each language."""
-    return rating.elo(contests(spark, sf_dir), ["lang"], "contest")
+    """Sequential ratings of each bootstrap."""
+    return rating.elo(bootstrap_contests(spark, sf_dir), ["bootstrap"], "place")
 
 
 @query()

@@ -1,6 +1,9 @@
 """Queries without SQL that must cover all of their rows."""
 
+from pyspark.sql import functions as F
+
 from gradus import plans
+from gradus.plans import rating
 
 SF = "/root/testdata/sf0.001"
 QUERIES = plans.queries()
@@ -11,3 +14,12 @@ def test_lsum_scores_every_reference(spark):
     found = pairs("rouge_lsum")
     assert {ref_ix for _, ref_ix in found} == {0, 1}
     assert found == pairs("rouge_l")
+
+
+def test_ratings_are_summarised_over_bootstraps_of_contests(spark):
+    drawn = rating.bootstrap_contests(spark, SF).groupBy("bootstrap", *rating.LEVELS).agg(F.count("*").alias("n_contests"), F.countDistinct("place").alias("places")).collect()
+    want = {tuple(r[c] for c in rating.LEVELS): r.n_contests for r in QUERIES["contest_allocation"](spark, SF).collect()}
+    assert {(r.bootstrap, *(r[c] for c in rating.LEVELS)): r.n_contests for r in drawn} == {(b, *k): n for b in range(30) for k, n in want.items()}
+    assert sum(want.values()) >= 20_000 and all(r.places == r.n_contests for r in drawn)
+    assert {r.bootstrap for r in QUERIES["rating_elo"](spark, SF).collect()} == set(range(30))
+    assert [r.n for r in QUERIES["rating_summary"](spark, SF).collect()] == [30] * 5
