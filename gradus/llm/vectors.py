@@ -11,9 +11,9 @@ tell without any exchange.
 
 So many bits to a key are too few for labels with very many vectors: their
 buckets would grow in proportion. There, keys are drawn of more bits each, which
-share bits, and as many of them as find 19 in 20 of the pairs at the limit. The
-bits of a key grow with the logarithm of the vectors, up to twice as many, where
-a vector meets a thousandth part of its label, one in 65,536 in each of 61 tables.
+share bits, and as many of them as find no less of the pairs at the limit than the
+substrings do. Each label is planned for by itself. The bits of a key grow with the logarithm of the vectors, up to twice as many, where
+a vector meets about a thousandth part of its label, one in 65,536 in each table.
 
 Equal vectors of a label are one class from the start. A bucket emits counts and
 spanning links, never its pairs. Crowded buckets are dealt out in slices: each
@@ -24,7 +24,7 @@ holds more than ``bucket_rows`` vectors and none is left out.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from math import acos, comb, pi
+from math import acos, comb, pi, prod
 
 import numpy as np
 import pyarrow as pa
@@ -92,6 +92,12 @@ def key_masks(size: int, width: int, tables: int, least: float, share: float = 0
     return [sum(1 << int(b) for b in rng.choice(bits, width, replace=False)) for _ in range(keys)]
 
 
+def narrow_share(size: int, tables: int, least: float) -> float:
+    """How many in one of the pairs at cosine ``least`` agree on one of the substrings."""
+    agree = 1 - acos(least) / pi
+    return 1 - prod(1 - agree ** m.bit_count() for m in key_masks(size, 0, tables, least))
+
+
 def unit(x: np.ndarray) -> np.ndarray:
     """Rows of length one in double precision."""
     x = x.astype(np.float64)
@@ -120,30 +126,57 @@ def fit(classes: DataFrame, sample: int = 4000, seed: int = 31) -> dict[int, Qua
     return {n: Quantiser.fit(unit(np.array(v))) for n, v in by_size.items()}
 
 
-def plan_keys(classes: DataFrame, tables: int, bucket_rows: int, least: float) -> dict[int, list[int]]:
-    """Vector length -> key masks, by the number of vectors in its largest label; one row per length reaches the driver."""
-    rows = classes.groupBy("label", F.size("v").alias("size")).agg(F.count("*").alias("n")).groupBy("size").agg(F.max("n").alias("n"))
-    return {r["size"]: key_masks(r["size"], key_bits(r["n"], r["size"], tables, bucket_rows), tables, least) for r in rows.collect()}
+@dataclass
+class Plan:
+    """Key masks by vector length, and those of crowded labels, of more bits, by length and bits."""
+
+    masks: dict[tuple[int, int], list[int]]
+    wide: dict[int, int]  # hash of label and length -> bits of a key; others have 0, the substrings
+
+    def of(self, of: int, size: int) -> list[int]:
+        return self.masks[size, self.wide.get(of, 0)]
+
+
+def plan_keys(classes: DataFrame, tables: int, bucket_rows: int, least: float) -> Plan:
+    """By the number of vectors of each label and length; one row per length and per crowded label reaches the driver."""
+    groups = classes.groupBy(_group().alias("of"), F.size("v").alias("size")).agg(F.count("*").alias("n"))
+    crowded = F.expr(f"shiftright(n, greatest(1, least(64, size) div {tables})) * 4 > {bucket_rows}")
+    rows = groups.select("size", F.when(crowded, F.col("of")).alias("of"), F.when(crowded, F.col("n")).alias("n")).distinct().collect()
+    masks, wide = {}, {}
+    for r in rows:
+        masks[r["size"], 0] = key_masks(r["size"], 0, tables, least)
+        if r["of"] is not None:
+            width = wide[r["of"]] = key_bits(r["n"], r["size"], tables, bucket_rows)
+            if (r["size"], width) not in masks:
+                masks[r["size"], width] = key_masks(r["size"], width, tables, least, narrow_share(r["size"], tables, least))
+    return Plan(masks, wide)
+
+
+def _group() -> Column:
+    return F.xxhash64("label", F.size("v"))
 
 
-def encode(classes: DataFrame, quantisers: dict[int, Quantiser], masks: dict[int, list[int]]) -> DataFrame:
+def encode(classes: DataFrame, quantisers: dict[int, Quantiser], plan: Plan) -> DataFrame:
     """``classes`` with the code of each vector and the bits of its keys, one for each table."""
 
     def run(batches):
         for batch in batches:
             v = batch.column(3)
             sizes, codes = pc.list_value_length(v).to_numpy(), np.zeros(batch.num_rows, np.uint64)
-            ends = np.cumsum([0, *(len(masks[n]) for n in sizes.tolist())])
+            groups = batch.column(1).to_numpy()
+            bits = np.array([plan.wide.get(g, 0) for g in groups.tolist()], np.int64)
+            kinds = list(zip(sizes.tolist(), bits.tolist(), strict=True))
+            ends = np.cumsum([0, *(len(plan.masks[k]) for k in kinds)])
             keys = np.zeros(ends[-1], np.uint64)
-            for n in np.unique(sizes).tolist():
-                at, own = np.flatnonzero(sizes == n), np.array(masks[n], np.uint64)
+            for n, width in sorted(set(kinds)):
+                at, own = np.flatnonzero((sizes == n) & (bits == width)), np.array(plan.masks[n, width], np.uint64)
                 codes[at] = quantisers[n].codes(unit(_matrix(v.take(pa.array(at)))))
                 keys[ends[at][:, None] + np.arange(len(own))] = codes[at][:, None] & own
             listed = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(keys.view(np.int64)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(codes.view(np.int64)), listed], [*batch.schema.names, "code", "keys"])
 
     kind = classes.schema["v"].dataType.simpleString()
-    return classes.select("node", F.xxhash64("label", F.size("v")).alias("of"), "copies", "v").mapInArrow(
+    return classes.select("node", _group().alias("of"), "copies", "v").mapInArrow(
         run, f"node long, of long, copies long, v {kind}, code long, keys array<long>"
     )
 
@@ -178,14 +211,15 @@ def close(q: Rows, c: Rows, t: int, masks: list[int], least: float, radius: int,
     return i[linked], j[linked]
 
 
-def _compare(least: float, masks: dict[int, list[int]], block: int = 512):
+def _compare(least: float, plan: Plan, block: int = 512):
     """Rows sorted by bucket, a slice's own vectors before its guests -> (a, n): link counts, and (a, b): spanning links."""
 
-    def met(rows: Rows, held: Rows, t: int):
-        own = masks[rows.unit.shape[1]]
+    def met(rows: Rows, held: Rows, of: int, t: int):
+        size = rows.unit.shape[1]
+        own = plan.of(of, size)
         for lo in range(0, len(rows.node), block):
             q = rows.part(lo, lo + block)
-            i, j = close(q, held, t, own, least, min(64, rows.unit.shape[1]) // 4)
+            i, j = close(q, held, t, own, least, min(64, size) // 4)
             if not len(i):
                 continue
             counts = np.bincount(i, held.copies[j], len(q.node)).astype(np.int64)
@@ -213,17 +247,17 @@ def _compare(least: float, masks: dict[int, list[int]], block: int = 512):
                 key = tuple(x[n][lo] for n in BUCKET)
                 if own and (key != at or x["guest"][lo]):
                     held, own = Rows.join(own), []
-                    yield from met(held, held, int(at[1]))
+                    yield from met(held, held, int(at[0]), int(at[1]))
                 if key != at:
                     at, held = key, None
                 rows = Rows(x["node"][lo:hi], x["copies"][lo:hi], x["code"][lo:hi].view(np.uint64), unit(_matrix(batch.column("v").slice(lo, hi - lo))))
                 if not x["guest"][lo]:
                     own.append(rows)
                 elif held is not None:
-                    yield from met(rows, held, int(at[1]))
+                    yield from met(rows, held, int(at[0]), int(at[1]))
         if own:
             held = Rows.join(own)
-            yield from met(held, held, int(at[1]))
+            yield from met(held, held, int(at[0]), int(at[1]))
 
     return run
 
@@ -241,15 +275,15 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93, tables: int = 8, bu
     More tables find more and cost more. With 64 bits in 8 tables, pairs at the
     limit of 0.93 differ in 8 bits on average and are missed if every substring
     has one of them: 1 to 2 in a hundred there, and hardly any above 0.95. Labels
-    with more than about 130,000 different vectors get wider keys, and more of
-    them, that find 95 in a hundred there and nearly all above 0.95.
+    with more than about 130,000 different vectors get wider keys, and so many of
+    them that by the same model no more are missed.
     """
     fine = vectors.where(_usable()).select("vec_id", "label", _stored(vectors).alias("v"))
     classes = fine.groupBy("label", "v").agg(F.min("vec_id").cast("long").alias("first"), F.count("*").alias("copies"))
     # written once, so that the numbers given here stay
     classes = cut(classes.withColumn("node", F.monotonically_increasing_id()))
-    masks = plan_keys(classes, tables, bucket_rows, least)
-    coded = cut(encode(classes, fit(classes, sample), masks))
+    plan = plan_keys(classes, tables, bucket_rows, least)
+    coded = cut(encode(classes, fit(classes, sample), plan))
     keyed = coded.select("node", "of", F.posexplode("keys").alias("t", "key"))
     sizes = keyed.groupBy("of", "t", "key").agg(F.count("*").alias("rows")).where("rows > 1")
     placed = keyed.join(sizes, ["of", "t", "key"]).withColumn("slices", F.ceil(F.col("rows") / bucket_rows))
@@ -258,7 +292,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93, tables: int = 8, bu
     dealt = dealt.select("node", "t", "key", "slice", (F.col("slice") != F.col("mine")).cast("int").alias("guest"))
     rows = dealt.join(coded.drop("keys"), "node").select(*BUCKET, "guest", "node", "copies", "code", "v")
     rows = rows.repartition(*BUCKET).sortWithinPartitions(*BUCKET, "guest", "node")
-    found = cut(rows.mapInArrow(_compare(least, masks), "a long, b long, n long"))
+    found = cut(rows.mapInArrow(_compare(least, plan), "a long, b long, n long"))
 
     counts = found.where("n is not null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n"))
     roots = connected_components(found.where("b is not null").select("a", "b"))

@@ -136,5 +136,37 @@ def test_wider_keys_for_crowded_labels(spark):
     assert sorted(tuple(r) for r in vectors.near_duplicates(table, bucket_rows=4).collect()) == sorted(plain_links(rows))
 
 
+def pairs_at(rng, cosine, size, n, label, first):
+    rows = []
+    for k in range(n):
+        a, b = rng.normal(size=(2, size))
+        a /= np.linalg.norm(a)
+        b -= (a @ b) * a
+        b = cosine * a + np.sqrt(1 - cosine**2) * b / np.linalg.norm(b)
+        rows += [(first + 2 * k, label, a.tolist()), (first + 2 * k + 1, label, b.tolist())]
+    return rows
+
+
+def test_wide_keys_find_what_substrings_find(spark):
+    rng = np.random.default_rng(8)
+    rows = [r for i, c in enumerate(np.linspace(0.9305, 0.95, 4)) for r in pairs_at(rng, c, 64, 1000, 0, 2000 * i)]
+    small = pairs_at(rng, 0.932, 64, 300, 1, 10_000)
+    table = lambda r: spark.createDataFrame(r, "vec_id long, label int, embedding array<double>")
+    x = np.array([r[2] for r in rows])
+    want = int(((x @ x.T) >= 0.93).sum()) - len(x)
+    total = lambda df: df.agg({"n_links": "sum"}).first()[0]
+    assert vectors.key_bits(8000, 64, 8, 60) == 10 and vectors.key_bits(8000, 64, 8, 2048) == 8 and vectors.key_bits(600, 64, 8, 60) == 8
+    narrow, wide = (total(vectors.near_duplicates(table(rows), bucket_rows=b)) / want for b in (2048, 60))
+    print("recall at 0.93 to 0.95: substrings", narrow, "wide keys", wide, "of", want)
+    assert wide >= narrow - 0.005 and wide > 0.97
+    for width in (10, 16):
+        share = vectors.narrow_share(64, 8, 0.93)
+        assert vectors.found_share(64, width, len(vectors.key_masks(64, width, 8, 0.93, share)), 0.93) >= share > 0.97
+    # a small label's keys do not depend on its neighbour's size
+    nodes = table(rows + small).select("label", vectors.F.col("embedding").alias("v"))
+    plan = vectors.plan_keys(nodes, 8, 60, 0.93)
+    assert sorted(plan.wide.values()) == [10]
+
+
 def test_no_vectors(spark):
     assert vectors.near_duplicates(spark.createDataFrame([], "vec_id long, label int, embedding array<float>")).count() == 0
