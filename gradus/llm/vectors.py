@@ -98,6 +98,18 @@ def narrow_share(size: int, tables: int, least: float) -> float:
     return 1 - prod(1 - agree ** m.bit_count() for m in key_masks(size, 0, tables, least))
 
 
+def radius_of(size: int, least: float, loss: float = 1e-4) -> int:
+    """Differing bits up to which codes are compared exactly: at most ``loss`` in one of the pairs at ``least`` differ in more.
+
+    Short vectors' bits are far from independent, so that up to 16 bits all are allowed.
+    """
+    bits, p = min(64, size), acos(least) / pi
+    radius, tail = bits, 0.0
+    while bits > 16 and (tail := tail + comb(bits, radius) * p**radius * (1 - p) ** (bits - radius)) <= loss:
+        radius -= 1
+    return radius
+
+
 def unit(x: np.ndarray) -> np.ndarray:
     """Rows of length one in double precision."""
     x = x.astype(np.float64)
@@ -214,12 +226,14 @@ def close(q: Rows, c: Rows, t: int, masks: list[int], least: float, radius: int,
 def _compare(least: float, plan: Plan, block: int = 512):
     """Rows sorted by bucket, a slice's own vectors before its guests -> (a, n): link counts, and (a, b): spanning links."""
 
+    radius = {n: radius_of(n, least) for n, _ in plan.masks}
+
     def met(rows: Rows, held: Rows, of: int, t: int):
         size = rows.unit.shape[1]
         own = plan.of(of, size)
         for lo in range(0, len(rows.node), block):
             q = rows.part(lo, lo + block)
-            i, j = close(q, held, t, own, least, min(64, size) // 4)
+            i, j = close(q, held, t, own, least, radius[size])
             if not len(i):
                 continue
             counts = np.bincount(i, held.copies[j], len(q.node)).astype(np.int64)
@@ -276,7 +290,9 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93, tables: int = 8, bu
     limit of 0.93 differ in 8 bits on average and are missed if every substring
     has one of them: 1 to 2 in a hundred there, and hardly any above 0.95. Labels
     with more than about 130,000 different vectors get wider keys, and so many of
-    them that by the same model no more are missed.
+    them that by the same model no more are missed. Codes that differ in more bits
+    than ``radius_of`` are not compared exactly, 1 in 10,000 pairs at the limit at
+    most by that model; vectors of up to 16 numbers are compared whatever their codes.
     """
     fine = vectors.where(_usable()).select("vec_id", "label", _stored(vectors).alias("v"))
     classes = fine.groupBy("label", "v").agg(F.min("vec_id").cast("long").alias("first"), F.count("*").alias("copies"))

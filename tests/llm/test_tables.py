@@ -168,5 +168,13 @@ def test_wide_keys_find_what_substrings_find(spark):
     assert sorted(plan.wide.values()) == [10]
 
 
+def test_short_vectors(spark):
+    assert [vectors.radius_of(n, 0.93) for n in (2, 7, 16)] == [2, 7, 16] and 16 < vectors.radius_of(64, 0.93) < 24
+    rng = np.random.default_rng(9)
+    rows = [r for n in range(2, 17) for r in pairs_at(rng, 0.931, n, 20, n, 100 * n)]
+    table = spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>")
+    assert sorted(tuple(r) for r in vectors.near_duplicates(table).collect()) == sorted(plain_links(rows))
+
+
 def test_no_vectors(spark):
     assert vectors.near_duplicates(spark.createDataFrame([], "vec_id long, label int, embedding array<float>")).count() == 0
