@@ -72,7 +72,7 @@ def patterns(text: str) -> tuple[list[Span], list[Span]]:
     good, failed = _emails(text), []
     if DIGIT.search(text):
         for m in IP.finditer(text):
-            fits = all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))
+            fits = all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or "0") <= 255 for p in m[0].split("."))
             (good if fits else failed).append(("ip", *m.span()))
         for m in CARD.finditer(text):
             n = m.end() - m.start()
@@ -107,7 +107,7 @@ class Tokens:
     spans: list[tuple[int, int]]  # without punctuation at the ends
     features: np.ndarray  # (n, FEATURES) of 0 and 1
     chained: np.ndarray  # whether the token before is the variable before
-    ties: np.ndarray  # (m, 2) indices of repeated or similar tokens
+    ties: np.ndarray  # (m, 2) indices of repeated or similar tokens, each with the number of its class, from 0 on
     possible: np.ndarray  # (n, L) labels that the characters allow
 
 
@@ -116,7 +116,7 @@ FEATURES = len(SIZES) + 20
 
 
 def tokens(text: str) -> Tokens | None:
-    spans, rows, chained, possible, ties, last_of = [], [], [], [], [], {}
+    spans, rows, chained, possible, classes = [], [], [], [], {}
     found, at, end_before = SIGNAL.search(text), 0, -1
     while found:
         start = i = found.start()
@@ -147,7 +147,7 @@ def tokens(text: str) -> Tokens | None:
             "-" in core,
             dots == 1,
             dots == 3 and bool(IP.fullmatch(core)),
-            dots == 3 and bool(IP.fullmatch(core)) and all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in core.split(".")),
+            dots == 3 and bool(IP.fullmatch(core)) and all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or "0") <= 255 for p in core.split(".")),
             14 <= n <= 19 and luhn(digits),
             14 <= n <= 19 and not letters,
             10 <= n <= 15 and not letters,
@@ -161,9 +161,7 @@ def tokens(text: str) -> Tokens | None:
         allowed = bytes((1, email, email, ip, ip, 1, 1, 1, 1))
         key = digits if n >= 7 else core.lower()
         k = len(spans)
-        if key in last_of:
-            ties.append((last_of[key], k))
-        last_of[key] = k
+        classes.setdefault(key, []).append(k)
         chained.append(k > 0 and start - end_before == 1)
         spans.append((begin, begin + len(core)))
         rows.append(row)
@@ -174,6 +172,7 @@ def tokens(text: str) -> Tokens | None:
         return None
     features = np.frombuffer(b"".join(rows), np.uint8).reshape(-1, FEATURES)
     labels = np.frombuffer(b"".join(possible), bool).reshape(-1, L)
+    ties = [(k, c) for c, same in enumerate(x for x in classes.values() if len(x) > 1) for k in same]
     return Tokens(spans, features, np.array(chained), np.array(ties, np.int64).reshape(-1, 2), labels)
 
 
@@ -194,13 +193,18 @@ class Field:
         return cls(np.zeros((FEATURES, L)), np.where(LEGAL, 0.0, NEVER), np.where(LEGAL[0], 0.0, NEVER), 1.0)
 
     def graph(self, docs: list[Tokens]):
-        """(node potentials, edges' ends, how many of the edges are chain edges) of several documents."""
+        """(node potentials, edges' ends, how many of the edges are chain edges) of several documents.
+
+        After the tokens come hubs, one for each class of equal tokens, so that any two of them are two edges apart.
+        """
         starts = np.cumsum([0, *(len(d.spans) for d in docs)])
         chained = np.concatenate([d.chained for d in docs])
         nodes = np.concatenate([d.features for d in docs]).astype(np.float64) @ self.unary
         nodes += np.where(chained[:, None], 0.0, self.first) + np.where(np.concatenate([d.possible for d in docs]), 0.0, NEVER)
         on = np.flatnonzero(chained)
-        ties = np.concatenate([d.ties + s for d, s in zip(docs, starts, strict=False)])
+        hubs = [len(nodes), *(int(d.ties[:, 1].max(initial=-1)) + 1 for d in docs)]
+        ties = np.concatenate([d.ties + (s, h) for d, s, h in zip(docs, starts, np.cumsum(hubs), strict=False)])
+        nodes = np.concatenate([nodes, np.zeros((sum(hubs) - len(nodes), L))])
         return nodes, np.concatenate([on - 1, ties[:, 0]]), np.concatenate([on, ties[:, 1]]), len(on)
 
     def messages(self, graph, rounds: int = 8, chunk: int = 8192) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -243,10 +247,14 @@ class Field:
             graph = self.graph(docs)
             belief, ahead, back = self.messages(graph)
             both = self.pairs(graph, belief, ahead, back)
-            _, a, b, chains = graph
-            miss = own - np.exp(belief - _log_sum(belief, 1)[:, None])
+            nodes, a, b, chains = graph
+            miss = own - np.exp(belief[:n] - _log_sum(belief[:n], 1)[:, None])
+            # a hub has the label that most of its tokens have
+            votes = np.zeros((len(nodes), L))
+            np.add.at(votes, b[chains:], own[a[chains:]])
+            every = np.concatenate([y, votes[n:].argmax(axis=1)])
             real = np.zeros_like(both)
-            real[np.arange(len(a)), y[a], y[b]] = 1
+            real[np.arange(len(a)), every[a], every[b]] = 1
             grads = (
                 x.T @ miss / n - keep * self.unary,
                 ((real - both)[:chains].sum(axis=0) / n - keep * self.chain) * LEGAL,
@@ -316,9 +324,9 @@ def examples(text: str) -> tuple[Tokens, np.ndarray] | None:
     if not use.any():
         return None
     place = np.cumsum(use) - 1
-    ties = found.ties[use[found.ties].all(axis=1)] if len(found.ties) else found.ties
+    ties = found.ties[use[found.ties[:, 0]]]
     chained = found.chained & np.concatenate([[False], use[:-1]])
-    kept = Tokens([s for s, u in zip(found.spans, use, strict=True) if u], found.features[use], chained[use], place[ties], found.possible[use])
+    kept = Tokens([s for s, u in zip(found.spans, use, strict=True) if u], found.features[use], chained[use], np.stack([place[ties[:, 0]], ties[:, 1]], axis=1), found.possible[use])
     return kept, y[use]
 
 

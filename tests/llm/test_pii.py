@@ -1,6 +1,7 @@
 import re
 import time
 
+import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -47,6 +48,26 @@ def test_long_texts_take_linear_time():
     assert time.time() - start < 20
 
 
+def test_long_runs_of_zeros():
+    zeros = "0" * 5000
+    assert pii.patterns(f"{zeros}1.2.3.{zeros}")[0] == [("ip", 0, 10_006)]
+    assert pii.tokens(f"{zeros}1.2.3.{zeros}").spans == [(0, 10_006)]
+
+
+def test_equal_tokens_agree_across_a_document():
+    """The first of 60 equal numbers says what they are; all others follow."""
+    found = pii.tokens(" words ".join(["1234567890"] * 60))
+    assert len(found.ties) == 60 and set(found.ties[:, 1].tolist()) == {0}
+    field = pii.Field.new()
+    field.tie = 8.0
+    begin = pii.LABELS.index("B-phone")
+    graph = field.graph([found])
+    graph[0][0, begin] += 30.0
+    belief = field.messages(graph)[0][:60]
+    assert (belief.argmax(axis=1) == begin).all()
+    assert np.exp(belief[:, begin] - pii._log_sum(belief, 1)).min() > 0.9
+
+
 def test_masked():
     text = "x a@b.cd y +1 (743) 555-3824 é 1.2.3.4"
     assert pii.masked(text, pii.patterns(text)[0]) == "x [EMAIL] y [PHONE] é [IP]"
