@@ -9,7 +9,9 @@ low-rank vectors v:
     w0 + sum_i w_i x_i + 1/2 sum_f [ (sum_i v_if x_i)^2 - sum_i v_if^2 x_i^2 ]
 
 so that a score takes time linear in the number of features. Training runs in
-numpy on a bounded sample of labelled rows, as many of either label.
+numpy on a bounded sample of labelled rows, with weights that make both labels
+count alike. Margins become scores by a calibration on folds that were held out
+of training, so that a threshold means the same at every number of labels.
 """
 
 from __future__ import annotations
@@ -86,11 +88,13 @@ class Features:
 
 @dataclass
 class Machine:
-    """The model: bias, linear weights, and ``rank`` factors of each feature."""
+    """The model: bias, linear weights, and ``rank`` factors of each feature; slope and shift from margins to scores."""
 
     bias: float
     linear: np.ndarray
     factors: np.ndarray
+    slope: float = 1.0
+    shift: float = 0.0
 
     @classmethod
     def new(cls, rank: int = 8, seed: int = 5) -> Machine:
@@ -103,35 +107,89 @@ class Machine:
         return float(self.bias + self.linear[index] @ value + 0.5 * (total @ total - (own * own).sum()))
 
     def probability(self, index: np.ndarray, value: np.ndarray) -> float:
-        return float(1 / (1 + np.exp(-np.clip(self.margin(index, value), -30, 30))))
-
-    def train(self, rows: list[tuple[int, np.ndarray, np.ndarray]], epochs: int = 6, batch: int = 64, rate: float = 0.1, seed: int = 5) -> None:
-        """Adaptive stochastic gradients of the logistic loss; rows are (label, index, value)."""
-        rng = np.random.default_rng(seed)
-        spent_w, spent_v, spent_b = np.full(SIZE, 1e-2), np.full(self.factors.shape, 1e-2), 1e-2
-        for _ in range(epochs):
-            order = rng.permutation(len(rows))
-            for lo in range(0, len(rows), batch):
-                some = [rows[i] for i in order[lo : lo + batch]]
-                of = np.repeat(np.arange(len(some)), [len(r[1]) for r in some])
-                index, value = np.concatenate([r[1] for r in some]), np.concatenate([r[2] for r in some])
-                own = self.factors[index] * value[:, None]
-                starts = np.searchsorted(of, np.arange(len(some)))
-                total = np.add.reduceat(own, starts, axis=0)
-                z = self.bias + np.add.reduceat(self.linear[index] * value, starts)
-                z += 0.5 * ((total**2).sum(axis=1) - np.add.reduceat((own**2).sum(axis=1), starts))
-                g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - [r[0] for r in some]) / len(some)
-                each = g[of] * value
-                by = np.argsort(index, kind="stable")
-                seen, first = np.unique(index[by], return_index=True)
-                grad_w = np.add.reduceat(each[by], first) + 1e-6 * self.linear[seen]
-                grad_v = np.add.reduceat((each[:, None] * (total[of] - own))[by], first, axis=0) + 1e-6 * self.factors[seen]
-                spent_w[seen] += grad_w**2
-                spent_v[seen] += grad_v**2
-                spent_b += g.sum() ** 2
-                self.linear[seen] -= (rate * grad_w / np.sqrt(spent_w[seen])).astype(np.float32)
-                self.factors[seen] -= (rate * grad_v / np.sqrt(spent_v[seen])).astype(np.float32)
-                self.bias -= float(rate * g.sum() / np.sqrt(spent_b))
+        """Of label 1, as calibrated."""
+        return float(1 / (1 + np.exp(-np.clip(self.slope * self.margin(index, value) + self.shift, -30, 30))))
+
+    def train(self, rows: list[Row], steps: int = 300, batch: int = 64, rate: float = 0.1, seed: int = 5) -> None:
+        """A number of adaptive stochastic gradient steps, whatever the number of rows.
+
+        The loss is logistic, with weights that make both labels count alike.
+        Only features that occur in ``rows`` are touched, in dense arrays of their own.
+        """
+        rng, y = np.random.default_rng(seed), np.array([r[0] for r in rows], np.float64)
+        weight = _balance(y)
+        known, where = np.unique(np.concatenate([r[1] for r in rows]), return_inverse=True)
+        values, sizes = np.concatenate([r[2] for r in rows]).astype(np.float64), np.array([len(r[1]) for r in rows])
+        begin, n = np.cumsum(sizes) - sizes, len(known)
+        linear, factors = self.linear[known].astype(np.float64), self.factors[known].T.astype(np.float64)
+        spent_w, spent_v, spent_b = np.full(n, 1e-2), np.full(factors.shape, 1e-2), 1e-2
+        order = np.zeros(0, np.int64)
+        for _ in range(steps):
+            if len(order) < min(batch, len(rows)):
+                order = rng.permutation(len(rows))
+            pick, order = order[:batch], order[batch:]
+            starts = np.cumsum(sizes[pick]) - sizes[pick]
+            of = np.repeat(np.arange(len(pick)), sizes[pick])
+            at = np.arange(len(of)) + (begin[pick] - starts)[of]
+            index, value = where[at], values[at]
+            own = factors.take(index, axis=1) * value
+            total = np.add.reduceat(own, starts, axis=1)
+            z = self.bias + np.add.reduceat(linear[index] * value, starts)
+            z += 0.5 * ((total**2).sum(axis=0) - np.add.reduceat((own**2).sum(axis=0), starts))
+            g = weight[pick] * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[pick]) / len(pick)
+            each = g[of] * value
+            grad_w = np.bincount(index, each, n)
+            grad_v = np.stack([np.bincount(index, d, n) for d in (total.take(of, axis=1) - own) * each])
+            spent_w += grad_w**2
+            spent_v += grad_v**2
+            spent_b += g.sum() ** 2
+            linear -= rate * grad_w / np.sqrt(spent_w)
+            factors -= rate * grad_v / np.sqrt(spent_v)
+            self.bias -= float(rate * g.sum() / np.sqrt(spent_b))
+        self.linear[known], self.factors[known] = linear, factors.T
+
+    def calibrate(self, margins: np.ndarray, y: np.ndarray, cut: float) -> None:
+        """Slope and shift of the margins, so that ``cut`` is the score where both labels, weighted alike, are as likely.
+
+        A logistic fit by Newton's method. Its targets stay off 0 and 1 by what so
+        few rows can tell, so that labels which margins part entirely have a finite slope.
+        """
+        ones, weight = y.sum(), _balance(y)
+        goal = np.where(y == 1, (ones + 1) / (ones + 2), 1 / (len(y) - ones + 2))
+        x, at = np.stack([margins, np.ones(len(y))]), np.array([1.0, 0.0])
+        for _ in range(100):
+            p = 1 / (1 + np.exp(-np.clip(at @ x, -30, 30)))
+            move = np.linalg.solve((x * (weight * p * (1 - p))) @ x.T + 1e-6 * np.eye(2), x @ (weight * (p - goal)))
+            at = at - move * min(1.0, 2 / max(1e-12, np.abs(move).max()))
+        self.slope, self.shift = max(1e-3, float(at[0])), float(at[1] + np.log(cut / (1 - cut)))
+
+
+Row = tuple[int, np.ndarray, np.ndarray]  # label, feature indices and their values
+
+
+def _balance(y: np.ndarray) -> np.ndarray:
+    """Weights of rows with which either label has half of the whole."""
+    ones = max(1.0, y.sum())
+    return np.where(y == 1, len(y) / (2 * ones), len(y) / (2 * max(1.0, len(y) - ones)))
+
+
+def learn(rows: list[Row], cut: float = 0.3, folds: int = 3, seed: int = 5) -> Machine:
+    """A machine trained on all rows, calibrated by the margins that machines trained without a row's fold give it."""
+    rng, y = np.random.default_rng(seed), np.array([r[0] for r in rows])
+    fold, margins = np.zeros(len(rows), np.int64), np.zeros(len(rows))
+    for label in (0, 1):
+        own = rng.permutation(np.flatnonzero(y == label))
+        fold[own] = np.arange(len(own)) % folds
+    for k in range(folds):
+        machine, rest = Machine.new(), np.flatnonzero(fold != k)
+        if len(rest):
+            machine.train([rows[i] for i in rest])
+        for i in np.flatnonzero(fold == k):
+            margins[i] = machine.margin(*rows[i][1:])
+    machine = Machine.new()
+    machine.train(rows)
+    machine.calibrate(margins, y.astype(np.float64), cut)
+    return machine
 
 
 def _rows(docs: DataFrame, metadata: list[str], *first: str) -> DataFrame:
@@ -142,11 +200,13 @@ def _values(metadata: pa.StructArray) -> list[tuple]:
     return [tuple(x.values())[1:] for x in metadata.to_pylist()]
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", metadata: list[str] | None = None, each: int = 1500) -> Machine | None:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", metadata: list[str] | None = None, each: int = 1500, cut: float = 0.3) -> Machine | None:
     """Learn from ``labels`` (doc_id and a label of 0 or 1) of ``docs``; None unless both labels occur.
 
     At most 4 * each labels are drawn, from the label table alone; only their
-    rows' features reach the driver.
+    rows' features reach the driver, one row for each doc_id: of repeated ones the
+    row and the label that come first in order. ``cut`` is the score at which
+    both labels are to be as likely. Columns of other names are ignored.
     """
     known = labels.where(F.col(label).isin(0, 1)).select("doc_id", F.col(label).cast("int").alias("label"))
     some = per_label(known, "label", each).select(F.col("doc_id").alias("labelled_id"), "label")
@@ -154,26 +214,25 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", metadata: li
     def run(batches):
         features = Features()
         for batch in batches:
-            found = [features(t.as_py(), m) for t, m in zip(batch.column(1), _values(batch.column(2)), strict=True)]
+            found = [features(t.as_py(), m) for t, m in zip(batch.column(2), _values(batch.column(3)), strict=True)]
             index, value = pa.array([x[0] for x in found], pa.list_(pa.int64())), pa.array([x[1] for x in found], pa.list_(pa.float32()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), index, value], ["label", "index", "value"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), index, value], ["id", "label", "index", "value"])
 
-    joined = docs.join(F.broadcast(some), docs["doc_id"] == F.col("labelled_id"))
-    got = _rows(joined, metadata or [], "label").mapInArrow(run, "label int, index array<long>, value array<float>").collect()
+    texts = _rows(docs, metadata or [], "doc_id")
+    joined = texts.join(F.broadcast(some), F.col("doc_id") == F.col("labelled_id")).select("doc_id", "label", "text", "metadata")
+    got = joined.mapInArrow(run, f"id {texts.schema['doc_id'].dataType.simpleString()}, label int, index array<long>, value array<float>")
+    got = got.groupBy("id").agg(F.min(F.struct("label", "index", "value")).alias("x")).select("x.*").collect()
     rows = [(r["label"], np.array(r["index"]), np.array(r["value"], np.float32)) for r in got]
     rows.sort(key=lambda r: (r[0], r[1].tobytes(), r[2].tobytes()))  # the same order in every run
-    if {r[0] for r in rows} != {0, 1}:
-        return None
-    machine = Machine.new()
-    machine.train(rows)
-    return machine
+    return learn(rows, cut) if {r[0] for r in rows} == {0, 1} else None
 
 
 def score(docs: DataFrame, machine: Machine | None, metadata: list[str] | None = None) -> DataFrame:
     """(doc_id, score) of every row from its whole text, a null text as an empty one.
 
-    The score is the probability of label 1 where both labels are as common; 0.5
-    for all if nothing was learned. Null metadata is a value of its own. Repeated
+    The score is the probability of label 1, moved so that both labels are as
+    likely at the cut that the machine was learned for; 0.5 for all if nothing
+    was learned. Null metadata is a value of its own. Repeated
     and null doc_ids stay as they are. Other columns are ignored.
     """
 
