@@ -18,7 +18,10 @@ from pyspark.sql import functions as F
 from gradus.llm.tables import cut
 
 Rules = list[tuple[str, str]]  # (verdict, rule), a rule being host/path
-LINK = r"""(?is)<a\s[^>]*?href\s*=\s*["']([^"']*)["']"""
+LINK = r"""(?is)<a\s[^>]*?\bhref\s*=\s*["']?\s*([^"'\s>]*)"""  # quoted or not; up to a space, as hosts have none
+
+
+AT_ONCE = 3  # rounds from one checkpoint to the next
 
 
 def _cased(host: Column) -> Column:
@@ -56,37 +59,44 @@ def edges(pages: DataFrame) -> DataFrame:
     return named.where("a <> b AND a <> '' AND b <> ''").groupBy("a", "b").agg(F.count("*").alias("n"))
 
 
-def spread(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int = 20, tolerance: float = 1e-4) -> DataFrame:
+def spread(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, tolerance: float = 1e-4, rounds: int = 1000) -> DataFrame:
     """(host, rank) for rank = seed + damping * what the hosts that link to it pass on, by number of links.
 
-    ``edges`` are (a, b, n), ``seeds`` (host, seed) with positive seeds. Stops
-    after ``rounds``, or when what still moves is below ``tolerance`` of the
-    seeds. Hosts that nothing reaches are absent.
+    ``edges`` are (a, b, n), ``seeds`` (host, seed) with positive seeds. Goes on
+    until what still moves, and all that it could add, is at most ``tolerance`` of
+    the seeds; mass shrinks by ``damping`` at least in each round, so that this
+    takes log(tolerance * (1 - damping)) / log(damping) rounds at most, 69 by
+    default. An error if that is not reached within ``rounds``. Hosts that nothing
+    reaches are absent.
     """
     out = edges.groupBy(F.col("a").alias("of")).agg(F.sum("n").alias("out"))
     share = cut(edges.join(out, F.col("a") == F.col("of")).select("a", "b", (F.col("n") / F.col("out")).alias("part")))
-    moving = seeds.select("host", F.col("seed").cast("double").alias("mass"))
-    rank = moving
+    rank = seeds.select("host", F.col("seed").cast("double").alias("rank"), F.col("seed").cast("double").alias("moving"))
     total = seeds.agg(F.sum("seed")).first()[0] or 0.0
-    for done in range(rounds):
-        moving = share.join(moving, F.col("a") == F.col("host")).select(F.col("b").alias("host"), (F.col("mass") * F.col("part") * damping).alias("mass"))
-        moving = cut(moving.groupBy("host").agg(F.sum("mass").alias("mass")))
-        left = moving.agg(F.sum("mass")).first()[0] or 0.0
-        if not left:
-            break
-        rank = cut(rank.unionByName(moving).groupBy("host").agg(F.sum("mass").alias("mass")))
-        if left <= tolerance * total:
-            break
-    return rank.select("host", F.col("mass").alias("rank"))
-
-
-def judge(pages: DataFrame, rules: Rules, threshold: float = 0.5, damping: float = 0.85, rounds: int = 20) -> DataFrame:
+    for _ in range(0, rounds, AT_ONCE):
+        for _ in range(AT_ONCE):
+            passed = share.join(rank.where("moving > 0"), F.col("a") == F.col("host"))
+            passed = passed.select(F.col("b").alias("host"), F.lit(0.0).alias("rank"), (F.col("moving") * F.col("part") * damping).alias("moving"))
+            every = rank.select("host", "rank", F.lit(0.0).alias("moving")).unionByName(passed).groupBy("host").agg(F.sum("rank").alias("rank"), F.sum("moving").alias("moving"))
+            rank = every.select("host", (F.col("rank") + F.col("moving")).alias("rank"), "moving")
+        rank = cut(rank)
+        left = rank.agg(F.sum("moving")).first()[0] or 0.0
+        if left * damping <= tolerance * (1 - damping) * total:
+            return rank.select("host", "rank")
+    raise RuntimeError(f"ranks did not settle in {rounds} rounds")
+
+
+def judge(pages: DataFrame, rules: Rules, threshold: float = 0.5, damping: float = 0.85, tolerance: float = 1e-4, salts: int = 64, broadcast_rows: int = 100_000) -> DataFrame:
     """(page_id, host, path, rule, verdict, trust, distrust), one row per input row.
 
     The verdict is that of the longest rule that fits, else its host's. Pages
     whose url is null or has no ``://`` have an empty host, which is in no graph
     and allowed. Repeated rows are judged alike, and each counts in its host's
     share. A null html has no links. Other columns are ignored.
+
+    Scores come to pages by host. Only hosts with a score are joined: broadcast up
+    to ``broadcast_rows`` of them, beyond that as ``salts`` copies each, among which
+    the pages of a host are dealt out, so that no host's pages meet in one task.
     """
     host, path = host_of(F.col("url")), path_of(F.col("url"))
     judged = pages.select("page_id", host.alias("host"), path.alias("path"), rule_of(host, path, rules).alias("by"))
@@ -95,14 +105,18 @@ def judge(pages: DataFrame, rules: Rules, threshold: float = 0.5, damping: float
     graph = cut(edges(pages))
     trusted = hosts.where("allowed > 0").select("host", F.col("allowed").alias("seed"))
     suspect = hosts.where("blocked > 0").select("host", F.col("blocked").alias("seed"))
-    trust = spread(graph, trusted, damping, rounds).withColumnRenamed("rank", "trust")
+    trust = spread(graph, trusted, damping, tolerance).withColumnRenamed("rank", "trust")
     back = graph.select(F.col("b").alias("a"), F.col("a").alias("b"), "n")
-    distrust = spread(back, suspect, damping, rounds).withColumnRenamed("rank", "distrust")
-    scored = hosts.select("host").join(trust, "host", "left").join(distrust, "host", "left").select(
-        F.col("host").alias("of"), F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust")
-    )
+    distrust = spread(back, suspect, damping, tolerance).withColumnRenamed("rank", "distrust")
+    scored = trust.withColumnRenamed("host", "of").join(distrust.withColumnRenamed("host", "of"), "of", "full")
+    scored = cut(scored.select("of", F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust")))
     own = F.when(F.col("distrust") - F.col("trust") >= threshold, "block").otherwise("allow")
-    joined = judged.join(scored, F.col("host") == F.col("of"), "left")
+    if scored.count() <= broadcast_rows:
+        joined = judged.join(F.broadcast(scored), F.col("host") == F.col("of"), "left")
+    else:
+        copies = scored.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        dealt = judged.withColumn("salt", F.pmod(F.xxhash64("page_id", "path"), F.lit(salts)).cast("int"))
+        joined = dealt.join(copies, (F.col("host") == F.col("of")) & (F.col("salt") == F.col("copy")), "left")
     return joined.select(
         "page_id",
         "host",

@@ -18,11 +18,13 @@ def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the cluster's shared checkpoint folder and go on from there.
 
     The folder is the session's (``spark.checkpoint.dir``). Only a local
-    session without one gets a temporary folder.
+    session without one, all of whose tasks run in this process, gets a temporary
+    folder. Old checkpoints go with the objects that hold them if the session
+    was started with ``spark.cleaner.referenceTracking.cleanCheckpoints``.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        if not sc.master.startswith("local"):
+        if sc.master != "local" and not sc.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="gradus-"))
     return df.checkpoint()
