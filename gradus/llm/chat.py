@@ -4,7 +4,8 @@ Chat logs often hold a conversation once per turn, each time as far as it had
 come. Such a snapshot is a prefix of a longer conversation. Every turn hashes to
 128 bits together with its position; the running XOR over a conversation's turns
 identifies each of its prefixes. An anti-join of whole conversations with the
-distinct proper prefixes of all leaves the maximal ones.
+distinct proper prefixes of all leaves the maximal ones. Prefixes are computed
+once and written to the shared checkpoint folder.
 
 Built from DataFrame functions only. Texts are hashed where they are read; only
 thin rows move until the kept conversations are rendered.
@@ -15,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gradus.llm.tables import cut
+
 
 def prefixes(turns: DataFrame) -> DataFrame:
     """(conv_id, pos, n, h1, h2): the hash of each conversation's first pos turns, n of which it has."""
@@ -26,10 +29,11 @@ def prefixes(turns: DataFrame) -> DataFrame:
         F.xxhash64(role, text, absent).alias("x"),
         F.xxhash64(F.lit("chat"), text, role, absent).alias("y"),
     )
+    # all windows go by one order, so that one shuffle and one sort serve them
     order = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "x", "y")
     every = Window.partitionBy("conv_id")
-    placed = thin.select("conv_id", "x", "y", F.row_number().over(order).alias("pos"), F.count("*").over(every).alias("n"))
-    run = Window.partitionBy("conv_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    run = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = thin.select("*", F.row_number().over(order).alias("pos"), F.count("*").over(every).alias("n"))
     return placed.select(
         "conv_id",
         "pos",
@@ -47,7 +51,7 @@ def maximal(turns: DataFrame) -> DataFrame:
     or text differs from an empty one. Rows without conv_id belong to no
     conversation and are left out. Other columns are ignored.
     """
-    known = prefixes(turns)
+    known = cut(prefixes(turns))  # thin rows, read twice from here
     whole = (
         known.where("pos = n").groupBy("pos", "h1", "h2").agg(F.min("conv_id").alias("conv_id"), F.count("*").alias("n_copies"))
     )
@@ -72,8 +76,8 @@ def render(turns: DataFrame, start: str = "<|im_start|>", end: str = "<|im_end|>
     )
     line = F.concat(F.lit(start), F.col("role"), F.lit("\n"), F.col("text"), F.lit(f"{end}\n"))
     ordered = F.array_sort(F.collect_list(F.struct(F.coalesce("turn", F.lit(-(1 << 63))).alias("turn"), "x", line.alias("line"))))
-    texts = rows.join(kept.select("conv_id"), "conv_id", "left_semi").groupBy("conv_id").agg(ordered.alias("lines"))
-    return kept.join(texts, "conv_id").select(
+    texts = rows.join(kept, "conv_id").groupBy("conv_id", "n_turns", "n_copies").agg(ordered.alias("lines"))
+    return texts.select(
         "conv_id", "n_turns", "n_copies", F.array_join(F.transform("lines", lambda x: x["line"]), "").alias("text")
     )
 
