@@ -116,24 +116,23 @@ class ByteNet:
             g["bytes"] += table @ p[f"at{k}"].T
         return g
 
-    def train(self, x: np.ndarray, y: np.ndarray, epochs: int = 4, batch: int = 64, rate: float = 0.01) -> None:
+    def train(self, x: np.ndarray, y: np.ndarray, steps: int = 640, batch: int = 64, rate: float = 0.01) -> None:
+        """A number of steps of Adam, whatever the number of windows."""
         rng = np.random.default_rng(self.seed)
         first, second = ({n: np.zeros_like(v) for n, v in self.p.items()} for _ in range(2))
-        steps, total = 0, epochs * -(-len(x) // batch)
-        for _ in range(epochs):
-            order = rng.permutation(len(x))
-            for lo in range(0, len(x), batch):
-                pick = order[lo : lo + batch]
-                steps += 1
-                now = rate * (1 - steps / (total + 1))
-                for n, v in self.gradients(x[pick], y[pick]).items():
-                    first[n] = 0.9 * first[n] + 0.1 * v
-                    second[n] = 0.999 * second[n] + 0.001 * v * v
-                    fix = np.sqrt(1 - 0.999**steps) / (1 - 0.9**steps)
-                    self.p[n] -= (now * fix * first[n] / (np.sqrt(second[n]) + 1e-8)).astype(np.float32)
-
-
-def fit(labelled: DataFrame, each: int = 600, passage: int = 1024, epochs: int = 4, seed: int = 3) -> ByteNet | None:
+        order = np.zeros(0, np.int64)
+        for step in range(1, steps + 1):
+            if len(order) < min(batch, len(x)):
+                order = rng.permutation(len(x))
+            pick, order = order[:batch], order[batch:]
+            now = rate * (1 - step / (steps + 1)) * np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
+            for n, v in self.gradients(x[pick], y[pick]).items():
+                first[n] = 0.9 * first[n] + 0.1 * v
+                second[n] = 0.999 * second[n] + 0.001 * v * v
+                self.p[n] -= (now * first[n] / (np.sqrt(second[n]) + 1e-8)).astype(np.float32)
+
+
+def fit(labelled: DataFrame, each: int = 600, passage: int = 1024, steps: int = 640, seed: int = 3) -> ByteNet | None:
     """Learn from rows with doc_id, text and lang; None if no row has all three.
 
     At most 2 * each * languages passages reach the driver.
@@ -154,7 +153,7 @@ def fit(labelled: DataFrame, each: int = 600, passage: int = 1024, epochs: int =
     if not languages:
         return None
     net = ByteNet(languages, seed=seed)
-    net.train(np.array(x), np.array(y), epochs)
+    net.train(np.array(x), np.array(y), steps)
     return net
 
 
