@@ -7,9 +7,10 @@ linked documents form groups.
 Search. Only distinct fingerprints are compared. The 64 bits are cut into
 ``radius + 2`` blocks; two fingerprints within the radius agree on at least two
 blocks, so they meet in one of the tables keyed by a pair of blocks. Buckets
-with more than ``bucket_rows`` fingerprints are cut again, by pairs of blocks of
-the bits that the bucket leaves open, until a pair within the radius needs no
-more room than the bits allow; nothing is dropped.
+with more than ``bucket_rows`` fingerprints are cut again, by three of ``radius + 3``
+blocks of the bits that the bucket leaves open, and what is still crowded once
+more, by four of ``radius + 4``. With a radius of 3 that fixes 56 of the 64 bits, so
+that no bucket holds more than 256 fingerprints; nothing is dropped.
 
 Comparison. Inside a task the fingerprints of a block lie as vertical bit
 planes, 64 candidates to a machine word. One query's bit flips a plane, and a
@@ -194,29 +195,43 @@ def _long(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _keyed(fps: DataFrame, masks: list[int]) -> DataFrame:
-    keys = [F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(_long(m))).alias("k")) for i, m in enumerate(masks)]
-    return fps.select("fp", F.explode(F.array(*keys)).alias("e")).select("e.t", "e.k", "fp")
+def finer(masks: list[int], radius: int, keep: int) -> list[tuple[int, int]]:
+    """(mask, mask with further bits): for each mask those of the tables over the bits that it leaves open."""
+    return [(m, m | x) for m in masks for x in tables(radius, [b for b in range(BITS) if not m >> b & 1], keep)]
+
+
+LEVELS = 3
 
 
 def links(fps: DataFrame, radius: int = 3, bucket_rows: int = 4096) -> DataFrame:
-    """Spanning links (a, b) among distinct fingerprints ``fp`` at ``radius`` or fewer differing bits."""
-    first = tables(radius)
-    keyed = _keyed(fps, first)
-    sizes = keyed.groupBy(F.col("t").alias("t2"), F.col("k").alias("k2")).agg(F.count("*").alias("n")).where("n > 1")
-    met = keyed.join(sizes, (F.col("t") == F.col("t2")) & (F.col("k") == F.col("k2"))).select("t", "k", "fp", "n")
-    # a crowded bucket is cut once more by the bits that its key leaves open
-    inner = [[m | x for x in tables(radius, [b for b in range(BITS) if not m >> b & 1], keep=3)] for m in first]
-    masks = F.array(*[F.array(*[F.lit(_long(m)) for m in row]) for row in inner])
-    finer = F.transform(
-        F.element_at(masks, F.col("t") + 1),
-        lambda m, i: F.struct((F.col("t") * 100 + i + 1000).alias("t"), F.col("fp").bitwiseAND(m).alias("k")),
-    )
-    own = F.array(F.struct("t", "k"))
-    pairs = met.select("fp", F.explode(F.when(F.col("n") <= bucket_rows, own).otherwise(finer)).alias("e")).select("e.t", "e.k", "fp")
-    return (
-        pairs.repartition("t", "k").sortWithinPartitions("t", "k").mapInArrow(_compare(radius), "a long, b long")
-    )
+    """Spanning links (a, b) among distinct fingerprints ``fp`` at ``radius`` or fewer differing bits.
+
+    A bucket is a mask and the bits under it. The list of masks depends on the
+    radius alone, so that it may be broadcast; of the buckets only sizes are
+    looked at, and one row per mask reaches the driver.
+    """
+    spark, masks, parts = fps.sparkSession, [0], []
+    rows = fps.select(F.lit(0).cast("long").alias("mask"), "fp")
+    for level in range(LEVELS):
+        table = spark.createDataFrame([(_long(m), _long(x)) for m, x in finer(masks, radius, level + 2)], "mask long, finer long")
+        rows = rows.join(F.broadcast(table), "mask").select(F.col("finer").alias("mask"), F.col("fp").bitwiseAND(F.col("finer")).alias("k"), "fp")
+        sizes = rows.groupBy("mask", "k").agg(F.count("*").alias("n")).where("n > 1")
+        if level == LEVELS - 1:
+            parts.append(rows.join(sizes, ["mask", "k"]))
+            break
+        sizes = cut(sizes)
+        masks = [r.mask % (1 << BITS) for r in sizes.where(F.col("n") > bucket_rows).select("mask").distinct().collect()]
+        met = rows.join(sizes, ["mask", "k"])
+        if not masks:
+            parts.append(met)
+            break
+        parts.append(met.where(F.col("n") <= bucket_rows))
+        rows = cut(met.where(F.col("n") > bucket_rows).select("mask", "fp"))
+    pairs = parts[0]
+    for part in parts[1:]:
+        pairs = pairs.unionByName(part)
+    pairs = pairs.select("mask", "k", "fp").repartition("mask", "k").sortWithinPartitions("mask", "k")
+    return pairs.mapInArrow(_compare(radius), "a long, b long")
 
 
 def groups(docs: DataFrame, shingle: int = 3, radius: int = 3, bucket_rows: int = 4096) -> DataFrame:
@@ -250,7 +265,8 @@ def first_of_each_group(docs: DataFrame, **options) -> DataFrame:
     """
     kept = groups(docs, **options).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     kept = cut(kept.groupBy(F.col("doc_id").alias("kept_id")).agg(F.count("*").alias("kept_n")))
-    stay = docs.join(kept, docs["doc_id"].eqNullSafe(F.col("kept_id")))
-    once = stay.where("kept_n = 1").select(docs.columns)
-    more = stay.where("kept_n > 1").select(docs.columns).dropDuplicates(["doc_id", "text"])
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    stay = rows.join(kept, F.col("id").eqNullSafe(F.col("kept_id")))
+    once = stay.where("kept_n = 1").select("row.*")
+    more = stay.where("kept_n > 1").withColumn("text", F.col("row.text")).dropDuplicates(["id", "text"]).select("row.*")
     return once.unionByName(more)
