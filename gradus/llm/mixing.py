@@ -63,15 +63,25 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int =
 def fill(sizes: list[int], counts: list[int], budget: int, seed: int = 0, reach: int = 1 << 17) -> list[int]:
     """How many items of each size to take so that the sum comes as near to the budget as can be found.
 
-    Sizes are distinct and positive. Never more than counts; the sum is exact
-    whenever the program over the last ``reach`` units finds it, and otherwise
-    the nearest sum that it reaches.
+    Sizes are distinct and positive. Never more than counts. The program over the
+    last ``reach`` units mostly finds the exact sum; if not, it runs again over
+    twice the largest size, which no remainder exceeds that larger items could
+    close. The sum is then off by no more than the smallest size that is not used
+    up. Memory: five bytes for each unit of up to three times the largest size.
     """
     total = sum(s * c for s, c in zip(sizes, counts, strict=True))
     if budget <= 0 or not total:
         return [0] * len(sizes)
     if budget >= total:
         return list(counts)
+    off = lambda t: abs(budget - sum(s * x for s, x in zip(sizes, t, strict=True)))
+    best = _closed(sizes, counts, budget, total, seed, reach)
+    if off(best) and 2 * max(sizes) > reach:
+        best = min(best, _closed(sizes, counts, budget, total, seed, 2 * max(sizes)), key=off)
+    return best
+
+
+def _closed(sizes: list[int], counts: list[int], budget: int, total: int, seed: int, reach: int) -> list[int]:
     taken = [c * budget // total for c in counts]
     left = budget - sum(s * t for s, t in zip(sizes, taken, strict=True))
     order = np.random.default_rng(seed).permutation(len(sizes)).tolist()
@@ -85,7 +95,7 @@ def fill(sizes: list[int], counts: list[int], budget: int, seed: int = 0, reach:
             left -= more * sizes[i]
     goal = int(min(left, reach))
     top = goal + min(reach, max(sizes))
-    via = np.full(top + 1, -1, np.int64)  # the item that first reached a sum
+    via = np.full(top + 1, -1, np.int32)  # the item that first reached a sum
     reached = np.zeros(top + 1, bool)
     reached[0] = True
     items: list[tuple[int, int]] = []
@@ -123,53 +133,72 @@ def _fill_source(pdf: pd.DataFrame) -> pd.DataFrame:
     return pdf[["source", "size", "n"]].assign(rounds=rounds, extra=extra)
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, seed: int = 17) -> DataFrame:
-    """(doc_id, source, size, source_size, target, taken), one row per input row.
+def _draws(doc_id: Column, text: Column, seed: int) -> list[Column]:
+    """Two hashes that order the documents of a size; rows that share an id, or have none, go by their texts."""
+    return [F.xxhash64(F.lit(seed), doc_id, text).alias("draw"), F.xxhash64(F.lit(-seed), text, doc_id).alias("tie")]
 
-    ``taken`` is the size times how often the mix takes the document, 0 to
-    ``most`` times. Null texts have size 0 and are never taken; a null source is a
-    source. Rows are drawn by a hash of doc_id, equal hashes in order of doc_id;
-    repeated rows are as good as each other. Other columns are ignored.
-    """
-    thin = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source"), words(F.col("text").cast("string")).alias("size"))
-    thin = cut(thin)
+
+def _ranked(docs: DataFrame, weights: tuple[int, ...], most: int, seed: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(documents with their rank among those of their source and size, how many are taken of each size, targets of sources)."""
+    doc_id, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
+    thin = cut(docs.select(doc_id.alias("doc_id"), F.col("source"), words(text).alias("size"), *_draws(doc_id, text, seed)))
     known = thin.groupBy("source", "size").agg(F.count("*").alias("n"))
     goals = targets(known.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), weights, most)
     goals = cut(goals.select(F.col("source").alias("of"), "source_size", "target"))
     table = known.join(goals, F.col("source").eqNullSafe(F.col("of"))).select("source", "size", "n", "source_size", "target")
     kind = docs.schema["source"].dataType.simpleString()
     plan = table.groupBy("source").applyInPandas(_fill_source, f"source {kind}, size long, n long, rounds long, extra long")
-    plan = cut(plan)
+    plan = cut(plan.select(F.col("source").alias("of"), F.col("size").alias("z"), "n", "rounds", "extra"))
 
-    # slices of the hash, for sizes of which some documents are drawn
-    draw = F.xxhash64(F.lit(seed), F.col("doc_id"))
-    unit = F.shiftrightunsigned(draw, 11) / F.lit(float(1 << 53))
+    # slices of the hash, for sizes that many documents share
+    unit = F.shiftrightunsigned(F.col("draw").bitwiseXOR(F.lit(-(1 << 63))), 11) / F.lit(float(1 << 53))  # in order of the signed hash
     slices = F.ceil(F.col("n") / SLICE)
-    placed = thin.join(
-        plan.select(F.col("source").alias("of"), F.col("size").alias("z"), "n", "rounds", "extra"),
-        F.col("source").eqNullSafe(F.col("of")) & (F.col("size") == F.col("z")),
-    ).select("doc_id", "source", "size", "n", "rounds", "extra", draw.alias("draw"), F.least(F.floor(unit * slices), slices - 1).alias("slice"))
+    placed = thin.join(plan, F.col("source").eqNullSafe(F.col("of")) & (F.col("size") == F.col("z")))
+    placed = placed.select(*thin.columns, "n", "rounds", "extra", F.least(F.floor(unit * slices), slices - 1).alias("slice"))
     held = placed.where("n > " + str(SLICE)).groupBy("source", "size", "slice").agg(F.count("*").alias("rows"))
     upto = Window.partitionBy("source", "size").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     held = held.select(
         F.col("source").alias("of"), F.col("size").alias("z"), F.col("slice").alias("at"), F.coalesce(F.sum("rows").over(upto), F.lit(0)).alias("before")
     )
     dealt = placed.repartition(width(docs), "source", "size", "slice")
-    ranked = dealt.withColumn("rank", F.row_number().over(Window.partitionBy("source", "size", "slice").orderBy("draw", F.col("doc_id").asc_nulls_first())))
-    ranked = ranked.join(
-        held, F.col("source").eqNullSafe(F.col("of")) & (F.col("size") == F.col("z")) & (F.col("slice") == F.col("at")), "left"
-    ).select("doc_id", "source", "size", (F.col("size") * (F.col("rounds") + (F.col("rank") + F.coalesce("before", F.lit(0)) <= F.col("extra")).cast("long"))).alias("taken"))
+    ranked = dealt.withColumn("place", F.row_number().over(Window.partitionBy("source", "size", "slice").orderBy("draw", "tie")))
+    ranked = ranked.join(held, F.col("source").eqNullSafe(F.col("of")) & (F.col("size") == F.col("z")) & (F.col("slice") == F.col("at")), "left")
+    ranked = ranked.select(*thin.columns, "rounds", "extra", (F.col("place") + F.coalesce("before", F.lit(0))).alias("rank"))
+    return ranked, plan, goals
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, seed: int = 17) -> DataFrame:
+    """(doc_id, source, size, source_size, target, taken), one row per input row.
+
+    ``taken`` is the size times how often the mix takes the document, 0 to
+    ``most`` times. Null texts have size 0 and are never taken; a null source is a
+    source. Rows are drawn by hashes of doc_id and text; repeated rows are as good
+    as each other. Other columns are ignored.
+    """
+    ranked, _, goals = _ranked(docs, weights, most, seed)
+    taken = F.col("size") * (F.col("rounds") + (F.col("rank") <= F.col("extra")).cast("long"))
+    ranked = ranked.select("doc_id", "source", "size", taken.alias("taken"))
     return ranked.join(goals, F.col("source").eqNullSafe(F.col("of"))).select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
-def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The rows of the mix: each row of ``docs`` as often as it is taken, all columns kept.
+def mixed(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, seed: int = 17, broadcast_rows: int = 200_000) -> DataFrame:
+    """The rows of the mix: each row of ``docs`` as often as ``mix`` takes it, all columns kept.
 
-    Rows that share a doc_id and a size count as one document, taken as often as
-    the first of them.
+    Texts don't move: the last document taken of each source and size says which
+    others are, by their hashes alone. That table has a row for each size that
+    occurs in a source; it is broadcast up to ``broadcast_rows`` rows, and joined by a
+    shuffle beyond that. Rows that share both doc_id and text count as one document,
+    taken as often as the first of them.
     """
-    taken = mix(docs, **options).where("taken > 0")
-    times = taken.groupBy(F.col("doc_id").alias("taken_id"), F.col("size").alias("taken_size")).agg(F.max("taken").alias("taken_words"))
-    joined = docs.join(times, docs["doc_id"].eqNullSafe(F.col("taken_id")) & (words(docs["text"].cast("string")) == F.col("taken_size")))
-    copies = F.sequence(F.lit(1), (F.col("taken_words") / F.col("taken_size")).cast("int"))
-    return joined.select(*[docs[c] for c in docs.columns], F.explode(copies).alias("taken_copy")).drop("taken_copy")
+    ranked, plan, _ = _ranked(docs, weights, most, seed)
+    last = ranked.where("rank = extra").select(F.col("source").alias("of_last"), F.col("size").alias("z_last"), F.col("draw").alias("last_draw"), F.col("tie").alias("last_tie"))
+    shares = plan.join(last, F.col("of").eqNullSafe(F.col("of_last")) & (F.col("z") == F.col("z_last")), "left")
+    shares = cut(shares.where("rounds > 0 OR last_draw IS NOT NULL").select("of", "z", "rounds", "last_draw", "last_tie"))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    doc_id, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
+    rows = docs.select(row, F.col("source").alias("source"), words(text).alias("size"), *_draws(doc_id, text, seed))
+    shares = F.broadcast(shares) if shares.count() <= broadcast_rows else shares
+    joined = rows.join(shares, F.col("source").eqNullSafe(F.col("of")) & (F.col("size") == F.col("z")))
+    more = F.coalesce(F.struct("draw", "tie") <= F.struct(F.col("last_draw").alias("draw"), F.col("last_tie").alias("tie")), F.lit(False)) & F.col("last_draw").isNotNull()
+    times = (F.col("rounds") + more.cast("long")).cast("int")
+    return joined.where((F.col("size") > 0) & (times > 0)).select("row", F.explode(F.sequence(F.lit(1), times)).alias("copy")).select("row.*")
