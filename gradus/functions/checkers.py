@@ -1,6 +1,7 @@
 """Checks of instructions on a response: each takes the response and its arguments and gives a boolean Column.
 
-``CHECKERS`` has them by name. A blank response passes none of them, and an
+There are two sets, which differ in details: ``CHECKERS``, for many languages, and
+``ENGLISH``, for English alone. A blank response passes none of them, and an
 unknown relation is an error when the check is built.
 """
 
@@ -8,11 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gradus.functions.text import PUNCT, paragraphs, quoted, sentences, word_count
+from gradus.functions.text import PUNCT, english_sentences, paragraphs, quoted, sentences, word_count
 
+LETTERS = r"\p{L}\p{N}_"  # what words are made of, where borders are asked for
 RELATIONS: dict[str, Callable[[Column, int], Column]] = {
     "exactly": lambda x, n: x == n,
     "at least": lambda x, n: x >= n,
@@ -56,8 +58,19 @@ def placeholders(r: Column, n: int) -> Column:
     return F.size(F.regexp_extract_all(r, F.lit(r"\[([^\[\]]+)\]"), F.lit(1))) >= n
 
 
+def empty_placeholders(r: Column, n: int) -> Column:
+    """Brackets with nothing between them count too, and line breaks end none."""
+    return F.regexp_count(r, F.lit(r"\[.*?\]")) >= n
+
+
+def spaced_marker(marker: str) -> str:
+    """A marker such as P.P.S. as a pattern, with white space allowed after the full stops within."""
+    return r"\.\s?".join(quoted(x) for x in marker.lower().removesuffix(".").split(".")) + (r"\." if marker.endswith(".") else "")
+
+
 def postscript(r: Column, marker: str = "P.S.") -> Column:
-    return F.lower(r).rlike(rf"(?m)^\s*{quoted(marker.lower())}.*$")
+    """The marker anywhere, in the marker's language."""
+    return F.lower(r).rlike(spaced_marker(marker))
 
 
 def highlights(r: Column, n: int) -> Column:
@@ -70,17 +83,55 @@ def bullets(r: Column, n: int) -> Column:
     return F.regexp_count(r, F.lit(r"(?m)^\s*[*-] ")) == n
 
 
-def sections(r: Column, title: str, n: int, relation: str = "exactly") -> Column:
-    return related(F.regexp_count(r, F.lit(rf"{quoted(title)}\s+[0-9A-Za-z]+")), relation, n)
+def marked_lines(r: Column, n: int) -> Column:
+    """Lines that begin with a star which no second one follows, or with a dash."""
+    return F.regexp_count(r, F.lit(r"(?m)^\s*\*[^*].*$")) + F.regexp_count(r, F.lit(r"(?m)^\s*-.*$")) == n
+
+
+def sections(r: Column, title: str, n: int) -> Column:
+    """Exactly n times the title as a word, then white space and a word or number."""
+    return F.regexp_count(r, F.lit(rf"(?<![{LETTERS}]){quoted(title)}\s+[{LETTERS}|]+(?<![|])(?![{LETTERS}])")) == n
+
+
+def numbered_sections(r: Column, title: str, n: int) -> Column:
+    """At least n times the title with a number after it."""
+    return F.regexp_count(r, F.lit(rf"{quoted(title)}\s?[0-9]+")) >= n
+
+
+def starred_paragraphs(r: Column, n: int) -> Column:
+    """n parts between ``***``; blank ones don't count at the ends and fail the check elsewhere."""
+    parts = F.transform(F.split(r, r"\s?\*\*\*\s?"), lambda p: bare(p) != "")
+    inner = F.slice(parts, 2, F.greatest(F.size(parts) - 2, F.lit(0)))
+    return F.forall(inner, lambda p: p) & (F.size(F.filter(parts, lambda p: p)) == n)
 
 
 def json_value(r: Column) -> Column:
     """A JSON text, with or without a code fence around it."""
     inner = F.regexp_replace(F.regexp_replace(bare(r), r"^```(?:json|JSON|Json)?\s*", ""), r"\s*```$", "")
-    return F.try_parse_json(inner).isNotNull()
+    # a parser stops after the first value; what is a value within an array as well as within an object is one value alone
+    return F.try_parse_json(F.concat(F.lit("["), inner, F.lit("]"))).isNotNull() & F.try_parse_json(F.concat(F.lit('{"a":'), inner, F.lit("}"))).isNotNull()
+
+
+# The answers that a constrained response chooses from, by language.
+OPTIONS = {
+    "en": ["My answer is yes.", "My answer is no.", "My answer is maybe."],
+    "id": ["Jawaban saya adalah ya.", "Jawaban saya adalah tidak.", "Jawaban saya adalah mungkin."],
+    "vi": ["Câu trả lời của tôi là có.", "Câu trả lời của tôi là không.", "Câu trả lời của tôi là có thể."],
+    "tl": ["Ang sagot ko ay oo.", "Ang sagot ko ay hindi.", "Ang sagot ko ay siguro."],
+    "th": ["คำตอบของฉันคือใช่", "คำตอบของฉันคือไม่", "คำตอบของฉันคืออาจจะ"],
+    "jv": ["Jawabanku ya.", "Jawabanku ora.", "Jawabanku mungkin."],
+    "su": ["Jawapan abdi enya.", "Jawapan abdi henteu.", "Jawapan abdi meureun."],
+    "ta": ["என்னுடைய பதில் ஆம்.", "என்னுடைய பதில் இல்லை.", "என்னுடைய பதில் ஒருவேளை இருக்கலாம்."],
+    "ms": ["Jawapan saya ialah ya.", "Jawapan saya ialah tidak.", "Jawapan saya ialah mungkin."],
+    "my": ["ကျွန်ုပ်၏အဖြေသည် ဟုတ်ပါတယ်။", "ကျွန်ုပ်၏အဖြေသည် မဟုတ်ပါ။", "ကျွန်ုပ်၏အဖြေသည် တစ်ချို့ဖြစ်နိုင်ပါတယ်။"],
+    "lo": ["ຄໍາຕອບຂອງຂ້ອຍແມ່ນຈິງ.", "ຄໍາຕອບຂອງຂ້ອຍແມ່ນບໍ່ຈິງ.", "ຄໍາຕອບຂອງຂ້ອຍແມ່ນອາດຈະຈິງ."],
+    "km": ["ខ្ញុំយល់ស្រប។", "ខ្ញុំមិនយល់ស្រប។", "ខ្ញុំមិនច្បាស់ដែរ។"],
+}
 
 
-def one_of(r: Column, options: list[str]) -> Column:
+def one_of(r: Column, options: list[str] | None = None, language: str = "en") -> Column:
+    """One of the options, or of the language's, occurs."""
+    options = OPTIONS[language] if options is None else options
     return F.exists(F.array(*map(F.lit, options)), lambda o: F.contains(r, o))
 
 
@@ -101,21 +152,24 @@ def in_quotes(r: Column) -> Column:
     return bare(r).rlike(r'(?s)^".+"$')
 
 
-def whole(word: str) -> str:
-    return rf"(?i)(^|[^0-9A-Za-z_]){quoted(word)}($|[^0-9A-Za-z_])"
+BORDERED = ("en", "id", "vi", "jv", "su", "ms")  # languages with spaces between words; in others a word may stand anywhere, as it is written
 
 
-def has_words(r: Column, keywords: list[str]) -> Column:
+def whole(word: str, language: str = "en") -> str:
+    return rf"(?i)(?<![{LETTERS}]){quoted(word)}(?![{LETTERS}])" if language in BORDERED else quoted(word)
+
+
+def has_words(r: Column, keywords: list[str], language: str = "en") -> Column:
     out = F.lit(True)
     for k in keywords:
-        out = out & r.rlike(whole(k))
+        out = out & r.rlike(whole(k, language))
     return out
 
 
-def lacks_words(r: Column, keywords: list[str]) -> Column:
+def lacks_words(r: Column, keywords: list[str], language: str = "en") -> Column:
     out = F.lit(True)
     for k in keywords:
-        out = out & ~r.rlike(whole(k))
+        out = out & ~r.rlike(whole(k, language))
     return out
 
 
@@ -153,9 +207,17 @@ def repeats(r: Column, prompt: Column | str, more: bool = True) -> Column:
 
 
 def two_responses(r: Column) -> Column:
-    """Exactly two parts, different ones, that are more than punctuation, with six stars between."""
-    parts = F.filter(F.split(r, r"\*{6}"), lambda p: F.regexp_replace(p, rf"[{PUNCT}\s]", "") != "")
-    return (F.size(parts) == 2) & (F.size(F.array_distinct(F.transform(parts, bare))) == 2)
+    """Exactly two parts that are more than punctuation, with six stars between."""
+    parts = F.filter(F.split(bare(r), r"\*{6}"), lambda p: F.regexp_replace(bare(p), rf"^[{PUNCT}]+|[{PUNCT}]+$", "") != "")
+    return F.size(parts) == 2
+
+
+def different_responses(r: Column) -> Column:
+    """Exactly two parts that are not blank, and differ; a blank part may only stand at an end."""
+    parts = F.transform(F.split(r, r"\*{6}"), bare)
+    own = F.filter(parts, lambda p: p != "")
+    inner = F.slice(parts, 2, F.greatest(F.size(parts) - 2, F.lit(0)))
+    return F.forall(inner, lambda p: p != "") & (F.size(own) == 2) & (F.get(own, F.lit(0)) != F.get(own, F.lit(1)))
 
 
 def nth_paragraph_word(r: Column, n: int, nth: int, word: str) -> Column:
@@ -179,7 +241,7 @@ def no_comma(r: Column) -> Column:
 
 def key_sentences(r: Column, phrases: list[str], n: int) -> Column:
     """Exactly n of the given sentences occur as sentences of the response."""
-    own = F.transform(sentences(r), bare)
+    own = english_sentences(r)
     return F.size(F.array_intersect(own, F.array(*map(F.lit, phrases)))) == n
 
 
@@ -217,9 +279,30 @@ CHECKERS: dict[str, Callable[..., Column]] = {
     )
 }
 
+ENGLISH: dict[str, Callable[..., Column]] = CHECKERS | {
+    "placeholders": empty_placeholders,
+    "bullets": marked_lines,
+    "sections": numbered_sections,
+    "paragraphs": starred_paragraphs,
+    "two_responses": different_responses,
+    "repeats": lambda r, prompt: repeats(r, prompt, more=False),
+}
+
+#: Checks that say nothing in languages without spaces between words, and are left out of their summaries.
+EXCLUDED = [("words", language) for language in ("th", "lo", "km", "my")]
+
+
+def counted(results: DataFrame, checker_of: dict[str, str], excluded: list[tuple[str, str]]) -> DataFrame:
+    """Results (name, lang, passed) without those of checkers that are excluded in their language."""
+    out = F.lit(True)
+    for checker, language in excluded:
+        names = [n for n, c in checker_of.items() if c == checker]
+        out = out & ~(F.col("name").isin(names) & F.col("lang").eqNullSafe(F.lit(language)))
+    return results.where(out)
+
 
-def check(name: str, response: Column, **arguments) -> Column:
-    return (F.trim(response) != "") & CHECKERS[name](response, **arguments)
+def check(name: str, response: Column, checkers: dict[str, Callable[..., Column]] = CHECKERS, **arguments) -> Column:
+    return (F.trim(response) != "") & checkers[name](response, **arguments)
 
 
 def variants(response: Column) -> list[Column]:

@@ -33,12 +33,22 @@ def hindi_stem(word: Column) -> Column:
     return out
 
 
+# Burmese vowel and consonant signs, which depend on the letter before, the asat that silences a letter, and the sign that stacks letters.
+DEPENDENT, ASAT, STACK = r"\x{102B}-\x{1032}\x{1036}-\x{1038}\x{103B}-\x{103E}\x{103A}", "\u103a", "\u1039"
+
+
 def burmese_syllables(text: Column) -> Column:
-    """Cut before every consonant that is neither stacked under another nor closes a syllable, and before letters and signs that stand alone."""
-    alone = r"\x{1023}-\x{102A}\x{103F}\x{104A}-\x{104F}\x{1040}-\x{1049}"
-    start = rf"((?<!\x{{1039}})[\x{{1000}}-\x{{1021}}](?![\x{{103A}}\x{{1039}}])|[{alone}])"
-    cut = F.split(F.regexp_replace(F.lower(text), start, "\u0001$1"), r"[\x{0001}\s]+")
-    return F.filter(cut, lambda x: x != "")
+    """Letters with their dependent signs; a silenced letter (of fewer than four characters) closes the syllable before it, and stacked letters are one.
+
+    White space counts for nothing, nor do joiners.
+    """
+    swapped = F.replace(F.replace(text, F.lit("\u200c"), F.lit(" ")), F.lit("\u1037" + ASAT), F.lit(ASAT + "\u1037"))
+    bare = F.regexp_replace(F.lower(swapped), r"[\s\p{Z}]+", "")
+    sign = f"[{DEPENDENT}]"
+    silenced = rf".(?:{ASAT}{sign}?|{sign}{ASAT})(?!{sign})"
+    unit = rf"(?s)((?:^{silenced}|(?!{silenced}).{sign}*)(?:{silenced})?|{silenced})"
+    units = F.array_join(F.regexp_extract_all(bare, F.lit(unit), F.lit(1)), " ")
+    return F.filter(F.split(F.replace(units, F.lit(f" {STACK} "), F.lit(STACK)), " "), lambda x: x != "")
 
 
 def ideograph_tokens(text: Column) -> Column:

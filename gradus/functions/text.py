@@ -37,6 +37,16 @@ def normalize_cell(text: Column) -> Column:
     return F.replace(normalize_line(text), F.lit(" "), F.lit(""))
 
 
+# Words that say nothing about a belief.
+BELIEF_STOPS = "a an the on in at step thinks think believes believe is are of location know knows belief".split()
+
+
+def normalize_belief(text: Column) -> Column:
+    """Lower case without punctuation, typographic apostrophes and ``BELIEF_STOPS``, single spaces."""
+    bare = F.regexp_replace(F.lower(text), rf"[{PUNCT}’]", "")
+    return collapse(F.regexp_replace(bare, rf"(?<![{MARKS}])({'|'.join(BELIEF_STOPS)})(?![{MARKS}])", " "))
+
+
 def list_items(text: Column, by: str = ",") -> Column:
     """Parts of a separated list, lower case, without spaces at the ends."""
     return F.transform(F.split(text, by), lambda x: F.lower(F.trim(x)))
@@ -107,15 +117,50 @@ def file_timestamp(path: Column) -> Column:
     return F.to_timestamp(first_group(path, r"(\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(?:\.\d+)?)"))
 
 
+ARGUMENT = r"^([^=]*)=(?:'*)(.*?)(?:'*)$"
+
+
 def arguments(text: Column) -> Column:
-    """``a=1,b=x`` as a map."""
-    return F.str_to_map(F.replace(text, F.lit(" "), F.lit("")), F.lit(","), F.lit("="))
+    """``a=1,b=x`` as a map from names to (kind, value): bool, int, float or string; a comma in a value stays if no name follows it."""
+
+    def entry(part: Column) -> Column:
+        value = F.regexp_extract(part, ARGUMENT, 2)
+        kind = F.when(value.rlike("(?i)^(true|false)$"), "bool").when(value.rlike("^[0-9]+$"), "int")
+        kind = kind.when(value.rlike(r"^-[0-9]+$"), "int").when(value.rlike(r"^-?([0-9]+\.[0-9]*|\.[0-9]+|[0-9]+)([eE][-+]?[0-9]+)?$"), "float").otherwise("string")
+        return F.struct(F.regexp_extract(part, ARGUMENT, 1).alias("key"), F.struct(kind.alias("kind"), value.alias("value")).alias("value"))
+
+    parts = F.filter(F.split(F.trim(text), r",(?=\w+=)"), lambda p: F.contains(p, F.lit("=")))
+    return F.map_from_entries(F.transform(parts, entry))
+
+
+def reflection(text: Column, dotall: bool = True) -> Column:
+    """What the first reflection tag holds; without ``dotall`` only if it is on one line."""
+    return F.trim(first_group(text, ("(?s)" if dotall else "") + r"<reflection>(.*?)</reflection>"))
+
+
+def extract_label(text: Column, labels: list[str], tag: str = "Answer:") -> Column:
+    """The label right after the tag, case as it is; the whole text where there is none."""
+    choice = "|".join(quoted(x) for x in sorted(labels, key=len, reverse=True))
+    return F.trim(F.coalesce(first_group(text, rf"{quoted(tag)}[\s\r\n`*]*({choice})"), text))
+
+
+def repaired_json(text: Column, field: str) -> Column:
+    """The last flat object as a variant, if need be with the escaped quotes of one field's name undone; null if that is no JSON either."""
+    found = flat_json(text)
+    return F.coalesce(F.try_parse_json(found), F.try_parse_json(F.replace(found, F.lit(f'\\"{field}\\"'), F.lit(f'"{field}"'))))
+
+
+def with_answer_pattern(text: Column, tag: str, pattern: str, whole: bool = True) -> Column:
+    """Group 1 of a tag followed by a pattern; else the whole text, or null if not ``whole``; no white space at the ends."""
+    found = F.nullif(first_group(text, quoted(tag) + pattern), F.lit(""))
+    return F.regexp_replace(F.coalesce(found, text) if whole else found, r"^\s+|\s+$", "")
 
 
 # ------------------------------------------------------------------ tokenising
 def tokens(text: Column) -> Column:
-    """Lower case, split at white space and punctuation of any script, no empty tokens."""
-    spaced = F.regexp_replace(F.lower(text), r"[\p{P}\p{S}\s]+", " ")
+    """Lower case, split at white space, ASCII symbols and punctuation of any script; control characters vanish, no empty tokens."""
+    clean = F.regexp_replace(F.lower(text), r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x9F\p{Cf}\p{Co}\x{FFFD}]", "")
+    spaced = F.regexp_replace(clean, rf"[{PUNCT}\p{{P}}\s\p{{Z}}]+", " ")
     return F.filter(F.split(spaced, " "), lambda x: x != "")
 
 
@@ -134,6 +179,61 @@ def sentences(text: Column) -> Column:
     return F.filter(F.split(marked, "\u0001"), lambda x: F.trim(x) != "")
 
 
+# Marks that end a sentence by language, and what may close it after them.
+ENDINGS = {"zh": "｡。！？", "my": "။.!?"}
+CLOSING = r"""\)\]\}'"”’»」』）\*_"""
+
+
+def language_sentences(text: Column, language: str = "en") -> Column:
+    """Sentences of each line: cut after a run of the language's end marks, and what closes quotes and brackets, before white space.
+
+    No cut where a digit or a single letter with a full stop comes before the
+    marks. Parts without any letter or digit are left out.
+    """
+    ends = ENDINGS.get(language, ".!?")
+    lines = F.split(text, r"[\r\n|]")
+    parts = F.transform(lines, lambda x: F.split(F.regexp_replace(x, rf"((?<!\b[a-z]\.)(?<!\d)[{ends}]+[{CLOSING}]*)\s+", "$1\u0001"), "\u0001"))
+    bare = F.transform(F.flatten(parts), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
+    return F.filter(bare, lambda x: x.rlike(r"[^\p{P}\p{S}\s]"))
+
+
+# Words whose full stop ends no sentence, words that begin one, and ends of names of web sites.
+TITLES, SUFFIXES = "Mr|St|Mrs|Ms|Dr", "Inc|Ltd|Jr|Sr|Co"
+STARTERS = r"(?:Mr|Mrs|Ms|Dr|Prof|Capt|Cpt|Lt|He\s|She\s|It\s|They\s|Their\s|Our\s|We\s|But\s|However\s|That\s|This\s|Wherever)"
+SITES = "com|net|org|io|gov|edu|me"
+
+
+def english_sentences(text: Column) -> Column:
+    """Cut after ``.``, ``?`` and ``!`` wherever they are, but for full stops in titles, initials, acronyms, decimals, web sites and runs of dots.
+
+    A full stop that ends no sentence is written as a mark of its own until all cuts are made.
+    """
+    dot, cut = "\u0001", "\u0002"
+    out = F.concat(F.lit(" "), F.regexp_replace(text, "\n", " "), F.lit("  "))
+    for pattern, new in (
+        (rf"({TITLES})\.", rf"$1{dot}"),
+        (rf"\.({SITES})", rf"{dot}$1"),
+        (r"([0-9])\.([0-9])", rf"$1{dot}$2"),
+        (r"\.(?=\.)|(?<=\.)\.(?!\.)", dot),  # runs of dots: all of them, and a cut after the last
+        (rf"({dot}{{2,}})", rf"$1{cut}"),
+        (r"Ph\.D\.", rf"Ph{dot}D{dot}"),
+        (r"\s([A-Za-z])\. ", rf" $1{dot} "),
+        (rf"([A-Z]\.[A-Z]\.(?:[A-Z]\.)?) ({STARTERS})", rf"$1{cut} $2"),
+        (r"([A-Za-z])\.([A-Za-z])\.([A-Za-z])\.", rf"$1{dot}$2{dot}$3{dot}"),
+        (r"([A-Za-z])\.([A-Za-z])\.", rf"$1{dot}$2{dot}"),
+        (rf" ({SUFFIXES})\. ({STARTERS})", rf" $1{cut} $2"),
+        (rf" ({SUFFIXES})\.", rf" $1{dot}"),
+        (r" ([A-Za-z])\.", rf" $1{dot}"),
+        (r"\.([”\"])", r"$1."),  # a quote that closes after the mark belongs to the sentence
+        (r"([!?])\"", r'"$1'),
+        (r"([.?!])", rf"$1{cut}"),
+        (dot, "."),
+    ):
+        out = F.regexp_replace(out, pattern, new)
+    parts = F.transform(F.split(out, cut), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
+    return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+
+
 def word_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit(rf"[{MARKS}]+"))
 
@@ -156,6 +256,13 @@ def ngrams(items: Column, n: int) -> Column:
     return let(items, lambda x: runs(F.size(x), n, lambda i: F.array_join(F.slice(x, i, n), " ")))
 
 
+def hashed_ngrams(items: Column, n: int) -> Column:
+    """64-bit hashes of all runs of n items."""
+    if n == 1:
+        return F.transform(items, lambda x: F.xxhash64(x))
+    return let(items, lambda x: runs(F.size(x), n, lambda i: F.xxhash64(F.slice(x, i, n))))
+
+
 def ratio(a: Column, b: Column) -> Column:
     """a / b, 0 where b is 0."""
     return F.coalesce(a / F.nullif(b.cast("double"), F.lit(0.0)), F.lit(0.0))

@@ -89,7 +89,7 @@ def countdown_solved(text: pd.Series, numbers: pd.Series, target: pd.Series) ->
     return pd.Series([bool(t) and countdown_ok([x for x in t.split("\n") if x.strip()], list(map(int, n)), int(g)) for t, n, g in rows], dtype="boolean")
 
 
-_STAY = re.compile(r"(?:visit|in|stay(?:ing)? in)\s+([A-Z][\w' -]*?)\s+for\s+(\d+)\s+days?", re.I)
+_STAY = re.compile(r"(?:visit|in|stay(?:ing)? in)\s+([A-Z][\w' -]*?)\s+for\s+(\d{1,9})\s+days?", re.I)
 
 
 def stays(text: str) -> list[tuple[str, int]]:

@@ -62,8 +62,17 @@ def null_weighted_f1(df: DataFrame, by: list[str], pred: str = "pred", null: str
     return f1.join(share, by).withColumn("null_weighted_f1", F.col("label_f1") * (1 - F.col("null_share")))
 
 
+def _facets(df: DataFrame, by: list[str], groups: list[str]) -> DataFrame:
+    facets = F.array(F.struct(F.lit("all").alias("facet"), F.lit("all").alias("value")), *[F.struct(F.lit(g).alias("facet"), F.col(g).cast("string").alias("value")) for g in groups])
+    return df.select(*by, "label", "pred", F.explode(facets).alias("f")).select(*by, "f.facet", "f.value", "label", "pred")
+
+
+def subgroup_macro_f1(df: DataFrame, by: list[str], groups: list[str]) -> DataFrame:
+    """Macro-F1 over all rows and within each value of each group column, as (facet, value)."""
+    return macro_f1(_facets(df, by, groups), [*by, "facet", "value"])
+
+
 def subgroup_accuracy(df: DataFrame, by: list[str], groups: list[str]) -> DataFrame:
     """Balanced accuracy over all rows and within each value of each group column, as (facet, value)."""
-    facets = F.array(F.struct(F.lit("all").alias("facet"), F.lit("all").alias("value")), *[F.struct(F.lit(g).alias("facet"), F.col(g).cast("string").alias("value")) for g in groups])
-    rows = df.select(*by, "label", "pred", F.explode(facets).alias("f")).select(*by, "f.facet", "f.value", "label", "pred")
+    rows = _facets(df, by, groups)
     return balanced_accuracy(rows, [*by, "facet", "value"]).select(*by, "facet", "value", "balanced_accuracy")

@@ -15,24 +15,27 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import LongType
 
-from gradus.functions.text import f_measure, let, ngrams, normalize_answer, ratio, runs, tokens
+from gradus.functions.draws import below
+from gradus.functions.text import f_measure, hashed_ngrams, let, ngrams, norm, normalize_answer, ratio, runs, tokens
+from gradus.operators.numbering import numbered
 
 
-def overlap(preds: DataFrame, refs: DataFrame, split: Callable[[Column], Column], n: int = 1) -> DataFrame:
+def overlap(preds: DataFrame, keys: DataFrame, texts: DataFrame, split: Callable[[Column], Column], n: int = 1) -> DataFrame:
     """(item_id, ref_ix, common, n_pred, n_ref): multiset overlap of each prediction with each of its references.
 
-    ``preds`` holds (item_id, pred), ``refs`` (item_id, ref_ix, ref); ``split``
-    makes the array of a text's tokens, of which runs of n are counted.
+    ``preds`` holds (item_id, pred), ``keys`` (item_id, ref_ix, ref_id) and ``texts``
+    (ref_id, ref); ``split`` makes the array of a text's tokens, of which runs of n are
+    counted, as 64-bit hashes. A reference is split and counted once, however many
+    items it serves.
     """
-    p = preds.select("item_id", ngrams(split(F.col("pred")), n).alias("items"))
-    r = refs.select("item_id", "ref_ix", ngrams(split(F.col("ref")), n).alias("items"))
-    left = p.select("item_id", F.explode("items").alias("token")).groupBy("item_id", "token").agg(F.count("*").alias("n"))
-    right = r.select("item_id", "ref_ix", F.explode("items").alias("token")).groupBy("item_id", "ref_ix", "token").agg(F.count("*").alias("m"))
-    common = right.join(left, ["item_id", "token"]).groupBy("item_id", "ref_ix").agg(F.sum(F.least("n", "m")).alias("common"))
-    sized = r.select("item_id", "ref_ix", F.size("items").alias("n_ref")).join(p.select("item_id", F.size("items").alias("n_pred")), "item_id")
-    return sized.join(common, ["item_id", "ref_ix"], "left").select(
-        "item_id", "ref_ix", F.coalesce("common", F.lit(0)).alias("common"), F.col("n_pred").cast("long"), F.col("n_ref").cast("long")
-    )
+    size = lambda c: F.greatest(F.size(split(F.col(c))) - (n - 1), F.lit(0)).cast("long")
+    grams = lambda c: F.explode(hashed_ngrams(split(F.col(c)), n)).alias("token")
+    left = preds.select("item_id", grams("pred")).groupBy("item_id", "token").agg(F.count("*").alias("n"))
+    right = texts.select("ref_id", grams("ref")).groupBy("ref_id", "token").agg(F.count("*").alias("m"))
+    asked = keys.join(right, "ref_id").select("item_id", "ref_ix", "token", "m")
+    common = asked.join(left, ["item_id", "token"]).groupBy("item_id", "ref_ix").agg(F.sum(F.least("n", "m")).alias("common"))
+    sized = keys.join(texts.select("ref_id", size("ref").alias("n_ref")), "ref_id").join(preds.select("item_id", size("pred").alias("n_pred")), "item_id")
+    return sized.join(common, ["item_id", "ref_ix"], "left").select("item_id", "ref_ix", F.coalesce("common", F.lit(0)).alias("common"), "n_pred", "n_ref")
 
 
 def overlap_scores(counts: DataFrame) -> DataFrame:
@@ -41,15 +44,27 @@ def overlap_scores(counts: DataFrame) -> DataFrame:
     return counts.select("item_id", "ref_ix", p.alias("precision"), r.alias("recall"), f_measure(p, r).alias("f1"))
 
 
-def token_f1(preds: DataFrame, refs: DataFrame) -> DataFrame:
+def token_f1(preds: DataFrame, keys: DataFrame, texts: DataFrame) -> DataFrame:
     """(item_id, f1): the best token F1 over the references, after answer normalisation."""
     words = lambda c: F.filter(F.split(normalize_answer(c), " "), lambda x: x != "")
-    return overlap_scores(overlap(preds, refs, words)).groupBy("item_id").agg(F.max("f1").alias("f1"))
+    return overlap_scores(overlap(preds, keys, texts, words)).groupBy("item_id").agg(F.max("f1").alias("f1"))
 
 
-def rouge_n(preds: DataFrame, refs: DataFrame, n: int) -> DataFrame:
+def rouge_n(preds: DataFrame, keys: DataFrame, texts: DataFrame, n: int) -> DataFrame:
     """Overlap of n-grams of tokens."""
-    return overlap_scores(overlap(preds, refs, tokens, n))
+    return overlap_scores(overlap(preds, keys, texts, tokens, n))
+
+
+def aggregated(scores: DataFrame, key: str, measures: list[str], bootstraps: int, seed: int) -> DataFrame:
+    """(measure, low, mid, high): middle 95 % of the means of resampled rows, for all measures from the same draws."""
+    rows = numbered(scores.select(key, *measures), [], key)
+    n = F.lit(scores.count())
+    drawn = rows.select("place", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(bootstraps - 1).cast("long"))).alias("bootstrap"))
+    drawn = drawn.select("bootstrap", below(n, seed, "bootstrap", "place").alias("place"))
+    means = drawn.join(rows, "place").groupBy("bootstrap").agg(*[F.avg(m).alias(m) for m in measures])
+    means = means.select(F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).alias("x")) for m in measures])).alias("e")).select("e.*")
+    cuts = means.groupBy("measure").agg(F.percentile("x", F.array(F.lit(0.025), F.lit(0.5), F.lit(0.975))).alias("c"))
+    return cuts.select("measure", F.col("c")[0].alias("low"), F.col("c")[1].alias("mid"), F.col("c")[2].alias("high"))
 
 
 def exact_match(pred: Column, refs: Column) -> Column:
@@ -63,6 +78,11 @@ def gold_contained(pred: Column, refs: Column) -> Column:
     return F.contains(bare(pred), bare(F.get(refs, F.lit(0)))).cast("int")
 
 
+def error_scores(df: DataFrame, by: list[str], value: str, worst: float) -> DataFrame:
+    """Mean error, and the mean of how far each is from the worst one, on 0 to 100."""
+    return df.groupBy(*by).agg(F.avg(value).alias("score"), (F.avg(norm(F.col(value), worst, 0.0)) * 100).alias("normalized"))
+
+
 def lcs_length(a: list[str], b: list[str]) -> int:
     """Longest common subsequence, a machine word of one side at a time."""
     masks: dict[str, int] = {}
@@ -112,19 +132,25 @@ def union_lcs(refs: list[list[str]], preds: list[list[str]]) -> int:
 
 
 def _on_lcs(a: list[str], b: list[str]) -> set[int]:
-    """Positions in a of one longest common subsequence."""
-    size = [[0] * (len(b) + 1)]
+    """Positions in a of one longest common subsequence; a bit for each pair of tokens is kept.
+
+    A row's bits over b are 0 where the length grows, so that lengths are counts of zeros.
+    """
+    masks: dict[str, int] = {}
+    for j, y in enumerate(b):
+        masks[y] = masks.get(y, 0) | 1 << j
+    full = (1 << len(b)) - 1
+    rows = [full]
     for x in a:
-        last, row = size[-1], [0]
-        for j, y in enumerate(b):
-            row.append(last[j] + 1 if x == y else max(last[j + 1], row[j]))
-        size.append(row)
+        row, hit = rows[-1], rows[-1] & masks.get(x, 0)
+        rows.append(((row + hit) | (row - hit)) & full)
+    length = lambda i, j: j - (rows[i] & ((1 << j) - 1)).bit_count()
     i, j, found = len(a), len(b), set()
     while i and j:
         if a[i - 1] == b[j - 1]:
             i, j = i - 1, j - 1
             found.add(i)
-        elif size[i - 1][j] >= size[i][j - 1]:
+        elif length(i - 1, j) >= length(i, j - 1):
             i -= 1
         else:
             j -= 1

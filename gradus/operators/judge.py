@@ -43,9 +43,9 @@ def correct(text: Column) -> Column:
     return (text.rlike(r"\bCORRECT\b") & ~text.rlike(r"\bINCORRECT\b")).cast("int")
 
 
-def criteria_score(df: DataFrame, by: list[str], item: str, category: str, value: str) -> DataFrame:
+def criteria_score(df: DataFrame, by: list[str], item: list[str], category: str, value: str) -> DataFrame:
     """An item's score is the mean over its criteria; means of items on 0 to 100 per category, and of all under a null category."""
-    items = df.groupBy(*by, category, item).agg(F.avg(value).alias("score"))
+    items = df.groupBy(*by, category, *item).agg(F.avg(value).alias("score"))
     sets = [[*map(F.col, by), F.col(category)], [*map(F.col, by)]]
     return items.groupingSets(sets, *by, category).agg((F.avg("score") * 100).alias("score"), F.count("*").alias("n_items"))
 
@@ -91,6 +91,14 @@ def fine_grained(df: DataFrame, by: list[str], first: str, second: str, most: fl
     )
 
 
+def labelled_points(judgement: Column, labels: list[str], scores: list[float], reverse: bool = False) -> Column:
+    """The score of the first label, in order of the list, that the judgement holds; scores the other way round if ``reverse``; null for none."""
+    out = F.lit(None).cast("double")
+    for label, score in reversed(list(zip(labels, reversed(scores) if reverse else scores, strict=True))):
+        out = F.when(F.contains(judgement, F.lit(label)), float(score)).otherwise(out)
+    return out
+
+
 def harmonic(a: Column, b: Column) -> Column:
     return ratio(2 * a * b, a + b)
 

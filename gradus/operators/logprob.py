@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -37,9 +37,15 @@ def by_group(df: DataFrame, by: list[str], group: str, logprob: str = "logprob")
     )
 
 
-def total_over_tokens(df: DataFrame, item: str, position: str, logprob: str = "logprob") -> DataFrame:
+def total_over_tokens(df: DataFrame, item: list[str], position: str, logprob: str = "logprob") -> DataFrame:
     """An answer's log-probability: the sum over its tokens, with the number of tokens."""
-    return df.groupBy(item).agg(F.sum(logprob).alias("logprob"), F.count(position).alias("n_tokens"))
+    return df.groupBy(*item).agg(F.sum(logprob).alias("logprob"), F.count(position).alias("n_tokens"))
+
+
+def cumulative(df: DataFrame, item: list[str], position: str, logprob: str = "logprob") -> DataFrame:
+    """``so_far``: the log-probability of an answer up to each of its tokens."""
+    w = Window.partitionBy(*item).orderBy(position).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return df.withColumn("so_far", F.sum(logprob).over(w))
 
 
 def group_mean_accuracy(df: DataFrame, by: list[str], group: str, n_choices: int, correct: str = "correct") -> DataFrame:

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gradus.functions.draws import below, draw
-from gradus.functions.text import let
+from gradus.functions.text import boxed, let
+from gradus.operators.numbering import placed
 
 MESSAGE = "struct<role:string,content:string>"
 
@@ -61,11 +62,42 @@ def needle_tasks(sentences: DataFrame, tasks: DataFrame, needles: int, seed: int
 def common_word_tasks(words: DataFrame, tasks: DataFrame, common: int, often: int, total: int, seed: int) -> DataFrame:
     """(task_id, words, label): ``total`` drawn words of which the first ``common`` occur ``often`` times, in drawn order.
 
-    ``words`` has (word) and is the vocabulary; ``tasks`` has (task_id).
+    ``words`` has (word), the vocabulary, each once; ``tasks`` has (task_id), a stated
+    list of tasks. Each task orders the whole vocabulary by hash, in parts, and keeps
+    the first words of it.
     """
-    ranked = tasks.join(F.broadcast(words.agg(F.sort_array(F.collect_set("word")).alias("_words"))))
-    order = F.array_sort(F.transform("_words", lambda w: F.struct(draw(seed, "task_id", w).alias("d"), w.alias("w"))))
-    chosen = ranked.select("task_id", F.transform(F.slice(order, 1, total), lambda x: x["w"]).alias("chosen"))
-    repeated = F.flatten(F.transform("chosen", lambda w, i: F.array_repeat(w, F.when(i < common, often).otherwise(1))))
-    mixed = F.array_sort(F.transform(repeated, lambda w, i: F.struct(draw(seed, "task_id", w, i).alias("d"), w.alias("w"))))
-    return chosen.select("task_id", F.transform(mixed, lambda x: x["w"]).alias("words"), F.slice("chosen", 1, common).alias("label"))
+    drawn = words.select("word").join(F.broadcast(tasks)).withColumn("d", draw(seed, "task_id", "word"))
+    first = placed(drawn, ["task_id"], ["d", "word"], F.floor(F.col("d") / (1 << 25))).where(F.col("place") < total)
+    again = F.explode(F.sequence(F.lit(0), F.when(F.col("place") < common, often - 1).otherwise(0))).alias("copy")
+    copies = first.select("task_id", "word", "place", again)
+    copies = copies.withColumn("e", draw(seed, "task_id", "word", "copy"))
+    mixed = F.transform(F.array_sort(F.collect_list(F.struct("e", "word"))), lambda x: x["word"])
+    label = F.transform(F.array_sort(F.collect_list(F.when((F.col("place") < common) & (F.col("copy") == 0), F.struct("place", "word")))), lambda x: x["word"])
+    return copies.groupBy("task_id").agg(mixed.alias("words"), label.alias("label"))
+
+
+def transcripts(df: DataFrame, turns: str, answers: str) -> DataFrame:
+    """A judge's prompt for each turn, numbered from 1, with the questions and answers up to it."""
+    rows = df.select("*", F.explode(F.sequence(F.lit(1), F.size(turns))).alias("turn"))
+    pairs = F.slice(F.arrays_zip(F.col(turns).alias("q"), F.col(answers).alias("r")), 1, F.col("turn"))
+    number = lambda word, i: F.concat(F.lit(f"{word} "), (i + 1).cast("string"), F.lit(": "))
+    lines = F.transform(pairs, lambda x, i: F.concat(number("Question", i), x["q"], F.lit("\n"), number("Answer", i), x["r"]))
+    return rows.withColumn("prompt", F.array_join(lines, "\n"))
+
+
+def rubric_prompt(turns: Column, criterion: Column, points: Column) -> Column:
+    lines = F.array_join(F.transform(turns, lambda m: F.concat(m["role"], F.lit(": "), m["content"])), "\n")
+    return F.concat(F.lit("Conversation:\n"), lines, F.lit("\n\nCriterion ("), points.cast("string"), F.lit(" points): "), criterion)
+
+
+def translation_prompt(source: Column, translation: Column, reference: Column) -> Column:
+    return F.concat(F.lit("Source: "), source, F.lit("\nTranslation: "), translation, F.lit("\nReference: "), reference)
+
+
+def boxed_prompt(question: Column, answer: Column, label: Column) -> Column:
+    """A question with the answer's last box, or all of it if there is none, and the right answer."""
+    return F.concat(F.lit("Question: "), question, F.lit("\nAnswer: "), F.coalesce(boxed(answer), answer), F.lit("\nRight answer: "), label)
+
+
+#: What a judge is asked, by name; own forms are added here.
+JUDGE_PROMPTS = {"rubric": rubric_prompt, "translation": translation_prompt, "boxed": boxed_prompt}

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType
 
-from gradus.functions.draws import below
+from gradus.functions.draws import below, draw
 from gradus.functions.text import ratio
+from gradus.operators.numbering import placed
 
 
 def decoded(ix: Column, runs: int, turns: int, pairs: Column) -> dict[str, Column]:
@@ -23,11 +24,30 @@ def decoded(ix: Column, runs: int, turns: int, pairs: Column) -> dict[str, Colum
     return {"run": ix % runs, "turn": rest % turns, "item_ix": F.floor(item_pair / pairs).cast("long"), "model_a": a, "model_b": (p - a * (a - 1) / 2).cast("long")}
 
 
-def contests(groups: DataFrame, by: list[str], n: int | Column, seed: int, runs: int, models: int, items: str) -> DataFrame:
-    """n contests of each group, drawn with replacement by hash; ``groups`` has one row per group with its number of items. A column ``n`` gives each group its own number."""
+def n_contests(runs: int, turns: int, items: Column, models: int) -> Column:
+    """How many contests there are: each pair of models on each run, turn and item."""
+    return items * (runs * turns * models * (models - 1) // 2)
+
+
+def contests(items: DataFrame, groups: DataFrame, by: list[str], seed: int, runs: int, models: int) -> DataFrame:
+    """(by, contest, run, item_ix, model_a, model_b): the contests of each group, drawn by hash.
+
+    ``groups`` has one row per group with its number of items (``n``) and of contests
+    (``n_contests``), ``items`` the items of all groups, numbered by ``item_ix``; both
+    have columns of ``by``, of which ``items`` may lack some. A group that has enough
+    contests is drawn from without replacement, any other with.
+    """
     pairs = models * (models - 1) // 2
-    rows = groups.withColumn("contest", F.explode(F.sequence(F.lit(0).cast("long"), (F.lit(n) - 1).cast("long"))))
-    rows = rows.withColumn("ix", below(F.col(items) * (runs * pairs), seed, *by, "contest"))
+    total = n_contests(runs, 1, F.col("n"), models)
+    scarce = groups.where(F.col("n_contests") > total)
+    again = scarce.withColumn("contest", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_contests") - 1)))
+    again = again.select(*by, "contest", below(total, seed, *by, "contest").alias("ix"))
+    keys = [c for c in by if c in items.columns]
+    once = items.join(groups.where(F.col("n_contests") <= total), keys).select(*by, "n_contests", "item_ix", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(runs * pairs - 1).cast("long"))).alias("k"))
+    once = once.select(*by, "n_contests", (F.col("item_ix") * (runs * pairs) + F.col("k")).alias("ix"))
+    once = once.withColumn("d", draw(seed, *by, "ix"))
+    once = placed(once, by, ["d", "ix"], F.floor(F.col("d") / (1 << 26)), "contest").where("contest < n_contests")
+    rows = again.unionByName(once.select(*by, "contest", "ix"))
     return rows.select(*by, "contest", *[c.alias(n) for n, c in decoded(F.col("ix"), runs, 1, F.lit(pairs)).items()])
 
 
@@ -53,22 +73,25 @@ def allocation(df: DataFrame, levels: list[str], total: int) -> DataFrame:
     return rows
 
 
-def bradley_terry(pairs: DataFrame, rounds: int = 100, scale: float = 400.0, base: float = 10.0, start: float = 1000.0, tolerance: float = 1e-9) -> dict[str, float]:
-    """Maximum-likelihood ratings from (model_a, model_b, outcome), centred on ``start``; a tie is half a win for each.
+def balanced(df: DataFrame, entities: list[str], total: int) -> DataFrame:
+    """(balance_by, entity, n_contests): the total split evenly over the values of each of the columns, rounded up."""
+    rows = None
+    for name in entities:
+        part = df.select(F.lit(name).alias("balance_by"), F.col(name).cast("string").alias("entity")).distinct()
+        rows = part if rows is None else rows.unionByName(part)
+    count = rows.groupBy("balance_by").agg(F.count("*").alias("k"))
+    return rows.join(count, "balance_by").select("balance_by", "entity", F.ceil(F.lit(total) / F.col("k")).alias("n_contests"))
 
-    Contests are summed per pair of models in Spark; the iteration runs over that
-    table, whose size is the number of pairs of models. A model that wins or
-    loses all of its contests has no finite rating: its strength stops at the
-    bounds 1e-9 and 1e9.
-    """
-    rows = pairs.groupBy("model_a", "model_b").agg(F.sum("outcome").alias("w"), F.count("*").alias("n")).collect()
+
+def strengths(pdf: pd.DataFrame, rounds: int = 150, tolerance: float = 1e-13) -> dict:
+    """Maximum-likelihood strengths, of geometric mean 1, from sums per pair of models: (model_a, model_b, w, n)."""
     wins: dict = {}
     games: dict = {}
-    for r in rows:
-        wins[r.model_a] = wins.get(r.model_a, 0.0) + r.w
-        wins[r.model_b] = wins.get(r.model_b, 0.0) + r.n - r.w
-        key = (min(r.model_a, r.model_b), max(r.model_a, r.model_b))
-        games[key] = games.get(key, 0) + r.n
+    for a, b, w, n in zip(pdf["model_a"], pdf["model_b"], pdf["w"], pdf["n"], strict=True):
+        wins[a] = wins.get(a, 0.0) + w
+        wins[b] = wins.get(b, 0.0) + n - w
+        key = (min(a, b), max(a, b))
+        games[key] = games.get(key, 0) + n
     p = dict.fromkeys(wins, 1.0)
     for _ in range(rounds):
         load = dict.fromkeys(p, 0.0)
@@ -83,7 +106,28 @@ def bradley_terry(pairs: DataFrame, rounds: int = 100, scale: float = 400.0, bas
         p = new
         if moved < tolerance:
             break
-    return {m: start + scale * math.log(v) / math.log(base) for m, v in p.items()}
+    return p
+
+
+def bradley_terry(pairs: DataFrame, by: list[str], scale: float = 400.0, base: float = 10.0, start: float = 1000.0) -> DataFrame:
+    """(by, model, rating): maximum-likelihood ratings from (model_a, model_b, outcome), centred on ``start``; a tie is half a win for each.
+
+    Contests are summed per pair of models before anything is gathered; the
+    iteration runs beside others over that table, whose size is the number of pairs
+    of models. A model that wins or loses all of its contests has no finite rating:
+    its strength stops at the bounds 1e-9 and 1e9.
+    """
+    sums = pairs.groupBy(*by, "model_a", "model_b").agg(F.sum("outcome").alias("w"), F.count("*").alias("n"))
+    schema = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in sums.select(*by).schema)
+
+    def fit(keys: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        found = strengths(pdf)
+        out = pd.DataFrame({"model": list(found), "rating": [start + scale * math.log(v) / math.log(base) for v in found.values()]})
+        for name, value in zip(by, keys, strict=True):
+            out.insert(0, name, value)
+        return out[[*by, "model", "rating"]]
+
+    return sums.groupBy(*by).applyInPandas(fit, f"{schema}model {sums.schema['model_a'].dataType.simpleString()}, rating double")
 
 
 def elo(df: DataFrame, by: list[str], order: str, k: float = 4.0, start: float = 1000.0, decay: bool = True) -> DataFrame:

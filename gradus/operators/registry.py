@@ -54,7 +54,7 @@ def scored(df: DataFrame, metric: Metric, response: str = "response", label: str
 
 def evaluate(df: DataFrame, metric: str | Metric, by: list[str], overrides: DataFrame | None = None) -> DataFrame:
     """A metric per group; ``overrides`` names rows of ``by`` (or some of its columns) to leave out."""
-    rows = df.join(F.broadcast(overrides), overrides.columns, "left_anti") if overrides is not None else df
+    rows = df.join(overrides, overrides.columns, "left_anti") if overrides is not None else df
     metric = METRICS[metric] if isinstance(metric, str) else metric
     return metric.summarise(scored(rows, metric), by)
 

@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gradus.functions.draws import below, uniform
-from gradus.functions.text import ratio
+from gradus.functions.text import norm, ratio
 from gradus.operators.logprob import stderr
+from gradus.operators.numbering import numbered
 
 
 def mean_of_means(df: DataFrame, levels: list[str], value: str) -> dict[str, DataFrame]:
@@ -50,6 +51,23 @@ def auto_scaled(value: Column, most: Column) -> Column:
     return F.when(most <= 1, value * 100).otherwise(value)
 
 
+def scaled_means(df: DataFrame, by: list[str], value: str) -> DataFrame:
+    """Means on 0 to 100 of groups that may be on 0 to 1: those are, none of whose values is above 1."""
+    return df.groupBy(*by).agg(auto_scaled(F.avg(value), F.max(value)).alias(value))
+
+
+def pragmatics(counts: DataFrame, by: list[str], phenomenon: str, low: float = 0.5) -> DataFrame:
+    """accuracy and normalized, on 0 to 100: the mean over phenomena of n_correct over n_total, summed over a phenomenon's tasks."""
+    per = counts.groupBy(*by, phenomenon).agg((F.sum("n_correct") / F.sum("n_total")).alias("a"))
+    out = per.groupBy(*by).agg(F.avg("a").alias("a"))
+    return out.select(*by, (F.col("a") * 100).alias("accuracy"), (norm(F.col("a"), low, 1.0) * 100).alias("normalized"))
+
+
+def diagnostics(components: DataFrame, by: list[str], value: str) -> DataFrame:
+    """Mean of the components that are there."""
+    return components.where(F.col(value).isNotNull()).groupBy(*by).agg(F.avg(value).alias(value), F.count("*").alias("n_components"))
+
+
 def success(percent: Column, seed: int, *keys: str) -> Column:
     """1 with the given probability in percent, drawn by hash."""
     return (uniform(seed, *keys) < percent / 100).cast("int")
@@ -59,32 +77,36 @@ def percentile_interval(df: DataFrame, by: list[str], key: str, value: str, boot
     """Mean, and the middle 95 % of the means of resampled rows, of which each bootstrap draws as many as there are with replacement.
 
     A row counts in a bootstrap as often as draws fall on its place, so that only
-    the places are joined. Groups must be small enough to number: use on items' scores.
+    the places are joined; draws differ between groups.
     """
-    from pyspark.sql import Window
-
-    place = Window.partitionBy(*by).orderBy(key)
-    rows = df.select(*by, key, value, (F.row_number().over(place) - 1).cast("long").alias("_at"), F.count("*").over(Window.partitionBy(*by)).alias("_n"))
-    drawn = rows.select(*by, "_at", "_n", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(bootstraps - 1).cast("long"))).alias("bootstrap"))
-    drawn = drawn.select(*by, "bootstrap", below(F.col("_n"), seed, "bootstrap", "_at").alias("_at"))
+    rows = numbered(df.select(*by, key, value), by, key, "_at")
+    sizes = df.groupBy(*by).agg(F.count("*").alias("_n"))
+    drawn = rows.join(sizes, by).select(*by, "_at", "_n", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(bootstraps - 1).cast("long"))).alias("bootstrap"))
+    drawn = drawn.select(*by, "bootstrap", below(F.col("_n"), seed, *by, "bootstrap", "_at").alias("_at"))
     means = drawn.join(rows.select(*by, "_at", value), [*by, "_at"]).groupBy(*by, "bootstrap").agg(F.avg(value).alias("m"))
     cuts = F.percentile("m", F.array(F.lit(0.025), F.lit(0.5), F.lit(0.975)))
     return means.groupBy(*by).agg(cuts.alias("c")).select(*by, F.col("c")[0].alias("low"), F.col("c")[1].alias("mid"), F.col("c")[2].alias("high"))
 
 
-def completeness(expected: DataFrame, actual: DataFrame, keys: list[str], model: list[str]) -> DataFrame:
+def completeness(expected: DataFrame, actual: DataFrame, keys: list[str], model: list[str], reasoning: str | None = None) -> DataFrame:
     """Per model: how many expected results are there, which are missing or have fewer rows than expected, and a status.
 
-    ``expected`` has the keys and ``n_expected``, ``actual`` the keys and ``n``.
+    ``expected`` has the keys and ``n_expected``, ``actual`` the keys and ``n``, and with
+    ``reasoning`` a column of how many of its rows have reasoning: results that lack
+    some are listed too, and make a run incomplete.
     """
     both = expected.join(actual, keys, "left")
     missing, short = F.col("n").isNull(), F.col("n") < F.col("n_expected")
     name = F.concat_ws("/", *[F.col(k).cast("string") for k in keys if k not in model])
-    out = both.groupBy(*model).agg(
-        F.count_if(~missing).alias("n_present"),
-        F.count("*").alias("n_expected"),
-        F.array_join(F.array_sort(F.collect_list(F.when(missing, name))), ",").alias("missing"),
-        F.array_join(F.array_sort(F.collect_list(F.when(short, name))), ",").alias("incomplete"),
-    )
-    status = F.when(F.col("n_present") == 0, "Error").when((F.col("missing") == "") & (F.col("incomplete") == ""), "Complete").otherwise("Incomplete")
-    return out.withColumn("status", status)
+    listed = lambda which: F.array_join(F.array_sort(F.collect_list(F.when(which, name))), ",")
+    lists = {"missing": missing, "incomplete": short} | ({"missing_reasoning": F.col(reasoning) < F.col("n")} if reasoning else {})
+    out = both.groupBy(*model).agg(F.count_if(~missing).alias("n_present"), F.count("*").alias("n_expected"), *[listed(w).alias(c) for c, w in lists.items()])
+    whole = F.lit(True)
+    for c in lists:
+        whole = whole & (F.col(c) == "")
+    return out.withColumn("status", F.when(F.col("n_present") == 0, "Error").when(whole, "Complete").otherwise("Incomplete"))
+
+
+def report_table(report: DataFrame, rows: str, columns: str, values: list, cell: str) -> DataFrame:
+    """A report with a column for each of the given values; cells without a result are null."""
+    return report.groupBy(rows).pivot(columns, values).agg(F.first(cell))

@@ -103,6 +103,18 @@ def mc_subgroup_accuracy(spark, sf_dir):
     return classify.subgroup_accuracy(scored(spark, sf_dir), ["model"], ["lang", "competency"])
 
 
+@query(
+    sql(
+        """f AS (SELECT model, 'all' AS facet, 'all' AS value, label, pred FROM scored UNION ALL SELECT model, 'lang', lang, label, pred FROM scored UNION ALL SELECT model, 'competency', competency, label, pred FROM scored)""",
+        "s AS (SELECT model, facet, value, label AS class, count(*) AS support, 0 AS predicted, count_if(label = pred) AS tp FROM f GROUP BY ALL UNION ALL SELECT model, facet, value, pred, 0, count(*), 0 FROM f GROUP BY ALL)",
+        "SELECT model, facet, value, avg(f1) AS macro_f1 FROM (SELECT model, facet, value, class, 2 * sum(tp) / (sum(support) + sum(predicted))::DOUBLE AS f1 FROM s GROUP BY ALL) GROUP BY ALL",
+    ),
+    "macro_f1",
+)
+def mc_subgroup_macro_f1(spark, sf_dir):
+    return classify.subgroup_macro_f1(scored(spark, sf_dir), ["model"], ["lang", "competency"])
+
+
 @query(sql("SELECT item_id, model, run, pred, correct FROM scored"))
 def mc_item_scores(spark, sf_dir):
     return scored(spark, sf_dir).select("item_id", "model", "run", "pred", "correct")

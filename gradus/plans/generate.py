@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from gradus.functions.draws import draw_sql
 from gradus.operators import generate, logprob
 from gradus.plans.registry import Registry
 from gradus.plans.tables import answers, read, scored, sql
@@ -11,7 +12,7 @@ from gradus.plans.tables import answers, read, scored, sql
 REGISTRY = Registry()
 query = REGISTRY.query
 
-TOKENS = "list_filter(string_split(regexp_replace(lower({x}), '[\\p{{P}}\\p{{S}}\\s]+', ' ', 'g'), ' '), lambda w: w <> '')"
+TOKENS = "list_filter(string_split(regexp_replace(regexp_replace(lower({x}), '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F-\\x{{9F}}\\p{{Cf}}\\p{{Co}}\\x{{FFFD}}]', '', 'g'), '[!-/:-@\\[-`{{-~\\p{{P}}\\s\\p{{Z}}]+', ' ', 'g'), ' '), lambda w: w <> '')"
 NORMAL = "trim(regexp_replace(regexp_replace(lower({x}), '[!-/:-@\\[-`{{-~]', '', 'g'), '\\s+', ' ', 'g'))"
 PAIRS = """refs AS (SELECT d.doc_id AS item_id, k.ref_ix, b.text AS ref FROM documents d, (SELECT unnest([0, 1])::INT AS ref_ix) k
     JOIN benchmark b ON b.item_id = (d.doc_id * (1 + 6 * k.ref_ix) + k.ref_ix) % (SELECT count(*) FROM benchmark))"""
@@ -21,13 +22,23 @@ def preds(spark, sf_dir):
     return read(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), F.col("text").alias("pred"))
 
 
-def refs(spark, sf_dir):
-    """Two reference passages for each document."""
-    bench = read(spark, sf_dir, "benchmark")
-    n = F.broadcast(bench.agg(F.count("*").alias("n")))
+def ref_keys(spark, sf_dir):
+    """(item_id, ref_ix, ref_id): two reference passages for each document."""
+    n = F.broadcast(read(spark, sf_dir, "benchmark").agg(F.count("*").alias("n")))  # one row
     keys = read(spark, sf_dir, "documents").select("doc_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("ref_ix")).join(n)
-    keys = keys.select(F.col("doc_id").alias("item_id"), "ref_ix", ((F.col("doc_id") * (1 + 6 * F.col("ref_ix")) + F.col("ref_ix")) % F.col("n")).alias("b"))
-    return keys.join(bench.select(F.col("item_id").alias("b"), F.col("text").alias("ref")), "b").select("item_id", "ref_ix", "ref")
+    return keys.select(F.col("doc_id").alias("item_id"), "ref_ix", ((F.col("doc_id") * (1 + 6 * F.col("ref_ix")) + F.col("ref_ix")) % F.col("n")).alias("ref_id"))
+
+
+def ref_texts(spark, sf_dir):
+    return read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("ref_id"), F.col("text").alias("ref"))
+
+
+def refs(spark, sf_dir):
+    return ref_keys(spark, sf_dir).join(ref_texts(spark, sf_dir), "ref_id").select("item_id", "ref_ix", "ref")
+
+
+def overlaps(spark, sf_dir):
+    return preds(spark, sf_dir), ref_keys(spark, sf_dir), ref_texts(spark, sf_dir)
 
 
 def ref_lists(spark, sf_dir):
@@ -54,12 +65,12 @@ _F1 = _overlap_sql(*(f"list_filter(string_split({NORMAL.format(x=x)}, ' '), lamb
 
 @query(sql(*_F1, "SELECT item_id, max(f1) AS f1 FROM f GROUP BY item_id"), "f1")
 def qa_token_f1(spark, sf_dir):
-    return generate.token_f1(preds(spark, sf_dir), refs(spark, sf_dir))
+    return generate.token_f1(*overlaps(spark, sf_dir))
 
 
 @query(sql(*_F1, "SELECT avg(f1) * 100 AS f1 FROM (SELECT item_id, max(f1) AS f1 FROM f GROUP BY item_id)"), "f1")
 def qa_token_f1_corpus(spark, sf_dir):
-    return generate.token_f1(preds(spark, sf_dir), refs(spark, sf_dir)).agg((F.avg("f1") * 100).alias("f1"))
+    return generate.token_f1(*overlaps(spark, sf_dir)).agg((F.avg("f1") * 100).alias("f1"))
 
 
 _EM = (PAIRS, f"h AS (SELECT d.doc_id AS item_id, max(({NORMAL.format(x='d.text')} = {NORMAL.format(x='r.ref')})::INT) AS exact_match, max(CASE WHEN ref_ix = 0 THEN contains(trim(lower(d.text), '. '), trim(lower(r.ref), '. '))::INT END) AS contained FROM documents d JOIN refs r ON d.doc_id = r.item_id GROUP BY 1)")
@@ -89,12 +100,32 @@ def _pre(n: int) -> tuple[str, ...]:
 
 @query(sql(*_pre(1), "SELECT item_id, ref_ix, precision, recall, f1 FROM f"), "precision recall f1")
 def rouge_1(spark, sf_dir):
-    return generate.rouge_n(preds(spark, sf_dir), refs(spark, sf_dir), 1)
+    return generate.rouge_n(*overlaps(spark, sf_dir), 1)
 
 
 @query(sql(*_pre(2), "SELECT item_id, ref_ix, precision, recall, f1 FROM f"), "precision recall f1")
 def rouge_2(spark, sf_dir):
-    return generate.rouge_n(preds(spark, sf_dir), refs(spark, sf_dir), 2)
+    return generate.rouge_n(*overlaps(spark, sf_dir), 2)
+
+
+_AGG = """pairs AS (SELECT (ROW_NUMBER() OVER (ORDER BY item_id, ref_ix) - 1)::BIGINT AS place, count(*) OVER () AS n, precision, recall, f1 FROM f)"""
+
+
+@query(
+    sql(
+        *_pre(1),
+        _AGG,
+        f"d AS (SELECT bootstrap, {draw_sql('4156', 'bootstrap', 'place')} % n AS place FROM pairs, (SELECT unnest(range(0, 1000)) AS bootstrap))",
+        "m AS (SELECT bootstrap, avg(precision) AS precision, avg(recall) AS recall, avg(f1) AS f1 FROM d JOIN pairs USING (place) GROUP BY bootstrap)",
+        "u AS (UNPIVOT m ON precision, recall, f1 INTO NAME measure VALUE x)",
+        "SELECT measure, quantile_cont(x, 0.025) AS low, quantile_cont(x, 0.5) AS mid, quantile_cont(x, 0.975) AS high FROM u GROUP BY measure",
+    ),
+    "low mid high",
+)
+def rouge_1_aggregate(spark, sf_dir):
+    """Low, middle and high of a thousand resampled means of each measure over all pairs."""
+    pairs = generate.rouge_n(*overlaps(spark, sf_dir), 1).withColumn("pair", F.col("item_id") * 2 + F.col("ref_ix"))
+    return generate.aggregated(pairs, "pair", ["precision", "recall", "f1"], 1000, 4156)
 
 
 @query()
@@ -130,6 +161,13 @@ def chrf_corpus(spark, sf_dir):
     return generate.chrf(bench.select("item_id", F.col("text").alias("pred")), before)
 
 
+@query(sql("SELECT model, lang, avg(x) AS score, avg(greatest((x - 25) / -25.0::DOUBLE, 0)) * 100 AS normalized FROM (SELECT model, lang, u % 2501 / 100.0::DOUBLE AS x FROM answers) GROUP BY ALL"), "score normalized")
+def learned_error_scores(spark, sf_dir):
+    """A learned scorer's errors from 0 to 25, of which less is better."""
+    rows = answers(spark, sf_dir).withColumn("x", F.col("u") % 2501 / F.lit(100.0))
+    return generate.error_scores(rows, ["model", "lang"], "x", 25.0)
+
+
 _LP = "lp AS (SELECT *, CASE WHEN u % 16 = 3 THEN NULL ELSE ln((1 + u % 1000) / 1000.0::DOUBLE) END AS logprob FROM answers)"
 _ERR = "coalesce(sqrt(var_samp({x}) / count({x})), 0)"
 
@@ -159,10 +197,16 @@ def logprob_by_phenomenon(spark, sf_dir):
     return logprob.by_group(logprobs(spark, sf_dir), ["model"], "competency")
 
 
-@query(sql(_LP, "SELECT item_id, sum(logprob) AS logprob, count(run) AS n_tokens FROM lp WHERE model = 0 GROUP BY item_id"), "logprob")
+@query(sql(_LP, "SELECT model, item_id, sum(logprob) AS logprob, count(run) AS n_tokens FROM lp GROUP BY model, item_id"), "logprob")
 def logprob_of_answer(spark, sf_dir):
     """The runs stand for an answer's tokens."""
-    return logprob.total_over_tokens(logprobs(spark, sf_dir).where("model = 0"), "item_id", "run")
+    return logprob.total_over_tokens(logprobs(spark, sf_dir), ["model", "item_id"], "run")
+
+
+@query(sql(_LP, "SELECT model, item_id, run, sum(logprob) OVER (PARTITION BY model, item_id ORDER BY run ROWS UNBOUNDED PRECEDING) AS so_far FROM lp"), "so_far")
+def logprob_so_far(spark, sf_dir):
+    """The sum up to each token; nulls add nothing."""
+    return logprob.cumulative(logprobs(spark, sf_dir), ["model", "item_id"], "run").select("model", "item_id", "run", "so_far")
 
 
 @query(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from gradus.functions import text
 from gradus.functions.draws import draw, draw_sql
 from gradus.operators import judge
 from gradus.plans.registry import Registry
@@ -13,18 +14,18 @@ REGISTRY = Registry()
 query = REGISTRY.query
 
 WEIGHTS = {"CLASS_0": 0.0, "CLASS_1": 0.25, "CLASS_2": 0.5, "CLASS_3": 0.75, "CLASS_4": 1.0}
-_V = f"""v AS (SELECT a.model, a.item_id, a.lang, a.competency, c.criterion, {draw_sql("5", "a.model", "a.item_id", "c.criterion")} AS d
-    FROM answers a, (SELECT unnest(range(0, 5)) AS criterion) c WHERE a.run = 0)"""
+_V = f"""v AS (SELECT a.model, a.run, a.item_id, a.lang, a.competency, c.criterion, {draw_sql("5", "a.model", "a.run", "a.item_id", "c.criterion")} AS d
+    FROM answers a, (SELECT unnest(range(0, 5)) AS criterion) c)"""
 _J = """j AS (SELECT *, 'Note. <classification> CLASS_' || (d % 6) || ' </classification> then <classification>CLASS_' || (d // 8 % 6) || '</classification>' AS verdict FROM v)"""
 _W = "CASE {c} WHEN 'CLASS_1' THEN 0.25::DOUBLE WHEN 'CLASS_2' THEN 0.5 WHEN 'CLASS_3' THEN 0.75 WHEN 'CLASS_4' THEN 1.0 ELSE 0 END"
 _S = f"s AS (SELECT *, {_W.format(c="regexp_extract(verdict, '<classification>\\s*([^<]*?)\\s*</classification>', 1)")} AS w FROM j)"
 
 
 def verdicts(spark, sf_dir):
-    rows = answers(spark, sf_dir).where("run = 0").withColumn("criterion", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(4).cast("long"))))
-    rows = rows.withColumn("d", draw(5, "model", "item_id", "criterion"))
-    text = F.format_string("Note. <classification> CLASS_%d </classification> then <classification>CLASS_%d</classification>", F.col("d") % 6, F.floor(F.col("d") / 8) % 6)
-    return rows.select("model", "item_id", "lang", "competency", "criterion", "d", text.alias("verdict"))
+    rows = answers(spark, sf_dir).withColumn("criterion", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(4).cast("long"))))
+    rows = rows.withColumn("d", draw(5, "model", "run", "item_id", "criterion"))
+    said = F.format_string("Note. <classification> CLASS_%d </classification> then <classification>CLASS_%d</classification>", F.col("d") % 6, F.floor(F.col("d") / 8) % 6)
+    return rows.select("model", "run", "item_id", "lang", "competency", "criterion", "d", said.alias("verdict"))
 
 
 def weighted(spark, sf_dir):
@@ -32,16 +33,16 @@ def weighted(spark, sf_dir):
 
 
 @query(
-    sql(_V, _J, _S, "SELECT model, competency, avg(score) * 100 AS score, count(*) AS n_items FROM (SELECT model, competency, item_id, avg(w) AS score FROM s GROUP BY ALL) GROUP BY GROUPING SETS ((model, competency), (model))"),
+    sql(_V, _J, _S, "SELECT model, competency, avg(score) * 100 AS score, count(*) AS n_items FROM (SELECT model, competency, item_id, run, avg(w) AS score FROM s GROUP BY ALL) GROUP BY GROUPING SETS ((model, competency), (model))"),
     "score",
 )
 def judge_criteria(spark, sf_dir):
-    return judge.criteria_score(weighted(spark, sf_dir), ["model"], "item_id", "competency", "w")
+    return judge.criteria_score(weighted(spark, sf_dir), ["model"], ["item_id", "run"], "competency", "w")
 
 
-@query(sql(_V, _J, "SELECT model, item_id, criterion, regexp_extract(verdict, '.*<classification>\\s*([^<]*?)\\s*</classification>', 1) AS class FROM j"))
+@query(sql(_V, _J, "SELECT model, run, item_id, criterion, regexp_extract(verdict, '.*<classification>\\s*([^<]*?)\\s*</classification>', 1) AS class FROM j"))
 def judge_last_classification(spark, sf_dir):
-    return verdicts(spark, sf_dir).select("model", "item_id", "criterion", judge.classification(F.col("verdict"), last=True).alias("class"))
+    return verdicts(spark, sf_dir).select("model", "run", "item_id", "criterion", judge.classification(F.col("verdict"), last=True).alias("class"))
 
 
 @query(
@@ -61,23 +62,23 @@ def severities(spark, sf_dir):
 
 
 @query(
-    sql(_V, _J, _S, _SEV, "SELECT model, item_id, g AS generic, c AS criteria, g * c AS overall FROM (SELECT model, item_id, sum(sw * w) FILTER (severity = 'generic') / sum(sw) FILTER (severity = 'generic') AS g, sum(sw * w) FILTER (severity IS DISTINCT FROM 'generic') / sum(sw) FILTER (severity IS DISTINCT FROM 'generic') AS c FROM x GROUP BY ALL)"),
+    sql(_V, _J, _S, _SEV, "SELECT model, run, item_id, g AS generic, c AS criteria, g * c AS overall FROM (SELECT model, run, item_id, sum(sw * w) FILTER (severity = 'generic') / sum(sw) FILTER (severity = 'generic') AS g, sum(sw * w) FILTER (severity IS DISTINCT FROM 'generic') / sum(sw) FILTER (severity IS DISTINCT FROM 'generic') AS c FROM x GROUP BY ALL)"),
     "generic criteria overall",
 )
 def judge_severity_weighted(spark, sf_dir):
-    return judge.severity_score(severities(spark, sf_dir), ["model", "item_id"], "severity", "w")
+    return judge.severity_score(severities(spark, sf_dir), ["model", "run", "item_id"], "severity", "w")
 
 
 @query(
-    sql(_V, "SELECT model, item_id, greatest(sum(CASE WHEN d % 3 = 0 THEN criterion * 2 - 3 ELSE 0 END) / sum(greatest(criterion * 2 - 3, 0))::DOUBLE, 0) AS score FROM v GROUP BY ALL"),
+    sql(_V, "SELECT model, run, item_id, greatest(sum(CASE WHEN d % 3 = 0 THEN criterion * 2 - 3 ELSE 0 END) / sum(greatest(criterion * 2 - 3, 0))::DOUBLE, 0) AS score FROM v GROUP BY ALL"),
     "score",
 )
 def judge_rubric_points(spark, sf_dir):
-    rows = verdicts(spark, sf_dir).select("model", "item_id", (F.col("d") % 3 == 0).alias("met"), (F.col("criterion") * 2 - 3).alias("points"))
-    return judge.rubric_score(rows, ["model", "item_id"], "met", "points")
+    rows = verdicts(spark, sf_dir).select("model", "run", "item_id", (F.col("d") % 3 == 0).alias("met"), (F.col("criterion") * 2 - 3).alias("points"))
+    return judge.rubric_score(rows, ["model", "run", "item_id"], "met", "points")
 
 
-_P = """p AS (SELECT model, item_id, competency, criterion, CASE d % 5 WHEN 0 THEN 'I say [[A]]' WHEN 1 THEN '[[B]] it is' WHEN 2 THEN '[[C]]' WHEN 3 THEN '[[A]] or [[B]]' ELSE '[[A]].' END AS one,
+_P = """p AS (SELECT model, run, item_id, competency, criterion, CASE d % 5 WHEN 0 THEN 'I say [[A]]' WHEN 1 THEN '[[B]] it is' WHEN 2 THEN '[[C]]' WHEN 3 THEN '[[A]] or [[B]]' ELSE '[[A]].' END AS one,
     CASE d // 8 % 4 WHEN 0 THEN '[[A]]' WHEN 1 THEN '[[B]]' WHEN 2 THEN '[[C]]' ELSE 'none' END AS two FROM v)"""
 _PV = """pv AS (SELECT *, CASE WHEN contains(one, '[[A]]')::INT + contains(one, '[[B]]')::INT + contains(one, '[[C]]')::INT <> 1 THEN 'ERROR' WHEN contains(one, '[[C]]') THEN 'TIE' WHEN contains(one, '[[A]]') THEN 'WIN' ELSE 'LOSE' END AS v1,
     CASE two WHEN '[[A]]' THEN 'LOSE' WHEN '[[B]]' THEN 'WIN' WHEN '[[C]]' THEN 'TIE' ELSE 'ERROR' END AS v2 FROM p)"""
@@ -88,14 +89,14 @@ def pairwise(spark, sf_dir):
     one = F.when(d % 5 == 0, "I say [[A]]").when(d % 5 == 1, "[[B]] it is").when(d % 5 == 2, "[[C]]").when(d % 5 == 3, "[[A]] or [[B]]").otherwise("[[A]].")
     e = F.floor(d / 8) % 4
     two = F.when(e == 0, "[[A]]").when(e == 1, "[[B]]").when(e == 2, "[[C]]").otherwise("none")
-    rows = verdicts(spark, sf_dir).select("model", "item_id", "competency", "criterion", judge.verdict(one).alias("v1"), judge.verdict(two, F.lit(True)).alias("v2"))
+    rows = verdicts(spark, sf_dir).select("model", "run", "item_id", "competency", "criterion", judge.verdict(one).alias("v1"), judge.verdict(two, F.lit(True)).alias("v2"))
     return rows.withColumn("outcome", judge.combined(F.col("v1"), F.col("v2")))
 
 
-@query(sql(_V, _P, _PV, "SELECT model, item_id, criterion, v1, v2, CASE WHEN v1 = v2 THEN v1 ELSE 'TIE' END AS outcome, CASE WHEN v1 = v2 THEN v1 ELSE 'ERROR' END AS strict FROM pv"))
+@query(sql(_V, _P, _PV, "SELECT model, run, item_id, criterion, v1, v2, CASE WHEN v1 = v2 THEN v1 ELSE 'TIE' END AS outcome, CASE WHEN v1 = v2 THEN v1 ELSE 'ERROR' END AS strict FROM pv"))
 def judge_pairwise_verdicts(spark, sf_dir):
     rows = pairwise(spark, sf_dir)
-    return rows.select("model", "item_id", "criterion", "v1", "v2", "outcome", judge.combined(F.col("v1"), F.col("v2"), ties=False).alias("strict"))
+    return rows.select("model", "run", "item_id", "criterion", "v1", "v2", "outcome", judge.combined(F.col("v1"), F.col("v2"), ties=False).alias("strict"))
 
 
 _PTS = "CASE WHEN v1 <> v2 OR v1 = 'TIE' THEN 0.5 WHEN v1 = 'WIN' THEN 1 ELSE 0 END::DOUBLE"
@@ -109,28 +110,56 @@ def judge_pairwise_win_rate(spark, sf_dir):
     return judge.win_rates(pairwise(spark, sf_dir), ["model"], "competency", "outcome")
 
 
+_LABELS, _POINTS = ["much better", "better", "same", "worse", "much worse"], [1.0, 0.75, 0.5, 0.25, 0.0]
+_FINE = "CASE WHEN {d} % 7 < 5 THEN 'It is ' || ['much better', 'better', 'same', 'worse', 'much worse'][({d} % 5 + 1)::INT] ELSE 'unsure' END"
+_FIRST = "CASE " + " ".join(f"WHEN contains({{t}}, '{x}') THEN {p}::DOUBLE" for x, p in zip(_LABELS, _POINTS, strict=True)) + " END"
+_LAST = "CASE " + " ".join(f"WHEN contains({{t}}, '{x}') THEN {1 - p}::DOUBLE" for x, p in zip(_LABELS, _POINTS, strict=True)) + " END"
+
+
 @query(
     sql(
         _V,
-        "x AS (SELECT model, (CASE WHEN d % 7 < 5 THEN (d % 5) * 0.25::DOUBLE END + CASE WHEN d // 8 % 7 < 6 THEN (d // 8 % 5) * 0.25::DOUBLE END) / 2 AS x FROM v)",
+        f"y AS (SELECT model, {_FINE.format(d='d')} AS one, {_FINE.format(d='(d // 8)')} AS two FROM v)",
+        f"x AS (SELECT model, ({_FIRST.format(t='one')} + {_LAST.format(t='two')}) / 2 AS x FROM y)",
         "SELECT model, sum(coalesce(x, 0)) / count(*) * 100 AS score, avg(coalesce((x > 0.5)::INT, 0)) AS win, avg(coalesce((x = 0.5)::INT, 0)) AS tie, count_if(x IS NULL)::BIGINT AS null_count FROM x GROUP BY model",
     ),
     "score win tie",
 )
 def judge_fine_grained(spark, sf_dir):
+    """Labels in words, the second order read the other way round."""
     d, e = F.col("d"), F.floor(F.col("d") / 8)
-    rows = verdicts(spark, sf_dir).select("model", F.when(d % 7 < 5, (d % 5) * 0.25).alias("first"), F.when(e % 7 < 6, (e % 5) * 0.25).alias("second"))
+    said = lambda x: F.when(x % 7 < 5, F.concat(F.lit("It is "), F.get(F.array(*map(F.lit, _LABELS)), (x % 5).cast("int")))).otherwise("unsure")
+    rows = verdicts(spark, sf_dir).select("model", judge.labelled_points(said(d), _LABELS, _POINTS).alias("first"), judge.labelled_points(said(e), _LABELS, _POINTS, reverse=True).alias("second"))
     return judge.fine_grained(rows, ["model"], "first", "second", 1.0)
 
 
+@query(sql(_V, "SELECT model, run, item_id, criterion, CASE WHEN d % 3 = 0 THEN 'so it' || chr(10) || 'is' WHEN d % 3 = 1 THEN 'short' END AS reflection, CASE WHEN d % 3 = 0 THEN 'late' WHEN d % 3 = 1 THEN 'short' END AS one_line FROM v"))
+def judge_reflections(spark, sf_dir):
+    """What a judge reflects, over lines and on one line only."""
+    d = F.col("d")
+    said = F.when(d % 3 == 0, "<reflection>so it\nis </reflection> <reflection>late</reflection>").when(d % 3 == 1, "x <reflection> short</reflection>").otherwise("none")
+    rows = verdicts(spark, sf_dir)
+    return rows.select("model", "run", "item_id", "criterion", text.reflection(said).alias("reflection"), text.reflection(said, dotall=False).alias("one_line"))
+
+
+@query(sql(_V, "SELECT model, run, item_id, criterion, CASE WHEN d % 3 < 2 THEN d % 2 = 0 END AS met FROM v"))
+def judge_rubric_verdicts(spark, sf_dir):
+    """The last object of a judge's answer, plain, with escaped quotes, or broken."""
+    d = F.col("d")
+    met = F.when(d % 2 == 0, "true").otherwise("false")
+    said = F.when(d % 3 == 0, F.concat(F.lit('{"a": 1} then {"criteria_met": '), met, F.lit("}"))).when(d % 3 == 1, F.concat(F.lit('so {\\"criteria_met\\": '), met, F.lit("}"))).otherwise('{"criteria_met": ')
+    found = F.try_variant_get(text.repaired_json(said, "criteria_met"), "$.criteria_met", "boolean")
+    return verdicts(spark, sf_dir).select("model", "run", "item_id", "criterion", found.alias("met"))
+
+
 @query(
     sql(_V, "SELECT model, lang, avg((d % 4 = 0)::INT)::DOUBLE AS accuracy FROM v GROUP BY ALL"),
     "accuracy",
 )
 def judge_binary(spark, sf_dir):
     d = F.col("d")
-    text = F.when(d % 4 == 0, "This is CORRECT.").when(d % 4 == 1, "INCORRECT").when(d % 4 == 2, "CORRECT, no, INCORRECT").otherwise("unclear")
-    return verdicts(spark, sf_dir).groupBy("model", "lang").agg(F.avg(judge.correct(text)).alias("accuracy"))
+    said = F.when(d % 4 == 0, "This is CORRECT.").when(d % 4 == 1, "INCORRECT").when(d % 4 == 2, "CORRECT, no, INCORRECT").otherwise("unclear")
+    return verdicts(spark, sf_dir).groupBy("model", "lang").agg(F.avg(judge.correct(said)).alias("accuracy"))
 
 
 _COS = """e AS (SELECT a.vec_id, a.label, CASE WHEN n1 * n2 = 0 THEN 0 ELSE dot / sqrt(n1 * n2) END AS cosine FROM (

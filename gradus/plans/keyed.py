@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from gradus.functions import text
 from gradus.functions.draws import draw, draw_sql
 from gradus.operators import answers, keyed, prompts
+from gradus.plans.generate import TOKENS
 from gradus.plans.registry import Registry
 from gradus.plans.tables import items, read, responses, sql
 
@@ -59,7 +60,7 @@ def running_total(spark, sf_dir):
     return read(spark, sf_dir, "events").select("user_id", "event_id", F.sum("value").over(w).alias("total"))
 
 
-_T = "list_filter(string_split(regexp_replace(lower({x}), '[\\p{{P}}\\p{{S}}\\s]+', ' ', 'g'), ' '), lambda w: w <> '')"
+_T = TOKENS
 _NEXT = f"x AS (SELECT a.item_id, {_T.format(x='a.text')} AS p, {_T.format(x='b.text')} AS r FROM benchmark a JOIN benchmark b ON b.item_id = a.item_id + 1)"
 
 
@@ -144,10 +145,10 @@ def countdown_lines(spark, sf_dir):
     return rows.select("doc_id", keyed.countdown_line(line).alias("ok"))
 
 
-@query("SELECT doc_id, 'Question: ' || left(text, 20) || chr(10) || 'A. ' || trim(lang) || chr(10) || 'B. ' || trim(source) || chr(10) || 'C. {x}' AS prompt FROM documents")
+@query("SELECT doc_id, 'Question: ' || text || chr(10) || 'A. ' || trim(lang) || chr(10) || 'B. ' || trim(source) || chr(10) || 'C. {x}' AS prompt FROM documents")
 def prompt_options(spark, sf_dir):
     """A template filled with a question and lettered options; braces in values stay as they are."""
-    values = {"question": F.substring("text", 1, 20), "options": keyed.options(F.array("lang", "source", F.lit("{x}")))}
+    values = {"question": F.col("text"), "options": keyed.options(F.array("lang", "source", F.lit("{x}")))}
     return documents(spark, sf_dir).select("doc_id", keyed.filled_template("Question: {question}\n{options}", values).alias("prompt"))
 
 
@@ -239,18 +240,30 @@ def pairwise_prompts(spark, sf_dir):
     return prompts.both_orders(rows, "q", "a", "b").select("doc_id", "order", "turn", "prompt")
 
 
-@query()
+_PARTS = r"list_filter(string_split(regexp_replace(text, '([.?!]+)\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x) <> '')"
+_NEEDLE = f"""tk AS (SELECT i AS task_id, {_PARTS} AS parts FROM (SELECT unnest(range(100)) AS i) JOIN benchmark b ON b.item_id = i % (SELECT count(*) FROM benchmark)),
+    nd AS (SELECT task_id, k, {draw_sql("42", "task_id", "k", "'at'")} % (len(parts) + 1) AS pos, 'key-' || {draw_sql("42", "task_id", "k", "'key'")} AS key, ({draw_sql("42", "task_id", "k", "'value'")} % 2147483648)::VARCHAR AS value FROM tk, (SELECT unnest([1, 2, 3]) AS k)),
+    ln AS (SELECT task_id, pos, 0 AS own, k, 'The number of ' || key || ' is ' || value || '.' AS text FROM nd UNION ALL SELECT task_id, i, 1, i, parts[i + 1] FROM (SELECT task_id, parts, unnest(range(len(parts))) AS i FROM tk))"""
+
+
+@query(f"WITH {_NEEDLE} SELECT task_id, prompt, label FROM (SELECT task_id, string_agg(text, ' ' ORDER BY pos, own, k) AS prompt FROM ln GROUP BY 1) JOIN (SELECT task_id, string_agg(value, ',' ORDER BY k) AS label FROM nd GROUP BY 1) USING (task_id)")
 def needle_tasks(spark, sf_dir):
     bench = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("text_id"), text.sentences(F.col("text")).alias("parts"))
     n = F.broadcast(bench.agg(F.count("*").alias("n")))
     tasks = spark.range(100).join(n).select(F.col("id").alias("task_id"), (F.col("id") % F.col("n")).alias("text_id"))
-    return prompts.needle_tasks(bench, tasks, 3, 42)
+    return prompts.needle_tasks(bench, tasks, 3, 42).withColumn("label", F.array_join("label", ","))
+
+
+_COMMON = f"""v AS (SELECT DISTINCT unnest({_T.format(x="text")}) AS word FROM benchmark),
+    p AS (SELECT task_id, word, row_number() OVER (PARTITION BY task_id ORDER BY {draw_sql("42", "task_id", "word")}, word) - 1 AS place FROM v, (SELECT unnest(range(50)) AS task_id) QUALIFY place < 100),
+    c AS (SELECT task_id, word, place, unnest(range(CASE WHEN place < 10 THEN 30 ELSE 1 END)) AS copy FROM p)"""
 
 
-@query()
+@query(f"WITH {_COMMON} SELECT task_id, string_agg(word, ' ' ORDER BY {draw_sql('42', 'task_id', 'word', 'copy')}, word) AS words, string_agg(word, ' ' ORDER BY place) FILTER (place < 10 AND copy = 0) AS label FROM c GROUP BY task_id")
 def common_word_tasks(spark, sf_dir):
     vocabulary = read(spark, sf_dir, "benchmark").select(F.explode(text.tokens(F.col("text"))).alias("word")).distinct()
-    return prompts.common_word_tasks(vocabulary, spark.range(50).withColumnRenamed("id", "task_id"), 10, 30, 100, 42)
+    found = prompts.common_word_tasks(vocabulary, spark.range(50).withColumnRenamed("id", "task_id"), 10, 30, 100, 42)
+    return found.select("task_id", F.array_join("words", " ").alias("words"), F.array_join("label", " ").alias("label"))
 
 
 @query("SELECT doc_id, d % 5 <> 0 AS equal FROM (SELECT doc_id, " + draw_sql("21", "doc_id") + " AS d FROM documents)")

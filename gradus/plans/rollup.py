@@ -115,7 +115,7 @@ def bootstrap_balanced_accuracy(spark, sf_dir):
 
 @query(
     sql(
-        f"x AS (SELECT model, item_id, bootstrap, ({draw_sql('7', 'bootstrap', 'model', 'item_id')} / 4294967296.0::DOUBLE < p / 100)::INT AS hit FROM (SELECT model, item_id, avg(correct) * 100 AS p FROM scored GROUP BY ALL), (SELECT unnest(range(0, 10)) AS bootstrap))",
+        f"x AS (SELECT model, item_id, bootstrap, ({draw_sql('7', 'bootstrap', 'model', 'item_id')} / 4294967296.0::DOUBLE < p / 100)::INT AS hit FROM (SELECT model, item_id, avg(correct) * 100 AS p FROM scored GROUP BY ALL), (SELECT unnest(range(0, {BOOTSTRAPS})) AS bootstrap))",
         "SELECT model, avg(m) AS mean, coalesce(sqrt(var_samp(m) / count(m)), 0) AS stderr, count(*) AS n_bootstraps FROM (SELECT model, bootstrap, avg(hit) * 100 AS m FROM x GROUP BY ALL) GROUP BY model",
     ),
     "mean stderr",
@@ -123,22 +123,23 @@ def bootstrap_balanced_accuracy(spark, sf_dir):
 def bootstrap_bernoulli(spark, sf_dir):
     """A draw per item and bootstrap with the item's probability."""
     rows = scored(spark, sf_dir).groupBy("model", "item_id").agg((F.avg("correct") * 100).alias("p"))
-    rows = rows.withColumn("bootstrap", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(9).cast("long"))))
+    rows = rows.withColumn("bootstrap", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(BOOTSTRAPS - 1).cast("long"))))
     means = rows.groupBy("model", "bootstrap").agg((F.avg(rollup.success(F.col("p"), 7, "bootstrap", "model", "item_id")) * 100).alias("m"))
     return rollup.with_error(means, ["model"], "m")
 
 
 @query(
     sql(
-        "r AS (SELECT model, item_id, correct, row_number() OVER (PARTITION BY model ORDER BY item_id) - 1 AS place, count(*) OVER (PARTITION BY model) AS n FROM scored WHERE run = 0)",
-        f"d AS (SELECT model, bootstrap, {draw_sql('4156', 'bootstrap', 'place')} % n AS place FROM r, (SELECT unnest(range(0, 100)) AS bootstrap))",
-        "m AS (SELECT d.model, bootstrap, avg(correct) AS m FROM d JOIN r ON d.model = r.model AND d.place = r.place GROUP BY ALL)",
-        "SELECT model, quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.5) AS mid, quantile_cont(m, 0.975) AS high FROM m GROUP BY model",
+        "r AS (SELECT model, run, item_id, correct, row_number() OVER (PARTITION BY model, run ORDER BY item_id) - 1 AS place, count(*) OVER (PARTITION BY model, run) AS n FROM scored)",
+        f"d AS (SELECT model, run, bootstrap, {draw_sql('4156', 'model', 'run', 'bootstrap', 'place')} % n AS place FROM r, (SELECT unnest(range(0, 1000)) AS bootstrap))",
+        "m AS (SELECT d.model, d.run, bootstrap, avg(correct) AS m FROM d JOIN r ON d.model = r.model AND d.run = r.run AND d.place = r.place GROUP BY ALL)",
+        "SELECT model, run, quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.5) AS mid, quantile_cont(m, 0.975) AS high FROM m GROUP BY model, run",
     ),
     "low mid high",
 )
 def bootstrap_interval(spark, sf_dir):
-    return rollup.percentile_interval(scored(spark, sf_dir).where("run = 0"), ["model"], "item_id", "correct", 100, 4156)
+    """Of each model and run, from a thousand resamples of its items."""
+    return rollup.percentile_interval(scored(spark, sf_dir), ["model", "run"], "item_id", "correct", 1000, 4156)
 
 
 @query(
@@ -171,3 +172,67 @@ def geography_means(spark, sf_dir):
     rows = rows.join(read(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(read(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     rows = rows.select(F.col("r_name").alias("region"), F.col("n_name").alias("nation"), "score")
     return rollup.mean_of_means(rows, ["region", "nation"], "score")["region"]
+
+
+_LEFT = "NOT (model = 1 AND lang = 'fr') AND NOT (model = 2 AND run = 3 AND item_id % 5 = 0) AND NOT (model = 4 AND run = 1)"
+_INT = f"""e AS (SELECT model, run, lang, count(*) AS n_expected FROM scored GROUP BY ALL),
+    a AS (SELECT model, run, lang, count(*) AS n, count_if(model <> 3 OR item_id % 11 <> 0) AS n_reasoned FROM scored WHERE {_LEFT} GROUP BY ALL),
+    r AS (SELECT model, run, count(n)::BIGINT AS n_present, count(*) AS n_expected, coalesce(string_agg(CASE WHEN n IS NULL THEN lang END, ',' ORDER BY lang), '') AS missing,
+    coalesce(string_agg(CASE WHEN n < n_expected THEN lang END, ',' ORDER BY lang), '') AS incomplete, coalesce(string_agg(CASE WHEN n_reasoned < n THEN lang END, ',' ORDER BY lang), '') AS missing_reasoning
+    FROM e LEFT JOIN a USING (model, run, lang) GROUP BY ALL),
+    s AS (SELECT *, CASE WHEN n_present = 0 THEN 'Error' WHEN missing = '' AND incomplete = '' AND missing_reasoning = '' THEN 'Complete' ELSE 'Incomplete' END AS status FROM r)"""
+
+
+def integrity(spark, sf_dir):
+    keys = ["model", "run", "lang"]
+    rows = scored(spark, sf_dir)
+    expected = rows.groupBy(*keys).agg(F.count("*").alias("n_expected"))
+    there = rows.where(_LEFT).groupBy(*keys).agg(F.count("*").alias("n"), F.count_if((F.col("model") != 3) | (F.col("item_id") % 11 != 0)).alias("n_reasoned"))
+    return rollup.completeness(expected, there, keys, ["model", "run"], "n_reasoned")
+
+
+@query(sql(_INT, "SELECT * FROM s"))
+def integrity_report(spark, sf_dir):
+    """With results whose reasoning is missing."""
+    return integrity(spark, sf_dir)
+
+
+@query(sql(_INT, "SELECT model, max(status) FILTER (run = 0) AS \"0\", max(status) FILTER (run = 1) AS \"1\", max(status) FILTER (run = 2) AS \"2\", max(status) FILTER (run = 3) AS \"3\" FROM s GROUP BY model"))
+def integrity_table(spark, sf_dir):
+    return rollup.report_table(integrity(spark, sf_dir), "model", "run", list(range(RUNS)), "status")
+
+
+@query(sql("SELECT model, task, avg(x) * CASE WHEN max(x) <= 1 THEN 100 ELSE 1 END AS score FROM (SELECT model, task, correct * CASE WHEN substr(task, 4)::BIGINT % 2 = 0 THEN 1 ELSE 100 END AS x FROM scored) GROUP BY ALL"), "score")
+def auto_scaled_means(spark, sf_dir):
+    """Tasks scored on 0 to 1 or on 0 to 100."""
+    scale = F.when(F.substring("task", 4, 9).cast("long") % 2 == 0, 1).otherwise(100)
+    return rollup.scaled_means(scored(spark, sf_dir).select("model", "task", (F.col("correct") * scale).alias("score")), ["model", "task"], "score")
+
+
+_PRAG = "pg AS (SELECT model, lang, avg(a) AS a FROM (SELECT model, lang, competency, sum(correct) / count(*)::DOUBLE AS a FROM scored GROUP BY ALL) GROUP BY ALL)"
+
+
+def pragmatics(spark, sf_dir):
+    counts = scored(spark, sf_dir).groupBy("model", "lang", "task", "competency").agg(F.sum("correct").alias("n_correct"), F.count("*").alias("n_total"))
+    return rollup.pragmatics(counts, ["model", "lang"], "competency")
+
+
+@query(sql(_PRAG, "SELECT model, lang, a * 100 AS accuracy, greatest((a - 0.5) / 0.5, 0) * 100 AS normalized FROM pg"), "accuracy normalized")
+def pragmatics_total(spark, sf_dir):
+    """Phenomena over all of their tasks; their mean, normalised for two choices."""
+    return pragmatics(spark, sf_dir)
+
+
+@query(
+    sql(
+        _PRAG,
+        "c AS (SELECT model, lang, greatest((a - 0.5) / 0.5, 0) * 100 AS score FROM pg WHERE lang <> 'de' UNION ALL SELECT model, lang, avg(correct) * 100 FROM scored WHERE run = 0 OR lang = 'fr' GROUP BY ALL)",
+        "SELECT model, lang, avg(score) AS score, count(*) AS n_components FROM c GROUP BY ALL",
+    ),
+    "score",
+)
+def diagnostics_total(spark, sf_dir):
+    """The mean of the components that a language has: one has no pragmatics."""
+    first = pragmatics(spark, sf_dir).where("lang <> 'de'").select("model", "lang", F.col("normalized").alias("score"))
+    other = scored(spark, sf_dir).where("run = 0 OR lang = 'fr'").groupBy("model", "lang").agg((F.avg("correct") * 100).alias("score"))
+    return rollup.diagnostics(first.unionByName(other), ["model", "lang"], "score")

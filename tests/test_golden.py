@@ -58,8 +58,12 @@ def test_rubric_and_severity(frame):
 
 
 def test_overlaps(frame, spark):
-    pred, ref = frame([(1, "a b a")], "item_id int, pred string"), frame([(1, 0, "a a c")], "item_id int, ref_ix int, ref string")
-    assert generate.overlap_scores(generate.overlap(pred, ref, text.tokens)).first().f1 == pytest.approx(2 / 3)
+    pred, keys = frame([(1, "a b a"), (2, None), (3, "x")], "item_id int, pred string"), frame([(1, 0, 7), (2, 0, 7), (3, 0, 8)], "item_id int, ref_ix int, ref_id int")
+    refs = frame([(7, "a a c"), (8, "")], "ref_id int, ref string")
+    counts = {r.item_id: (r.common, r.n_pred, r.n_ref) for r in generate.overlap(pred, keys, refs, text.tokens).collect()}
+    assert counts[1] == (2, 3, 3) and counts[2][0] == 0 and counts[3] == (0, 1, 0)
+    assert {r.item_id: r.f1 for r in generate.overlap_scores(generate.overlap(pred, keys, refs, text.tokens)).collect()} == {1: pytest.approx(2 / 3), 2: 0, 3: 0}
+    assert [r.common for r in generate.overlap(pred, keys, refs, text.tokens, 2).orderBy("item_id").collect()] == [0, 0, 0]
     pairs = frame([(1, 0, "b x d", "a b c d")], "item_id int, ref_ix int, pred string, ref string")
     r = generate.rouge_l(pairs).first()
     assert (r.precision, r.recall, r.f1) == pytest.approx((2 / 3, 1 / 2, 4 / 7))
@@ -118,7 +122,17 @@ def test_loose_check(spark):
         ("json_value", "```json\n[1]\n```", {}, True),
         ("title", "<<>>", {}, False),
         ("in_quotes", '""', {}, False),
-        ("two_responses", "a******a", {}, False),
+        ("two_responses", "a******a", {}, True),
+        ("two_responses", "a******!?", {}, False),
+        ("postscript", "so\nmore P. S. this", {}, True),
+        ("postscript", "p.p.s. x", {"marker": "P.P.S."}, True),
+        ("postscript", "PS x", {}, False),
+        ("sections", "Subsection 1", {"title": "section", "n": 0}, True),
+        ("has_words", "a thé b", {"keywords": ["th"]}, False),
+        ("has_words", "ฉันไปบ้าน", {"keywords": ["ไป"], "language": "th"}, True),
+        ("one_of", "Jawabanku ora.", {"language": "jv"}, True),
+        ("json_value", "[] and more", {}, False),
+        ("json_value", '1, "b": 2', {}, False),
         ("two_responses", "a******b", {}, True),
         ("two_responses", "a******b******c", {}, False),
         ("repeats", "Say hi", {"prompt": "say hi"}, False),
@@ -154,7 +168,13 @@ def test_checkers(spark, name, response, arguments, want):
         (lambda: F.to_json(keyed.with_answer_at(lit(["x", "y"]), F.lit("z"), F.lit(2))), '["x","y","z"]'),
         (lambda: text.spaced_ideographs(F.lit("a日b")), "a 日 b"),
         (lambda: F.to_json(text.dashed_lines(F.lit("- The Cat\nno\n- x."))), '["cat","x"]'),
-        (lambda: text.arguments(F.lit("a=1, b=x"))["b"], "x"),
+        (lambda: text.arguments(F.lit("a=1,b=x"))["b"]["value"], "x"),
+        (lambda: text.arguments(F.lit("a=1,b=x, y,c='q'"))["b"]["value"], "x, y"),
+        (lambda: text.arguments(F.lit("a=-1.5e3"))["a"]["kind"], "float"),
+        (lambda: text.normalize_belief(F.lit("The cat is in  the box’s step, then")), "cat boxs then"),
+        (lambda: text.reflection(F.lit("<reflection> a\nb </reflection>")), "a\nb"),
+        (lambda: text.with_answer_pattern(F.lit("Answer: 12 x"), "Answer: ", "([0-9]+)"), "12"),
+        (lambda: text.with_answer_pattern(F.lit(" none "), "Answer: ", "([0-9]+)"), "none"),
     ],
 )
 def test_text(spark, call, want):
@@ -196,7 +216,7 @@ def test_ratings(frame):
         a, b = rng.sample(list(strength), 2)
         rows.append((i, a, b, float(rng.random() < 1 / (1 + 10 ** ((strength[b] - strength[a]) / 400)))))
     df = frame(rows, "n int, model_a int, model_b int, outcome double").withColumn("g", F.lit(1))
-    found = rating.bradley_terry(df)
+    found = {r.model: r.rating for r in rating.bradley_terry(df, []).collect()}
     assert found[1] - found[0] == pytest.approx(100, abs=20) and found[2] - found[0] == pytest.approx(250, abs=20)
     assert sum(found.values()) / 3 == pytest.approx(1000)
     walk = {r.model: r.rating for r in rating.elo(df, ["g"], "n").collect()}
@@ -217,3 +237,62 @@ def test_table_rows_count_as_often_as_they_occur(frame):
 def test_keep_last(frame):
     df = frame([(1, 1, "a"), (1, 2, "b"), (2, 1, None), (None, 5, "c")], "k int, n int, v string")
     assert {(r.k, r.v) for r in keyed.keep_last(df, ["k"], ["n"]).collect()} == {(1, "b"), (2, None), (None, "c")}
+
+
+@pytest.mark.parametrize(
+    ("name", "response", "arguments", "want"),
+    [
+        ("two_responses", "a******a", {}, False),
+        ("two_responses", "******a****** b ******", {}, True),
+        ("two_responses", "a****** ******b", {}, False),
+        ("paragraphs", "*** a *** b ***", {"n": 2}, True),
+        ("paragraphs", "a *** *** b", {"n": 2}, False),
+        ("placeholders", "[] [x]", {"n": 2}, True),
+        ("bullets", "*one\n- two\n**bold**\n-three", {"n": 3}, True),
+        ("sections", "Section1 text Section 2", {"title": "Section", "n": 2}, True),
+        ("repeats", "the prompt", {"prompt": "The prompt"}, True),
+    ],
+)
+def test_english_checks(spark, name, response, arguments, want):
+    assert one(spark, checkers.check(name, F.lit(response), checkers.ENGLISH, **arguments)) is want
+
+
+@settings(max_examples=150, deadline=None)
+@given(*(st.lists(st.lists(st.sampled_from("abc"), max_size=7), max_size=4) for _ in range(2)))
+def test_union_of_subsequences(refs, preds):
+    """Tokens on some longest common subsequence, none more often than either side has it, by the full table."""
+
+    def on(a, b):
+        size = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                size[i + 1][j + 1] = size[i][j] + 1 if x == y else max(size[i][j + 1], size[i + 1][j])
+        i, j, found = len(a), len(b), set()
+        while i and j:
+            if a[i - 1] == b[j - 1]:
+                i, j = i - 1, j - 1
+                found.add(i)
+            elif size[i - 1][j] >= size[i][j - 1]:
+                i -= 1
+            else:
+                j -= 1
+        return found
+
+    left = [{x: sum(s.count(x) for s in side) for x in "abc"} for side in (refs, preds)]
+    total = 0
+    for r in refs:
+        for i in sorted(set().union(*(on(r, p) for p in preds))):
+            if left[0][r[i]] > 0 and left[1][r[i]] > 0:
+                total += 1
+                left[0][r[i]] -= 1
+                left[1][r[i]] -= 1
+    assert generate.union_lcs(refs, preds) == total
+
+
+def test_numbers_of_hot_groups(frame):
+    from gradus.operators.numbering import numbered
+
+    rows = [("hot", i * 3) for i in range(500)] + [("a", 7), (None, 5), (None, 1)]
+    found = {(r.g, r.k): r.place for r in numbered(frame(rows, "g string, k long").repartition(5), ["g"], "k", parts=7).collect()}
+    assert found == {**{("hot", 3 * i): i for i in range(500)}, ("a", 7): 0, (None, 1): 0, (None, 5): 1}
+    assert numbered(frame([], "g string, k long"), ["g"], "k").count() == 0

