@@ -16,6 +16,9 @@ from gradus.llm import bpe, language, mixing, pii, simhash
 from gradus.llm.tables import cut, read
 
 
+SHINGLE, RADIUS, CONFIRM = 5, 7, 16  # of the near-duplicate stage; bits of the fingerprint and of the second one
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of a known language stay, as learned from the rows that name theirs."""
     return language.accepted(docs, language.fit(docs.where(F.col("lang").isNotNull())), least=0.4)
@@ -23,7 +26,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents with close fingerprints the one with the smallest doc_id stays."""
-    return simhash.first_of_each_group(docs, shingle=3, radius=3)
+    return simhash.first_of_each_group(docs, shingle=SHINGLE, radius=RADIUS, confirm=CONFIRM)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
