@@ -173,7 +173,18 @@ def rating_summary(spark, sf_dir):
     return rating.rating_summary(rating.bradley_terry(rows, ["bootstrap"]), ["model"], "rating").join(rates, "model")
 
 
-@query()
+_PLACE = f"md5(concat_ws('|', 'order', '{SEED}', {', '.join(f'{c}::VARCHAR' for c in (*KEYS, 'contest'))}))"
+_MOVE = "x.k * (x.o - 1 / (1 + pow(10, (s.r[x.b + 1] - s.r[x.a + 1]) / 400)))"
+_ELO = (
+    *_O,
+    f"""sq AS (SELECT bootstrap, list({{'r': NULL::DOUBLE[], 'a': model_a, 'b': model_b, 'o': outcome, 'k': 4.0::DOUBLE * (1 - i / n::DOUBLE)}} ORDER BY i) AS c FROM
+    (SELECT *, row_number() OVER (PARTITION BY bootstrap ORDER BY {_PLACE}) - 1 AS i, count(*) OVER (PARTITION BY bootstrap) AS n FROM o) GROUP BY bootstrap)""",
+    f"""el AS (SELECT bootstrap, list_reduce(c, lambda s, x: {{'r': list_transform(s.r, lambda v, j: CASE WHEN j - 1 = x.a THEN v + {_MOVE} WHEN j - 1 = x.b THEN v - {_MOVE} ELSE v END), 'a': x.a, 'b': x.b, 'o': x.o, 'k': x.k}},
+    {{'r': [{", ".join(["1000"] * MODELS)}]::DOUBLE[], 'a': 0::BIGINT, 'b': 0::BIGINT, 'o': 0.0::DOUBLE, 'k': 0.0::DOUBLE}}).r AS r FROM sq)""",
+)
+
+
+@query(sql(*_ELO, f"SELECT bootstrap, i AS model, r[i + 1] AS rating FROM el, (SELECT unnest(range(0, {MODELS})) AS i)"), "rating")
 def rating_elo(spark, sf_dir):
     """Sequential ratings of each bootstrap."""
     return rating.elo(contests(spark, sf_dir), ["bootstrap"], "place")
