@@ -36,7 +36,7 @@ SEED = 42
 BITS = 64
 
 
-def simhash(text: bytes | None, shingle: int = 3) -> int:
+def simhash(text: bytes | None, shingle: int = 3, seed: int = SEED) -> int:
     """The unsigned 64-bit fingerprint of one UTF-8 text: no words give zero."""
     words = (text or b"").lower().split()  # bytes: A-Z only, and splits at [\x20\x09-\x0D]
     if not words:
@@ -51,7 +51,7 @@ def simhash(text: bytes | None, shingle: int = 3) -> int:
     ones = np.zeros(BITS, np.int64)
     for lo in range(0, len(starts), 65536):
         part = b"".join(
-            [digest(joined[a:b], SEED) for a, b in zip(starts[lo : lo + 65536].tolist(), ends[lo : lo + 65536].tolist(), strict=True)]
+            [digest(joined[a:b], seed) for a, b in zip(starts[lo : lo + 65536].tolist(), ends[lo : lo + 65536].tolist(), strict=True)]
         )
         bits = np.unpackbits(np.frombuffer(part, np.uint8).reshape(-1, 8), axis=1)
         ones += bits.sum(axis=0, dtype=np.int32)  # most significant bit first
@@ -59,16 +59,17 @@ def simhash(text: bytes | None, shingle: int = 3) -> int:
     return int.from_bytes(np.packbits(top).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """(doc_id, fp): fp holds the fingerprint's 64 bits as a long."""
+def fingerprints(docs: DataFrame, shingle: int = 3, second: bool = False) -> DataFrame:
+    """(doc_id, fp, fp2): fp holds the fingerprint's 64 bits as a long, fp2 those of another seed, or 0 unless ``second``."""
 
     def run(batches):
         for batch in batches:
             texts = batch.column(1).cast(pa.binary())
             found = np.fromiter((simhash(t.as_py(), shingle) for t in texts), np.uint64, len(texts))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], ["doc_id", "fp"])
+            other = np.fromiter((simhash(t.as_py(), shingle, SEED + 1) if second else 0 for t in texts), np.uint64, len(texts))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64)), pa.array(other.view(np.int64))], ["doc_id", "fp", "fp2"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long, fp2 long")
 
 
 # ------------------------------------------------------------------ comparison
@@ -126,7 +127,7 @@ def unite(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             parent[:] = up
 
 
-def spanning(fps: np.ndarray, radius: int = 3, rows: int = 1024) -> np.ndarray:
+def spanning(fps: np.ndarray, radius: int = 3, rows: int = 1024, second: np.ndarray | None = None, confirm: int = BITS) -> np.ndarray:
     """For each fingerprint the least index that chains of close fingerprints reach within ``fps``."""
     parent = np.arange(len(fps))
     for j in range(0, len(fps), rows):
@@ -135,15 +136,18 @@ def spanning(fps: np.ndarray, radius: int = 3, rows: int = 1024) -> np.ndarray:
             q, c = within(fps[i : i + rows], block, radius)
             if i == j:
                 q, c = q[q < c], c[q < c]
+            if second is not None:
+                near = np.bitwise_count(second[q + i] ^ second[c + j]) <= confirm
+                q, c = q[near], c[near]
             unite(parent, q + i, c + j)
     return parent
 
 
-def _compare(radius: int, rows: int = 1024):
+def _compare(radius: int, confirm: int | None, rows: int = 1024):
     """Arrow batches sorted by bucket -> spanning links of the close fingerprints in each bucket."""
 
-    def flush(fps: np.ndarray):
-        parent = spanning(fps, radius, rows)
+    def flush(fps: np.ndarray, second: np.ndarray):
+        parent = spanning(fps, radius, rows, *(() if confirm is None else (second, confirm)))
         own = np.arange(len(fps))
         far = parent != own
         if far.any():
@@ -151,18 +155,18 @@ def _compare(radius: int, rows: int = 1024):
             yield pa.RecordBatch.from_arrays([pa.array(signed[own[far]]), pa.array(signed[parent[far]])], ["a", "b"])
 
     def run(batches):
-        held = {"fp": np.zeros(0, np.uint64), "new": np.zeros(0, bool)}
+        held = {"fp": np.zeros(0, np.uint64), "fp2": np.zeros(0, np.uint64), "new": np.zeros(0, bool)}
         last = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            t, k = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
-            fp = batch.column(2).to_numpy(zero_copy_only=False).view(np.uint64)
+            t, k, fp, fp2 = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
             new = np.ones(len(t), bool)
             new[1:] = (t[1:] != t[:-1]) | (k[1:] != k[:-1])
             new[0] = last is None or last != (t[0], k[0])
             last = (t[-1], k[-1])
-            held = {"fp": np.concatenate([held["fp"], fp]), "new": np.concatenate([held["new"], new])}
+            more = {"fp": fp.view(np.uint64), "fp2": fp2.view(np.uint64), "new": new}
+            held = {n: np.concatenate([v, more[n]]) for n, v in held.items()}
             cuts = np.flatnonzero(held["new"])
             begin = 0
             # whole buckets go together, up to `rows`; the last bucket may go on in the next batch
@@ -171,11 +175,11 @@ def _compare(radius: int, rows: int = 1024):
                 end = int(ok[-1]) if len(ok) else next((int(c) for c in cuts[cuts > begin]), None)
                 if end is None:
                     break
-                yield from flush(held["fp"][begin:end])
+                yield from flush(held["fp"][begin:end], held["fp2"][begin:end])
                 begin = end
             held = {n: v[begin:] for n, v in held.items()}
         if len(held["fp"]):
-            yield from flush(held["fp"])
+            yield from flush(held["fp"], held["fp2"])
 
     return run
 
@@ -203,18 +207,20 @@ def finer(masks: list[int], radius: int, keep: int) -> list[tuple[int, int]]:
 LEVELS = 3
 
 
-def links(fps: DataFrame, radius: int = 3, bucket_rows: int = 4096) -> DataFrame:
+def links(fps: DataFrame, radius: int = 3, bucket_rows: int = 4096, confirm: int | None = None) -> DataFrame:
     """Spanning links (a, b) among distinct fingerprints ``fp`` at ``radius`` or fewer differing bits.
 
+    With ``confirm`` a link needs second fingerprints ``fp2`` that differ in so many bits at most.
     A bucket is a mask and the bits under it. The list of masks depends on the
     radius alone, so that it may be broadcast; of the buckets only sizes are
     looked at, and one row per mask reaches the driver.
     """
     spark, masks, parts = fps.sparkSession, [0], []
-    rows = fps.select(F.lit(0).cast("long").alias("mask"), "fp")
+    other = F.col("fp2") if confirm is not None else F.lit(0).cast("long").alias("fp2")
+    rows = fps.select(F.lit(0).cast("long").alias("mask"), "fp", other)
     for level in range(LEVELS):
         table = spark.createDataFrame([(_long(m), _long(x)) for m, x in finer(masks, radius, level + 2)], "mask long, finer long")
-        rows = rows.join(F.broadcast(table), "mask").select(F.col("finer").alias("mask"), F.col("fp").bitwiseAND(F.col("finer")).alias("k"), "fp")
+        rows = rows.join(F.broadcast(table), "mask").select(F.col("finer").alias("mask"), F.col("fp").bitwiseAND(F.col("finer")).alias("k"), "fp", "fp2")
         sizes = rows.groupBy("mask", "k").agg(F.count("*").alias("n")).where("n > 1")
         if level == LEVELS - 1:
             parts.append(rows.join(sizes, ["mask", "k"]))
@@ -226,25 +232,30 @@ def links(fps: DataFrame, radius: int = 3, bucket_rows: int = 4096) -> DataFrame
             parts.append(met)
             break
         parts.append(met.where(F.col("n") <= bucket_rows))
-        rows = cut(met.where(F.col("n") > bucket_rows).select("mask", "fp"))
+        rows = cut(met.where(F.col("n") > bucket_rows).select("mask", "fp", "fp2"))
     pairs = parts[0]
     for part in parts[1:]:
         pairs = pairs.unionByName(part)
-    pairs = pairs.select("mask", "k", "fp").repartition("mask", "k").sortWithinPartitions("mask", "k")
-    return pairs.mapInArrow(_compare(radius), "a long, b long")
+    pairs = pairs.select("mask", "k", "fp", "fp2").repartition("mask", "k").sortWithinPartitions("mask", "k")
+    return pairs.mapInArrow(_compare(radius, confirm), "a long, b long")
 
 
-def groups(docs: DataFrame, shingle: int = 3, radius: int = 3, bucket_rows: int = 4096) -> DataFrame:
+def groups(docs: DataFrame, shingle: int = 3, radius: int = 3, bucket_rows: int = 4096, confirm: int | None = None) -> DataFrame:
     """(doc_id, fp, component_id): component_id is the smallest doc_id of the document's group.
 
     One row per input row. A null text is empty; texts without words have
     fingerprint zero and link like any other. Null doc_ids group by their text's
     fingerprint but never name a group, unless all of its ids are null. Rows with
     a repeated doc_id are judged each by its own text. Other columns are ignored.
+
+    A wide radius finds more copies that were edited, but also texts that have
+    nothing in common. With ``confirm`` different fingerprints link only if second
+    ones, of another seed, differ in so many bits at most; of texts that share the
+    first fingerprint the smallest second one stands for all.
     """
-    prints = cut(fingerprints(docs, shingle))
-    classes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    roots = connected_components(links(classes.select("fp"), radius, bucket_rows))
+    prints = cut(fingerprints(docs, shingle, confirm is not None))
+    classes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.min("fp2").alias("fp2")))
+    roots = connected_components(links(classes.select("fp", "fp2"), radius, bucket_rows, confirm))
     roots = roots.select(F.col("node").alias("fp"), "root")
     joined = classes.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = joined.groupBy(F.col("root").alias("r")).agg(F.min("first").alias("component_id"))

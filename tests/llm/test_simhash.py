@@ -8,12 +8,12 @@ from gradus.llm import simhash
 from gradus.llm.components import connected_components
 
 
-def plain(text):
+def plain(text, k=3, seed=42):
     words = (text or "").encode().lower().split()
     if not words:
         return 0
-    shingles = [b" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))]
-    hashes = [xxhash.xxh64_intdigest(s, 42) for s in shingles]
+    shingles = [b" ".join(words[i : i + k]) for i in range(max(1, len(words) - k + 1))]
+    hashes = [xxhash.xxh64_intdigest(s, seed) for s in shingles]
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
@@ -73,6 +73,21 @@ def test_groups(docs_of):
     assert sorted(r.doc_id for r in kept) == sorted(set(rows.values())) and {r.fp for r in kept} == {"x"}
 
 
+def test_wide_radius_with_second_fingerprints(spark):
+    """Pairs that only the first or only the second fingerprint has close don't link; nothing else is lost."""
+    rng = random.Random(5)
+    centre, other = rng.getrandbits(64), rng.getrandbits(64)
+    firsts = near_group(rng, centre, 60, 9) + [rng.getrandbits(64) for _ in range(30)]
+    rows = [(f, near_group(rng, other, 1, 12)[0] if rng.random() < 0.7 else rng.getrandbits(64)) for f in firsts]
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    table = spark.createDataFrame([(signed(a), signed(b)) for a, b in rows], "fp long, fp2 long")
+    for bucket_rows in (4096, 30):
+        found = {r.node % (1 << 64): r.root for r in connected_components(simhash.links(table, 7, bucket_rows, 16)).collect()}
+        want = classes(rows, lambda x, y: (x[0] ^ y[0]).bit_count() <= 7 and (x[1] ^ y[1]).bit_count() <= 16)
+        got = [found.get(a, signed(a)) for a, _ in rows]
+        assert [[g == h for h in got] for g in got] == [[g == h for h in want] for g in want]
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(i, i + 1) for i in range(50)] + [(100, x) for x in range(101, 300)] + [(rng.randint(400, 500), rng.randint(400, 500)) for _ in range(60)]
