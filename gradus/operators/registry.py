@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gradus.functions import text
-from gradus.operators import classify, generate
+from gradus.operators import classify, generate, items
 from gradus.sources import files
 
 
@@ -46,6 +46,14 @@ READERS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 
+def load(spark: SparkSession, reader: str, path: str, where: dict | None = None, limit: int | None = None, key: str = "id", by: list[str] | None = None) -> DataFrame:
+    """A task's items by the named reader: those with the given values, and of each group the first ``limit`` in order of a numeric key."""
+    rows = READERS[reader](spark, path)
+    for name, value in (where or {}).items():
+        rows = rows.where(F.col(name) == value)
+    return rows if limit is None else items.limited(rows, by or [], key, limit)
+
+
 def scored(df: DataFrame, metric: Metric, response: str = "response", label: str = "label") -> DataFrame:
     """Rows with ``pred`` and ``score``; null responses count as empty ones."""
     rows = df.withColumn("pred", metric.extract(F.coalesce(F.col(response), F.lit(""))))
@@ -59,6 +67,19 @@ def evaluate(df: DataFrame, metric: str | Metric, by: list[str], overrides: Data
     return metric.summarise(scored(rows, metric), by)
 
 
+def evaluate_tasks(df: DataFrame, metrics: dict[str, str | Metric], by: list[str], overrides: dict[str, str | Metric] | None = None, task: str = "task") -> DataFrame:
+    """(task, by, measure, value): each task by its own metric, or by the one that overrides it; tasks without a metric are left out."""
+    out = None
+    for name, metric in {k: (overrides or {}).get(k, m) for k, m in metrics.items()}.items():
+        found = evaluate(df.where(F.col(task) == name), metric, by)
+        measures = [F.struct(F.lit(c).alias("measure"), F.col(c).cast("double").alias("value")) for c in found.columns if c not in by]
+        part = found.select(F.lit(name).alias("task"), *by, F.explode(F.array(*measures)).alias("e")).select("task", *by, "e.*")
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        raise ValueError("no task has a metric")
+    return out
+
+
 def joined_contents(messages: Column) -> Column:
     """The plainest chat template: contents with blank lines between."""
     return F.array_join(F.transform(messages, lambda m: m["content"]), "\n\n")

@@ -107,3 +107,24 @@ def test_common_words(spark):
     words = spark.createDataFrame([(f"w{i}",) for i in range(30)], "word string")
     for r in prompts.common_word_tasks(words, spark.range(5).withColumnRenamed("id", "task_id"), 3, 5, 12, 1).collect():
         assert len(r.words) == 3 * 5 + 9 and {w for w in r.words if r.words.count(w) == 5} == set(r.label)
+
+
+def test_readers_with_limits(spark, tmp_path):
+    rows = [("en", i, f"t{i % 2}") for i in range(20)] + [("fr", 99, "t0")]
+    spark.createDataFrame(rows, "lang string, id long, task string").repartition(3).write.parquet(str(tmp_path / "p"))
+    found = registry.load(spark, "parquet", str(tmp_path / "p"), {"lang": "en"}, 3, by=["task"]).collect()
+    assert sorted((r.task, r.id) for r in found) == [("t0", 0), ("t0", 2), ("t0", 4), ("t1", 1), ("t1", 3), ("t1", 5)]
+    assert registry.load(spark, "parquet", str(tmp_path / "p")).count() == 21
+
+
+def test_metrics_by_task(spark):
+    rows = [("a", "m", "Answer: x", "x"), ("a", "m", "x", "x"), ("b", "m", "Answer: x", "x"), ("c", "m", "x", "x")]
+    df = spark.createDataFrame(rows, "task string, model string, response string, label string")
+    found = registry.evaluate_tasks(df, {"a": "exact_match", "b": "strict"}, ["model"], {"a": "strict"}).collect()
+    assert {(r.task, r.measure): r.value for r in found} == {("a", "score"): 50.0, ("a", "n"): 2.0, ("b", "score"): 0.0, ("b", "n"): 1.0}
+
+
+def test_judge_prompts_by_name(spark):
+    asked = prompts.JUDGE_PROMPTS["boxed"](F.lit("q"), F.lit(r"so \\boxed{7}"), F.lit("8"))
+    assert one(spark, asked) == "Question: q\nAnswer: 7\nRight answer: 8"
+    assert one(spark, prompts.JUDGE_PROMPTS["translation"](F.lit("a"), F.lit("b"), F.lit("c"))) == "Source: a\nTranslation: b\nReference: c"
