@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradus.llm import bpe, chat, language, links, mixing, pii, quality, simhash, vectors, weighted
+from gradus.llm import bpe, chat, language, links, mixing, pii, quality, repeats, simhash, vectors, weighted
 from gradus.llm.sampling import held_out
 from gradus.llm.tables import read
 
@@ -85,3 +85,12 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.groups(read(spark, sf_dir, "documents"), shingle=3, radius=3)
     return found.select("doc_id", simhash.hex16(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+@query
+def op13_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.without_repeats(read(spark, sf_dir, "documents"), window=20)
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+ORACLE["op13_repeats"] = repeats.ORACLE_SQL

@@ -7,7 +7,7 @@ from public_tokenizers import PATTERN, path
 from samples import EDGES
 
 import corpus_pipeline
-from gradus.llm import bpe, language, mixing, pii, quality, simhash, weighted
+from gradus.llm import bpe, language, mixing, pii, quality, repeats, simhash, weighted
 
 RANKS = bpe.read_ranks(path("byte_bpe_multi_50k.tiktoken"))
 NET = language.ByteNet(["de", "en"])
@@ -22,6 +22,7 @@ OPERATORS = {
     "bpe": lambda d: bpe.encode(d, RANKS, PATTERN, digests=True),
     "pii": lambda d: pii.find(d, pii.Field.new()),
     "simhash": simhash.groups,
+    "repeats": repeats.without_repeats,
 }
 
 
