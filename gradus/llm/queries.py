@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradus.llm import bpe, chat, language, links, mixing, pii, quality, repeats, simhash, vectors, weighted
+from gradus.llm import alignment, bpe, chat, language, links, mixing, pii, quality, repeats, simhash, vectors, weighted
 from gradus.llm.sampling import held_out
 from gradus.llm.tables import read
 
@@ -87,6 +87,12 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex16(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+@query
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = (public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    return alignment.align(read(spark, sf_dir, "documents"), *files)
+
+
 @query
 def op13_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = repeats.without_repeats(read(spark, sf_dir, "documents"), window=20)
