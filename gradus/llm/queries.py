@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradus.llm import alignment, bpe, chat, language, links, mixing, pii, quality, repeats, simhash, vectors, weighted
+from gradus.llm import alignment, bpe, chat, language, links, mixing, negatives, pii, quality, repeats, simhash, vectors, weighted
 from gradus.llm.sampling import held_out
 from gradus.llm.tables import read
 
@@ -93,6 +93,14 @@ def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align(read(spark, sf_dir, "documents"), *files)
 
 
+@query
+def op12_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.mine(read(spark, sf_dir, "embeddings"), every=100, k=5)
+
+
+ORACLE["op12_negatives"] = negatives.ORACLE_SQL
+
+
 @query
 def op13_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = repeats.without_repeats(read(spark, sf_dir, "documents"), window=20)
