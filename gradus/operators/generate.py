@@ -15,9 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import LongType
 
-from gradus.functions.draws import below
+from gradus.functions.draws import intervals, resampled_means
 from gradus.functions.text import f_measure, hashed_ngrams, let, ngrams, norm, normalize_answer, ratio, runs, tokens
-from gradus.operators.numbering import numbered
 
 
 def overlap(preds: DataFrame, keys: DataFrame, texts: DataFrame, split: Callable[[Column], Column], n: int = 1) -> DataFrame:
@@ -55,16 +54,11 @@ def rouge_n(preds: DataFrame, keys: DataFrame, texts: DataFrame, n: int) -> Data
     return overlap_scores(overlap(preds, keys, texts, tokens, n))
 
 
-def aggregated(scores: DataFrame, key: str, measures: list[str], bootstraps: int, seed: int) -> DataFrame:
-    """(measure, low, mid, high): middle 95 % of the means of resampled rows, for all measures from the same draws."""
-    rows = numbered(scores.select(key, *measures), [], key)
-    n = F.lit(scores.count())
-    drawn = rows.select("place", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(bootstraps - 1).cast("long"))).alias("bootstrap"))
-    drawn = drawn.select("bootstrap", below(n, seed, "bootstrap", "place").alias("place"))
-    means = drawn.join(rows, "place").groupBy("bootstrap").agg(*[F.avg(m).alias(m) for m in measures])
-    means = means.select(F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).alias("x")) for m in measures])).alias("e")).select("e.*")
-    cuts = means.groupBy("measure").agg(F.percentile("x", F.array(F.lit(0.025), F.lit(0.5), F.lit(0.975))).alias("c"))
-    return cuts.select("measure", F.col("c")[0].alias("low"), F.col("c")[1].alias("mid"), F.col("c")[2].alias("high"))
+def aggregated(scores: DataFrame, keys: list[str], measures: list[str], bootstraps: int, seed: int) -> DataFrame:
+    """(measure, low, mid, high): median and middle 95 % of the means of resampled rows, for all measures from the same weights."""
+    means = resampled_means(scores, [], keys, measures, bootstraps, seed)
+    each = F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).alias("x")) for m in measures])
+    return intervals(means.select(F.explode(each).alias("e")).select("e.*"), ["measure"], "x")
 
 
 def exact_match(pred: Column, refs: Column) -> Column:

@@ -27,7 +27,7 @@ def answered(df: DataFrame, prior: str, answer: Column) -> DataFrame:
 def balanced_places(df: DataFrame, by: list[str], key: str, n: int, seed: int) -> DataFrame:
     """``answer_at``: a place from 0 to n - 1 for each row's answer, as often as each other in every group, in an order drawn by hash."""
     rows = df.withColumn("_draw", draw(seed, key))
-    rows = placed(rows, by, ["_draw", key], F.floor(F.col("_draw") * 64 / RANGE), "_place")
+    rows = placed(rows, by, ["_draw", key], F.floor(F.col("_draw") / (RANGE // 64)), "_place")
     return rows.withColumn("answer_at", (F.col("_place") % n).cast("int")).drop("_draw", "_place")
 
 

@@ -10,18 +10,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType
 
-from gradus.functions.draws import below, draw
+from gradus.functions.draws import below, divided, draw, permuted
 from gradus.functions.text import ratio
-from gradus.operators.numbering import placed
 
 
 def decoded(ix: Column, runs: int, turns: int, pairs: Column) -> dict[str, Column]:
     """run, turn, item and the two models (a > b) of a contest's index."""
-    rest = F.floor(ix / runs).cast("long")
-    item_pair = F.floor(rest / turns).cast("long")
+    rest = divided(ix, runs)
+    item_pair = divided(rest, turns)
     p = item_pair % pairs
     a = F.floor((1 + F.sqrt(1 + 8.0 * p)) / 2).cast("long")
-    return {"run": ix % runs, "turn": rest % turns, "item_ix": F.floor(item_pair / pairs).cast("long"), "model_a": a, "model_b": (p - a * (a - 1) / 2).cast("long")}
+    return {"run": ix % runs, "turn": rest % turns, "item_ix": divided(item_pair, pairs), "model_a": a, "model_b": p - divided(a * (a - 1), 2)}
 
 
 def n_contests(runs: int, turns: int, items: Column, models: int) -> Column:
@@ -29,25 +28,22 @@ def n_contests(runs: int, turns: int, items: Column, models: int) -> Column:
     return items * (runs * turns * models * (models - 1) // 2)
 
 
-def contests(items: DataFrame, groups: DataFrame, by: list[str], seed: int, runs: int, models: int) -> DataFrame:
+def contests(groups: DataFrame, by: list[str], seed: int, runs: int, models: int) -> DataFrame:
     """(by, contest, run, item_ix, model_a, model_b): the contests of each group, drawn by hash.
 
-    ``groups`` has one row per group with its number of items (``n``) and of contests
-    (``n_contests``), ``items`` the items of all groups, numbered by ``item_ix``; both
-    have columns of ``by``, of which ``items`` may lack some. A group that has enough
-    contests is drawn from without replacement, any other with.
+    ``groups`` has one row per group with its number of items (``n``), which are
+    numbered by ``item_ix``, and of contests (``n_contests``). A group that has enough
+    contests is drawn from without replacement: its k-th contest is the place of k
+    under a keyed permutation of all there are, so that as many rows are made as
+    are drawn. Any other is drawn from with replacement.
     """
     pairs = models * (models - 1) // 2
-    total = n_contests(runs, 1, F.col("n"), models)
-    scarce = groups.where(F.col("n_contests") > total)
-    again = scarce.withColumn("contest", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_contests") - 1)))
-    again = again.select(*by, "contest", below(total, seed, *by, "contest").alias("ix"))
-    keys = [c for c in by if c in items.columns]
-    once = items.join(groups.where(F.col("n_contests") <= total), keys).select(*by, "n_contests", "item_ix", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(runs * pairs - 1).cast("long"))).alias("k"))
-    once = once.select(*by, "n_contests", (F.col("item_ix") * (runs * pairs) + F.col("k")).alias("ix"))
-    once = once.withColumn("d", draw(seed, *by, "ix"))
-    once = placed(once, by, ["d", "ix"], F.floor(F.col("d") / (1 << 26)), "contest").where("contest < n_contests")
-    rows = again.unionByName(once.select(*by, "contest", "ix"))
+    rows = groups.select(*by, "n_contests", n_contests(runs, 1, F.col("n"), models).alias("_total"), draw(seed, *by).alias("_key"))
+    rows = rows.repartition(groups.sparkSession.sparkContext.defaultParallelism, *by)  # few rows, each of many contests
+    rows = rows.withColumn("contest", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_contests").cast("long") - 1)))
+    once = permuted(rows.where("n_contests <= _total"), "contest", "_total", "_key", "ix").select(*by, "contest", "ix")
+    again = rows.where("n_contests > _total").select(*by, "contest", below(F.col("_total"), seed, *by, "contest").alias("ix"))
+    rows = once.unionByName(again)
     return rows.select(*by, "contest", *[c.alias(n) for n, c in decoded(F.col("ix"), runs, 1, F.lit(pairs)).items()])
 
 

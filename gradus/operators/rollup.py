@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gradus.functions.draws import below, uniform
+from gradus.functions.draws import below, intervals, resampled_means, uniform
 from gradus.functions.text import norm, ratio
 from gradus.operators.logprob import stderr
-from gradus.operators.numbering import numbered
 
 
 def mean_of_means(df: DataFrame, levels: list[str], value: str) -> dict[str, DataFrame]:
@@ -74,18 +73,8 @@ def success(percent: Column, seed: int, *keys: str) -> Column:
 
 
 def percentile_interval(df: DataFrame, by: list[str], key: str, value: str, bootstraps: int, seed: int) -> DataFrame:
-    """Mean, and the middle 95 % of the means of resampled rows, of which each bootstrap draws as many as there are with replacement.
-
-    A row counts in a bootstrap as often as draws fall on its place, so that only
-    the places are joined; draws differ between groups.
-    """
-    rows = numbered(df.select(*by, key, value), by, key, "_at")
-    sizes = df.groupBy(*by).agg(F.count("*").alias("_n"))
-    drawn = rows.join(sizes, by).select(*by, "_at", "_n", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(bootstraps - 1).cast("long"))).alias("bootstrap"))
-    drawn = drawn.select(*by, "bootstrap", below(F.col("_n"), seed, *by, "bootstrap", "_at").alias("_at"))
-    means = drawn.join(rows.select(*by, "_at", value), [*by, "_at"]).groupBy(*by, "bootstrap").agg(F.avg(value).alias("m"))
-    cuts = F.percentile("m", F.array(F.lit(0.025), F.lit(0.5), F.lit(0.975)))
-    return means.groupBy(*by).agg(cuts.alias("c")).select(*by, F.col("c")[0].alias("low"), F.col("c")[1].alias("mid"), F.col("c")[2].alias("high"))
+    """(by, low, mid, high): the median and the middle 95 % of the means of resampled rows; ``key`` tells a group's rows apart."""
+    return intervals(resampled_means(df, by, [key], [value], bootstraps, seed), by, value)
 
 
 def completeness(expected: DataFrame, actual: DataFrame, keys: list[str], model: list[str], reasoning: str | None = None) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gradus.functions.draws import draw_sql
+from gradus.functions.draws import draw_sql, poisson_sql
 from gradus.operators import generate, logprob
 from gradus.plans.registry import Registry
 from gradus.plans.tables import answers, read, scored, sql
@@ -108,31 +108,54 @@ def rouge_2(spark, sf_dir):
     return generate.rouge_n(*overlaps(spark, sf_dir), 2)
 
 
-_AGG = """pairs AS (SELECT (ROW_NUMBER() OVER (ORDER BY item_id, ref_ix) - 1)::BIGINT AS place, count(*) OVER () AS n, precision, recall, f1 FROM f)"""
-
-
-@query(
-    sql(
-        *_pre(1),
-        _AGG,
-        f"d AS (SELECT bootstrap, {draw_sql('4156', 'bootstrap', 'place')} % n AS place FROM pairs, (SELECT unnest(range(0, 1000)) AS bootstrap))",
-        "m AS (SELECT bootstrap, avg(precision) AS precision, avg(recall) AS recall, avg(f1) AS f1 FROM d JOIN pairs USING (place) GROUP BY bootstrap)",
+def _aggregate(*parts: str) -> str:
+    """Over the scores f of all pairs."""
+    return sql(
+        *parts,
+        f"d AS (SELECT precision, recall, f1, {draw_sql('4156', 'item_id', 'ref_ix')} AS key, unnest(range(0, 1000)) AS bootstrap FROM f)",
+        f"m AS (SELECT bootstrap, sum(precision * w) / sum(w) AS precision, sum(recall * w) / sum(w) AS recall, sum(f1 * w) / sum(w) AS f1 FROM ({poisson_sql('d', 'key', 'bootstrap', 'w')}) GROUP BY bootstrap)",
         "u AS (UNPIVOT m ON precision, recall, f1 INTO NAME measure VALUE x)",
         "SELECT measure, quantile_cont(x, 0.025) AS low, quantile_cont(x, 0.5) AS mid, quantile_cont(x, 0.975) AS high FROM u GROUP BY measure",
-    ),
-    "low mid high",
-)
+    )
+
+
+def aggregate(scores):
+    return generate.aggregated(scores, ["item_id", "ref_ix"], ["precision", "recall", "f1"], 1000, 4156)
+
+
+@query(_aggregate(*_pre(1)), "low mid high")
 def rouge_1_aggregate(spark, sf_dir):
     """Low, middle and high of a thousand resampled means of each measure over all pairs."""
-    pairs = generate.rouge_n(*overlaps(spark, sf_dir), 1).withColumn("pair", F.col("item_id") * 2 + F.col("ref_ix"))
-    return generate.aggregated(pairs, "pair", ["precision", "recall", "f1"], 1000, 4156)
+    return aggregate(generate.rouge_n(*overlaps(spark, sf_dir), 1))
 
 
-@query()
-def rouge_l(spark, sf_dir):
+# the longest common subsequence by match points: places of equal tokens, in order of one side and against that of the
+# other, of which the longest run that rises on the other side is found by patience piles, whose tops are the state
+_LCS = (
+    *_pre(1),
+    "mp AS (SELECT r.item_id, r.ref_ix, list([p.i] ORDER BY r.i, p.i DESC) AS js FROM rtok r JOIN ptok p ON r.item_id = p.item_id AND r.token = p.token GROUP BY ALL)",
+    "lc AS (SELECT item_id, ref_ix, len(list_reduce(js, lambda s, x: list_concat(list_filter(s, lambda t: t < x[1]), x, list_filter(s, lambda t: t >= x[1])[2:]), []::BIGINT[])) AS common FROM mp)",
+    """ls AS (SELECT r.item_id, r.ref_ix, coalesce(coalesce(common, 0) / nullif(n_pred, 0)::DOUBLE, 0) AS precision, coalesce(coalesce(common, 0) / nullif(n_ref, 0)::DOUBLE, 0) AS recall
+    FROM refs r LEFT JOIN pn USING (item_id) LEFT JOIN rn USING (item_id, ref_ix) LEFT JOIN lc USING (item_id, ref_ix))""",
+)
+_ROUGE_L = "SELECT item_id, ref_ix, precision, recall, coalesce(2 * precision * recall / nullif(precision + recall, 0), 0) AS f1 FROM ls"
+
+
+def rouge_l_scores(spark, sf_dir):
     return generate.rouge_l(preds(spark, sf_dir).join(refs(spark, sf_dir), "item_id"))
 
 
+@query(_aggregate(*[p for p in _LCS if not p.startswith("f AS")], f"f AS ({_ROUGE_L})"), "low mid high")
+def rouge_l_corpus(spark, sf_dir):
+    """The corpus score: low, middle and high of precision, recall and F1 of the longest common subsequences."""
+    return aggregate(rouge_l_scores(spark, sf_dir))
+
+
+@query(sql(*_LCS, _ROUGE_L), "precision recall f1")
+def rouge_l(spark, sf_dir):
+    return rouge_l_scores(spark, sf_dir)
+
+
 @query()
 def rouge_lsum(spark, sf_dir):
     return generate.rouge_lsum(preds(spark, sf_dir).join(refs(spark, sf_dir), "item_id"))

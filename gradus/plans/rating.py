@@ -4,17 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gradus.functions.draws import draw_sql
+from gradus.functions.draws import RANGE, draw_sql, permuted_sql
 from gradus.operators import rating, rollup
 from gradus.operators.numbering import numbered
 from gradus.plans.registry import Registry
-from gradus.plans.tables import MODELS, RUNS, items, scored, sql
+from gradus.plans.tables import MODELS, RUNS, items, read, scored, sql
 
 REGISTRY = Registry()
 query = REGISTRY.query
 SEED = 42
 BOOTSTRAPS, TOTAL, LEVELS = 30, 20_000, ["lang", "competency", "task"]
 PAIRS = MODELS * (MODELS - 1) // 2
+
+
+def recursive(*parts):
+    return sql(*parts).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
 KEYS = ["bootstrap", *LEVELS]
 
 _ALLOC = f"""SELECT lang, competency, task, ceil(ceil(ceil({TOTAL} / nl::DOUBLE) / nc) / nt)::BIGINT AS n_contests FROM (SELECT DISTINCT lang, competency, task FROM items)
@@ -26,9 +32,10 @@ _BASE = (
     "ix AS (SELECT lang, competency, task, item_id, row_number() OVER (PARTITION BY lang, competency, task ORDER BY item_id) - 1 AS item_ix FROM items)",
     f"al AS ({_ALLOC})",
     f"g AS (SELECT bootstrap, lang, competency, task, n_contests, n * {RUNS * PAIRS} AS total FROM al JOIN (SELECT lang, competency, task, count(*) AS n FROM items GROUP BY ALL) USING (lang, competency, task), (SELECT unnest(range(0, {BOOTSTRAPS})) AS bootstrap))",
-    f"""k AS (SELECT bootstrap, lang, competency, task, contest, {_DRAW.format(c="contest")} % total AS ix FROM (SELECT *, unnest(range(0, n_contests)) AS contest FROM g WHERE n_contests > total)
-    UNION ALL SELECT bootstrap, lang, competency, task, contest, ix FROM (SELECT *, row_number() OVER (PARTITION BY bootstrap, lang, competency, task ORDER BY {_DRAW.format(c="ix")}, ix) - 1 AS contest FROM
-    (SELECT *, unnest(range(0, total)) AS ix FROM g WHERE n_contests <= total)) WHERE contest < n_contests)""",
+    f"gk AS (SELECT *, {draw_sql(str(SEED), 'bootstrap', 'lang', 'competency', 'task')} AS key, unnest(range(0, n_contests)) AS contest FROM g)",
+    permuted_sql("pm", "(SELECT * FROM gk WHERE n_contests <= total)", "bootstrap, lang, competency, task", "contest", "total", "key", "ix"),
+    f"""k AS (SELECT bootstrap, lang, competency, task, contest, {_DRAW.format(c="contest")} % total AS ix FROM gk WHERE n_contests > total
+    UNION ALL SELECT bootstrap, lang, competency, task, contest, ix FROM pm WHERE ix < total)""",
     f"""d AS (SELECT *, p - a * (a - 1) // 2 AS b FROM (SELECT *, floor((1 + sqrt(1 + 8.0::DOUBLE * p)) / 2)::BIGINT AS a FROM
     (SELECT bootstrap, lang, competency, task, contest, ix % {RUNS} AS run, ix // {RUNS} // {PAIRS} AS item_ix, ix // {RUNS} % {PAIRS} AS p FROM k)))""",
     _SCORES,
@@ -48,7 +55,7 @@ def drawn(spark, sf_dir):
     known = numbered(items(spark, sf_dir).select(*LEVELS, "item_id"), LEVELS, "item_id", "item_ix")
     groups = known.groupBy(*LEVELS).agg(F.count("*").alias("n")).join(rating.allocation(known, LEVELS, TOTAL), LEVELS)
     groups = groups.withColumn("bootstrap", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(BOOTSTRAPS - 1).cast("long"))))
-    return rating.contests(known, groups, KEYS, SEED, RUNS, MODELS).join(known, [*LEVELS, "item_ix"])
+    return rating.contests(groups, KEYS, SEED, RUNS, MODELS).join(known, [*LEVELS, "item_ix"])
 
 
 def with_scores(rows, scores, how="left"):
@@ -67,28 +74,28 @@ def contests(spark, sf_dir):
     return rows.select(*KEYS, "contest", place.alias("place"), "model_a", "model_b", (F.col("x").isNull() | F.col("y").isNull()).alias("missing"), result)
 
 
-@query(sql(*_O, "SELECT bootstrap, lang, competency, task, contest, model_a, model_b, missing, outcome FROM o"), "outcome")
+@query(recursive(*_O, "SELECT bootstrap, lang, competency, task, contest, model_a, model_b, missing, outcome FROM o"), "outcome")
 def contest_outcomes(spark, sf_dir):
     return contests(spark, sf_dir).drop("place")
 
 
-@query(sql(*_O, _W, "SELECT bootstrap, model, win_rate, n FROM w"), "win_rate")
+@query(recursive(*_O, _W, "SELECT bootstrap, model, win_rate, n FROM w"), "win_rate")
 def contest_win_rates(spark, sf_dir):
     return rating.win_rates(contests(spark, sf_dir), ["bootstrap"])
 
 
-@query(sql(*_O, "SELECT bootstrap, avg((outcome = 0.5)::INT)::DOUBLE AS tie_rate, avg(missing::INT)::DOUBLE AS missing_rate FROM o GROUP BY bootstrap"), "tie_rate missing_rate")
+@query(recursive(*_O, "SELECT bootstrap, avg((outcome = 0.5)::INT)::DOUBLE AS tie_rate, avg(missing::INT)::DOUBLE AS missing_rate FROM o GROUP BY bootstrap"), "tie_rate missing_rate")
 def contest_tie_rate(spark, sf_dir):
     """Ties, and contests in which either side has no score."""
     share = lambda c: F.avg(c.cast("int"))
     return contests(spark, sf_dir).groupBy("bootstrap").agg(share(F.col("outcome") == 0.5).alias("tie_rate"), share(F.col("missing")).alias("missing_rate"))
 
 
-_HIT = "({d} / 4294967296.0::DOUBLE < {p} / 100)::INT"
+_HIT = f"({{d}} / {RANGE}.0::DOUBLE < {{p}} / 100)::INT"
 
 
 @query(
-    sql(
+    recursive(
         *_BASE,
         "pr AS (SELECT item_id, model, avg(correct) * 100 AS p FROM scored GROUP BY ALL)",
         f"""q AS (SELECT bootstrap, d.task, {_HIT.format(d=draw_sql("9", "bootstrap", "contest", "i.item_id", "d.a"), p="x.p")} AS u, {_HIT.format(d=draw_sql("9", "bootstrap", "contest", "i.item_id", "d.b"), p="y.p")} AS v
@@ -114,11 +121,12 @@ def contest_counts(spark, sf_dir):
     return rows.select(*LEVELS, rating.n_contests(RUNS, 2, F.col("k"), MODELS).alias("n"))
 
 
-@query("SELECT p, a, p - a * (a - 1) // 2 AS b FROM (SELECT p, floor((1 + sqrt(1 + 8.0::DOUBLE * p)) / 2)::BIGINT AS a FROM (SELECT unnest(range(0, 4950)) AS p))")
+@query("SELECT p, a, p - a * (a - 1) // 2 AS b, n FROM (SELECT p, n, floor((1 + sqrt(1 + 8.0::DOUBLE * p)) / 2)::BIGINT AS a FROM (SELECT o_orderkey % 4950 AS p, count(*) AS n FROM orders GROUP BY 1))")
 def pair_decode(spark, sf_dir):
-    """All pairs of a hundred models by index."""
+    """Orders dealt to all pairs of a hundred models by index."""
     found = rating.decoded(F.col("p"), 1, 1, F.lit(4950))
-    return spark.range(4950).select(F.col("id").alias("p")).select("p", found["model_a"].alias("a"), found["model_b"].alias("b"))
+    rows = read(spark, sf_dir, "orders").groupBy((F.col("o_orderkey") % 4950).cast("long").alias("p")).agg(F.count("*").alias("n"))
+    return rows.select("p", found["model_a"].alias("a"), found["model_b"].alias("b"), "n")
 
 
 @query(sql(_ALLOC))
@@ -144,10 +152,6 @@ _MLE = (
 )
 
 
-def recursive(*parts):
-    return sql(*parts).replace("WITH ", "WITH RECURSIVE ", 1)
-
-
 @query(recursive(*_MLE, "SELECT bootstrap, model, rating FROM ml"), "rating")
 def rating_mle(spark, sf_dir):
     """Maximum-likelihood ratings of each bootstrap."""
@@ -184,7 +188,7 @@ _ELO = (
 )
 
 
-@query(sql(*_ELO, f"SELECT bootstrap, i AS model, r[i + 1] AS rating FROM el, (SELECT unnest(range(0, {MODELS})) AS i)"), "rating")
+@query(recursive(*_ELO, f"SELECT bootstrap, i AS model, r[i + 1] AS rating FROM el, (SELECT unnest(range(0, {MODELS})) AS i)"), "rating")
 def rating_elo(spark, sf_dir):
     """Sequential ratings of each bootstrap."""
     return rating.elo(contests(spark, sf_dir), ["bootstrap"], "place")
@@ -208,19 +212,18 @@ def paired_t_pvalues(spark, sf_dir):
     return paired(spark, sf_dir).select("model_a", "model_b", "p")
 
 
-_S = f"s AS (SELECT bootstrap, m.model, {draw_sql('3', 'bootstrap', 'm.model')} % 1000 AS r FROM (SELECT unnest(range(0, 30)) AS bootstrap), (SELECT unnest(range(0, {MODELS})) AS model) m)"
-
-
 @query(
-    f"""WITH {_S}, z AS (SELECT model, avg(r) AS mean, stddev_samp(r) * sqrt(count(r) / (count(r) - 1)::DOUBLE) AS std_adj, count(r) AS n FROM s GROUP BY model)
-    SELECT *, mean - 1.959963984540054::DOUBLE * std_adj / sqrt(n) AS low, mean + 1.959963984540054::DOUBLE * std_adj / sqrt(n) AS high FROM z""",
+    sql(
+        "s AS (SELECT model, run, lang, avg(correct) * 100 AS r FROM scored GROUP BY ALL)",
+        "z AS (SELECT model, avg(r) AS mean, stddev_samp(r) * sqrt(count(r) / (count(r) - 1)::DOUBLE) AS std_adj, count(r) AS n FROM s GROUP BY model)",
+        "SELECT *, mean - 1.959963984540054::DOUBLE * std_adj / sqrt(n) AS low, mean + 1.959963984540054::DOUBLE * std_adj / sqrt(n) AS high FROM z",
+    ),
     "mean std_adj low high",
 )
 def interval_of_bootstraps(spark, sf_dir):
-    from gradus.functions.draws import draw
-
-    rows = spark.range(30).select(F.col("id").alias("bootstrap"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(MODELS - 1).cast("long"))).alias("model"))
-    return rating.rating_summary(rows.withColumn("r", draw(3, "bootstrap", "model") % 1000), ["model"], "r")
+    """The summary over accuracies of runs and languages."""
+    rows = scored(spark, sf_dir).groupBy("model", "run", "lang").agg((F.avg("correct") * 100).alias("r"))
+    return rating.rating_summary(rows, ["model"], "r")
 
 
 @query(sql("SELECT model, task, avg(correct) * 100 AS score FROM scored GROUP BY ALL"), "score")
