@@ -179,21 +179,48 @@ def sentences(text: Column) -> Column:
     return F.filter(F.split(marked, "\u0001"), lambda x: F.trim(x) != "")
 
 
-# Marks that end a sentence by language, and what may close it after them.
+BLANK, SOLID = r"[\x09-\x0D\x20]", r"[^\x09-\x0D\x20]"
+
+# Marks that end a sentence by language, what may close it after them, and abbreviations before marks.
 ENDINGS = {"zh": "｡。！？", "my": "။.!?"}
 CLOSING = r"""\)\]\}'"”’»」』）\*_"""
+ABBREVIATIONS = "[a-z]|Mr|Dr|Ms|Sr|Jr|Co|vs|Lt|St|Rd|i.e|e.g|a.m|p.m|M.A|Mrs|Inc|Ltd|etc|Rev|Hon|Gen|Sgt|Rep|Sen|Ave|Col|Ph.D|Prof|Capt|Blvd|Corp"
+ABBREVIATED = rf"(?:^|[^A-Za-z0-9_])(?:{ABBREVIATIONS.replace('.', chr(92) + '.')})\.$"
+
 
+def ending_marks(language: str, colons: bool = False, semicolons: bool = False) -> str:
+    wide = language == "zh"
+    return ENDINGS.get(language, ".!?") + (("：" if wide else ":") if colons else "") + (("；" if wide else ";") if semicolons else "")
 
-def language_sentences(text: Column, language: str = "en") -> Column:
-    """Sentences of each line: cut after a run of the language's end marks, and what closes quotes and brackets, before white space.
 
-    No cut where a digit or a single letter with a full stop comes before the
-    marks. Parts without any letter or digit are left out.
+def language_sentences(text: Column, language: str = "en", colons: bool = False, semicolons: bool = False) -> Column:
+    """Sentences of each line, for a language's marks: a word that ends with marks, closed quotes and brackets aside, is the last of its sentence.
+
+    A single mark after a digit, or after an abbreviation with its full stop, ends
+    none. What has neither letter nor digit is left out.
     """
-    ends = ENDINGS.get(language, ".!?")
-    lines = F.split(text, r"[\r\n|]")
-    parts = F.transform(lines, lambda x: F.split(F.regexp_replace(x, rf"((?<!\b[a-z]\.)(?<!\d)[{ends}]+[{CLOSING}]*)\s+", "$1\u0001"), "\u0001"))
-    bare = F.transform(F.flatten(parts), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
+    marks = ending_marks(language, colons, semicolons)
+    closed = lambda w: F.regexp_replace(w, rf"[{CLOSING}]+$", "")
+
+    def last(word: Column) -> Column:
+        """Whether a word, with the blanks before it, ends a sentence."""
+        bare = F.regexp_replace(closed(word), rf"[{marks}]$", "")
+        single = ~bare.rlike(rf"[{marks}]$")
+        return closed(word).rlike(rf"[{marks}]$") & ~(single & (bare.rlike(r"\p{Nd}$") | bare.rlike(ABBREVIATED)))
+
+    def folded(line: Column) -> Column:
+        words = F.regexp_extract_all(line, F.lit(rf"({BLANK}*{SOLID}+)"))
+        start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
+
+        def step(state: Column, word: Column) -> Column:
+            whole = F.concat(state["open"], word)
+            done = F.struct(F.concat(state["done"], F.array(whole)).alias("done"), F.lit("").alias("open"))
+            return F.when(last(word), done).otherwise(F.struct(state["done"].alias("done"), whole.alias("open")))
+
+        return F.aggregate(words, start, step, lambda state: F.concat(state["done"], F.array(state["open"])))
+
+    parts = F.flatten(F.transform(F.split(text, r"[\r\n|]"), folded))
+    bare = F.transform(parts, lambda x: F.regexp_replace(x, rf"^{BLANK}+|{BLANK}+$", ""))
     return F.filter(bare, lambda x: x.rlike(r"[^\p{P}\p{S}\s]"))
 
 
@@ -201,37 +228,64 @@ def language_sentences(text: Column, language: str = "en") -> Column:
 TITLES, SUFFIXES = "Mr|St|Mrs|Ms|Dr", "Inc|Ltd|Jr|Sr|Co"
 STARTERS = r"(?:Mr|Mrs|Ms|Dr|Prof|Capt|Cpt|Lt|He\s|She\s|It\s|They\s|Their\s|Our\s|We\s|But\s|However\s|That\s|This\s|Wherever)"
 SITES = "com|net|org|io|gov|edu|me"
+AROUND = 9  # pieces between marks that a decision looks at on either side
+
+
+def stop_ends(left: Column, right: Column) -> Column:
+    """Whether the full stop at the end of ``left``, before ``right``, ends a sentence; the first case that holds decides."""
+    letters = lambda text, pattern: (F.length(F.regexp_extract(text, pattern, 1)) / 2).cast("int")
+    apart = F.regexp_replace(left, rf"(?:{TITLES})\.", "-")  # their last letters are in no acronym
+    before, after = letters(apart, r"((?:[A-Za-z]\.)+)$"), letters(right, r"^((?:[A-Za-z]\.)+)")
+    chain, begins = before + after, right.rlike(f"^ {STARTERS}")
+    return (
+        F.when(left.rlike(rf"(?:{TITLES})\.$") | right.rlike(f"^(?:{SITES})"), False)
+        .when(left.rlike(r"[0-9]\.$") & right.rlike("^[0-9]"), False)
+        .when(right.startswith("."), False)
+        .when(left.endswith(".."), True)  # the last of a run
+        .when((left.endswith("Ph.") & right.startswith("D.")) | left.endswith("Ph.D."), False)
+        .when(left.rlike(r"[A-Z]\.[A-Z]\.$") & begins, True)  # an acronym, and a new sentence
+        .when((before > 0) & (after > 0), False)  # within letters with full stops each
+        .when((before > 1) & (chain % 3 != 1), False)  # at their end: they go by threes and twos, and one that is left over counts as a word
+        .when(left.rlike(rf" (?:{SUFFIXES})\.$"), begins)
+        .otherwise(~left.rlike(r"\s[A-Za-z]\.$"))  # an initial
+    )
 
 
 def english_sentences(text: Column) -> Column:
-    """Cut after ``.``, ``?`` and ``!`` wherever they are, but for full stops in titles, initials, acronyms, decimals, web sites and runs of dots.
+    """Cut after ``.``, ``?`` and ``!``, but for full stops in titles, initials, acronyms, decimals, web sites and runs of dots.
 
-    A full stop that ends no sentence is written as a mark of its own until all cuts are made.
+    The text falls into pieces that end with a mark each. Every mark is decided by
+    the pieces round it, and one fold joins what stays together. A quote that
+    closes right after a mark comes before the mark; a company's suffix that ends a
+    sentence gives up its full stop.
     """
-    dot, cut = "\u0001", "\u0002"
-    out = F.concat(F.lit(" "), F.regexp_replace(text, "\n", " "), F.lit("  "))
-    for pattern, new in (
-        (rf"({TITLES})\.", rf"$1{dot}"),
-        (rf"\.({SITES})", rf"{dot}$1"),
-        (r"([0-9])\.([0-9])", rf"$1{dot}$2"),
-        (r"\.(?=\.)|(?<=\.)\.(?!\.)", dot),  # runs of dots: all of them, and a cut after the last
-        (rf"({dot}{{2,}})", rf"$1{cut}"),
-        (r"Ph\.D\.", rf"Ph{dot}D{dot}"),
-        (r"\s([A-Za-z])\. ", rf" $1{dot} "),
-        (rf"([A-Z]\.[A-Z]\.(?:[A-Z]\.)?) ({STARTERS})", rf"$1{cut} $2"),
-        (r"([A-Za-z])\.([A-Za-z])\.([A-Za-z])\.", rf"$1{dot}$2{dot}$3{dot}"),
-        (r"([A-Za-z])\.([A-Za-z])\.", rf"$1{dot}$2{dot}"),
-        (rf" ({SUFFIXES})\. ({STARTERS})", rf" $1{cut} $2"),
-        (rf" ({SUFFIXES})\.", rf" $1{dot}"),
-        (r" ([A-Za-z])\.", rf" $1{dot}"),
-        (r"\.([”\"])", r"$1."),  # a quote that closes after the mark belongs to the sentence
-        (r"([!?])\"", r'"$1'),
-        (r"([.?!])", rf"$1{cut}"),
-        (dot, "."),
-    ):
-        out = F.regexp_replace(out, pattern, new)
-    parts = F.transform(F.split(out, cut), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    padded = F.concat(F.lit(" "), F.regexp_replace(text, "\n", " "), F.lit("  "))
+
+    def decided(pieces: Column) -> Column:
+        """Pieces with whether their mark ends a sentence, and whether the quote that follows moves before it."""
+
+        def each(piece: Column, i: Column) -> Column:
+            first = F.greatest(i - (AROUND - 1), F.lit(0))
+            left, right = F.array_join(F.slice(pieces, first + 1, i - first + 1), ""), F.array_join(F.slice(pieces, i + 2, AROUND), "")
+            stop = piece.endswith(".")
+            # after a run of dots a quote stays where it is
+            moves = F.when(stop, right.rlike('^["”]') & ~left.endswith("..")).otherwise(right.startswith('"'))
+            return let(F.when(stop, stop_ends(left, right)).otherwise(piece.rlike("[?!]$")), lambda e: F.struct(F.when(stop & e & left.rlike(rf" (?:{SUFFIXES})\.$"), F.rtrim(piece, F.lit("."))).otherwise(piece).alias("piece"), e.alias("ends"), (e & moves).alias("moves"), F.substring(right, 1, 1).alias("next")))
+
+        return F.transform(pieces, each)
+
+    def step(state: Column, x: Column) -> Column:
+        own = F.when(state["moved"], F.substring(x["piece"], 2, 1 << 30)).otherwise(x["piece"])
+        whole = F.concat(state["open"], own)
+        cut = F.when(x["moves"], F.concat(F.left(whole, F.length(whole) - 1), x["next"], F.right(whole, F.lit(1)))).otherwise(whole)
+        done = F.when(x["ends"], F.concat(state["done"], F.array(cut))).otherwise(state["done"])
+        return F.struct(done.alias("done"), F.when(x["ends"], "").otherwise(whole).alias("open"), x["moves"].alias("moved"))
+
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"), F.lit(False).alias("moved"))
+    pieces = F.regexp_extract_all(padded, F.lit(r"([^.?!]*[.?!]|[^.?!]+$)"))
+    parts = let(pieces, lambda p: F.aggregate(decided(p), start, step, lambda state: F.concat(state["done"], F.array(state["open"]))))
+    bare = F.transform(parts, lambda x: F.regexp_replace(x, rf"^{BLANK}+|{BLANK}+$", ""))
+    return let(bare, lambda x: F.when(F.element_at(x, -1) == "", F.slice(x, 1, F.size(x) - 1)).otherwise(x))
 
 
 def word_count(text: Column) -> Column:

@@ -61,6 +61,13 @@ def test_sentences(spark):
     assert one(spark, text.english_sentences(F.lit(said))) == [
         "Dr. Ames met U.S. officials.", "He paid 3.5 dollars to Acme Inc. on site.com!", '"Was it enough"?', "She said...", "Then Ph.D. work",
     ]
+    more = 'The U.N. He left. Acme Co. But "Yes." She... "No!" A. B. Lee lives in St. Ives, e.g. 3.14 or 3. 15?! U.S.A. Wherever'
+    assert one(spark, text.english_sentences(F.lit(more))) == [
+        "The U.N.", "He left.", "Acme Co", 'But "Yes".', "She...", '"No"!', "A. B. Lee lives in St. Ives, e.g. 3.14 or 3.", "15?", "!", "U.S.A.", "Wherever",
+    ]
+    assert one(spark, text.english_sentences(F.lit(""))) == [] and one(spark, text.english_sentences(F.lit(" \n"))) == []
+    assert one(spark, text.language_sentences(F.lit("Mr.。 one。 5。 two: x。 end"), "zh", colons=True)) == ["Mr.。 one。", "5。 two: x。", "end"]
+    assert one(spark, text.language_sentences(F.lit("a: b; c. d"), colons=True, semicolons=True)) == ["a:", "b;", "c.", "d"]
     assert one(spark, text.language_sentences(F.lit("One two. (Three!)  four\n\n--\nv1. x 日本。 y"))) == ["One two.", "(Three!)", "four", "v1. x 日本。 y"]
     assert one(spark, text.language_sentences(F.lit("日本。 語 a. b"), "zh")) == ["日本。", "語 a. b"]
 
