@@ -261,7 +261,7 @@ def _parse(window: int, anchor: int, size: int = 1 << 21):
 
 
 # ------------------------------------------------------------------ in Spark
-LOWEST_ROOM = 1 << (63 - PLACE)
+ROOM = 1 << (63 - PLACE)
 
 
 def numbered(docs: DataFrame) -> tuple[DataFrame, DataFrame | None, int]:
@@ -275,8 +275,9 @@ def numbered(docs: DataFrame) -> tuple[DataFrame, DataFrame | None, int]:
     low, high, n, given = rows.agg(F.min("doc_id"), F.max("doc_id"), F.count("*"), F.count("doc_id")).first()
     if not n:
         return rows.select(F.col("doc_id").alias("doc"), "text"), None, 0
-    if given == n and high - low < LOWEST_ROOM and rows.groupBy("doc_id").count().where("count > 1").isEmpty():
-        return rows.select((F.col("doc_id") - low).alias("doc"), "text"), None, low
+    if given == n and high - low < ROOM and rows.groupBy("doc_id").count().where("count > 1").isEmpty():
+        # never null, so that inner and outer joins ask for the same rows and share one exchange of the texts
+        return rows.select(F.coalesce(F.col("doc_id") - low, F.lit(0)).alias("doc"), "text"), None, low
     rows = rows.select("doc_id", F.xxhash64("text").alias("tie"), F.length("text").alias("chars"), "text")
     keys = cut(rows.select("doc_id", "tie", "chars").distinct().orderBy(F.col("doc_id").asc_nulls_last(), "tie", "chars"))
     keys = keys.select("*", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("row"))
@@ -290,6 +291,16 @@ def numbered(docs: DataFrame) -> tuple[DataFrame, DataFrame | None, int]:
     return rows.join(other, same).select("doc", "text"), names.select("doc", "doc_id"), 0
 
 
+def splittable(rows: DataFrame, unique: DataFrame, key: str) -> DataFrame:
+    """Inner join with an aggregate by its key, under a name that hides how the aggregate is dealt.
+
+    Otherwise aggregate and join share one exchange, which adaptive execution can't
+    split where a key is common. The aggregate, which moves once more, is small.
+    """
+    flipped = F.col(key).bitwiseXOR(F.lit(1)).alias("key")
+    return rows.select("*", flipped).join(unique.select("*", flipped).drop(key), "key").drop("key")
+
+
 def found(texts: DataFrame, window: int = 20, anchor: int = 6, pieces: int = 2048) -> DataFrame:
     """(window, at, length, source) of ``(doc, text)``: factors, whose window is null, and windows at their boundaries, whose source is null.
 
@@ -299,7 +310,7 @@ def found(texts: DataFrame, window: int = 20, anchor: int = 6, pieces: int = 204
     marks = texts.mapInArrow(_marks(window, anchor), "h long, at long")
     first = marks.groupBy("h").agg(F.min("at").alias("first"), F.count("*").alias("n")).where("n > 1")
     copies = F.ceil(F.col("n") / pieces).cast("int")
-    met = marks.join(first, "h").select(
+    met = splittable(marks, first, "h").select(
         F.shiftright("at", PLACE).alias("of"),
         F.col("at").bitwiseAND((1 << PLACE) - 1).cast("int").alias("place"),
         F.shiftright("first", PLACE).alias("source"),
@@ -318,7 +329,7 @@ def spans(texts: DataFrame, window: int = 20, **options) -> DataFrame:
     factor = parsed.where("window is null").select("at", "length")
     open_windows = parsed.where("window is not null").select("window", "at", "length")
     first = open_windows.groupBy("window").agg(F.min("at").alias("first"), F.max("at").alias("last")).where("last > first").select("window", "first")
-    again = open_windows.join(first, "window").where("at > first").select("at", "length")
+    again = splittable(open_windows, first, "window").where("at > first").select("at", "length")
     return factor.unionByName(again)
 
 
