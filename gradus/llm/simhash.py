@@ -6,11 +6,12 @@ linked documents form groups.
 
 Search. Only distinct fingerprints are compared. The 64 bits are cut into
 ``radius + 2`` blocks; two fingerprints within the radius agree on at least two
-blocks, so they meet in one of the tables keyed by a pair of blocks. Buckets
-with more than ``bucket_rows`` fingerprints are cut again, by three of ``radius + 3``
-blocks of the bits that the bucket leaves open, and what is still crowded once
-more, by four of ``radius + 4``. With a radius of 3 that fixes 56 of the 64 bits, so
-that no bucket holds more than 256 fingerprints; nothing is dropped.
+blocks, so they meet in one of the tables keyed by a pair of blocks. A bucket
+with more than ``bucket_rows`` fingerprints is dealt into groups, of which every two
+have a part of their own, so that none compares more than about ``2 * bucket_rows``.
+Where those would be more than the tables of a further cut, the bucket is cut
+instead, by three of ``radius + 3`` blocks of the bits that it leaves open, and then
+by four of ``radius + 4``. Nothing is dropped. Tasks derive the tables from the radius.
 
 Comparison. Inside a task the fingerprints of a block lie as vertical bit
 planes, 64 candidates to a machine word. One query's bit flips a plane, and a
@@ -22,6 +23,7 @@ task emits spanning links of what it found, not all pairs.
 from __future__ import annotations
 
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -127,8 +129,11 @@ def unite(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             parent[:] = up
 
 
-def spanning(fps: np.ndarray, radius: int = 3, rows: int = 1024, second: np.ndarray | None = None, confirm: int = BITS) -> np.ndarray:
-    """For each fingerprint the least index that chains of close fingerprints reach within ``fps``."""
+def spanning(fps: np.ndarray, radius: int = 3, rows: int = 1024, second: np.ndarray | None = None, confirm: int = 2 * BITS) -> np.ndarray:
+    """For each fingerprint the least index that chains of close fingerprints reach within ``fps``.
+
+    With second fingerprints a pair is close only if both distances add up to ``confirm`` at most.
+    """
     parent = np.arange(len(fps))
     for j in range(0, len(fps), rows):
         block = fps[j : j + rows]
@@ -137,37 +142,37 @@ def spanning(fps: np.ndarray, radius: int = 3, rows: int = 1024, second: np.ndar
             if i == j:
                 q, c = q[q < c], c[q < c]
             if second is not None:
-                near = np.bitwise_count(second[q + i] ^ second[c + j]) <= confirm
-                q, c = q[near], c[near]
+                apart = np.bitwise_count(fps[q + i] ^ fps[c + j]) + np.bitwise_count(second[q + i] ^ second[c + j])
+                q, c = q[apart <= confirm], c[apart <= confirm]
             unite(parent, q + i, c + j)
     return parent
 
 
 def _compare(radius: int, confirm: int | None, rows: int = 1024):
-    """Arrow batches sorted by bucket -> spanning links of the close fingerprints in each bucket."""
+    """Arrow batches (mask, k, part, id, fp, fp2) sorted by bucket -> spanning links of the close fingerprints in each bucket, as ids."""
 
-    def flush(fps: np.ndarray, second: np.ndarray):
-        parent = spanning(fps, radius, rows, *(() if confirm is None else (second, confirm)))
-        own = np.arange(len(fps))
-        far = parent != own
+    def flush(held: dict[str, np.ndarray]):
+        fps = held["fp"].view(np.uint64)
+        parent = spanning(fps, radius, rows, *(() if confirm is None else (held["fp2"].view(np.uint64), confirm)))
+        far = parent != np.arange(len(fps))
         if far.any():
-            signed = fps.view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(signed[own[far]]), pa.array(signed[parent[far]])], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(held["id"][far]), pa.array(held["id"][parent[far]])], ["a", "b"])
 
     def run(batches):
-        held = {"fp": np.zeros(0, np.uint64), "fp2": np.zeros(0, np.uint64), "new": np.zeros(0, bool)}
-        last = None
+        names = ["id", "fp", "fp2"]
+        held, new, last = {n: np.zeros(0, np.int64) for n in names}, np.zeros(0, bool), None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            t, k, fp, fp2 = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
-            new = np.ones(len(t), bool)
-            new[1:] = (t[1:] != t[:-1]) | (k[1:] != k[:-1])
-            new[0] = last is None or last != (t[0], k[0])
-            last = (t[-1], k[-1])
-            more = {"fp": fp.view(np.uint64), "fp2": fp2.view(np.uint64), "new": new}
-            held = {n: np.concatenate([v, more[n]]) for n, v in held.items()}
-            cuts = np.flatnonzero(held["new"])
+            bucket = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
+            starts = np.ones(batch.num_rows, bool)
+            starts[1:] = np.logical_or.reduce([x[1:] != x[:-1] for x in bucket])
+            first = tuple(x[0] for x in bucket)
+            starts[0] = last is None or last != first
+            last = tuple(x[-1] for x in bucket)
+            held = {n: np.concatenate([held[n], batch.column(3 + i).to_numpy(zero_copy_only=False)]) for i, n in enumerate(names)}
+            new = np.concatenate([new, starts])
+            cuts = np.flatnonzero(new)
             begin = 0
             # whole buckets go together, up to `rows`; the last bucket may go on in the next batch
             while True:
@@ -175,11 +180,11 @@ def _compare(radius: int, confirm: int | None, rows: int = 1024):
                 end = int(ok[-1]) if len(ok) else next((int(c) for c in cuts[cuts > begin]), None)
                 if end is None:
                     break
-                yield from flush(held["fp"][begin:end], held["fp2"][begin:end])
+                yield from flush({n: v[begin:end] for n, v in held.items()})
                 begin = end
-            held = {n: v[begin:] for n, v in held.items()}
-        if len(held["fp"]):
-            yield from flush(held["fp"], held["fp2"])
+            held, new = {n: v[begin:] for n, v in held.items()}, new[begin:]
+        if len(new):
+            yield from flush(held)
 
     return run
 
@@ -199,44 +204,71 @@ def _long(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def finer(masks: list[int], radius: int, keep: int) -> list[tuple[int, int]]:
-    """(mask, mask with further bits): for each mask those of the tables over the bits that it leaves open."""
-    return [(m, m | x) for m in masks for x in tables(radius, [b for b in range(BITS) if not m >> b & 1], keep)]
+LEVELS = 3
 
 
-LEVELS = 3
+def _finer(radius: int, level: int):
+    """Rows (mask, id, fp, fp2) -> each under all tables over the bits that its mask leaves open: (mask, k, id, fp, fp2)."""
 
+    def run(batches):
+        known: dict[int, np.ndarray] = {}
+        for batch in batches:
+            columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            for mask in np.unique(columns[0]).tolist():
+                if mask not in known:
+                    fixed = mask % (1 << BITS)
+                    more = tables(radius, [b for b in range(BITS) if not fixed >> b & 1], level + 2)
+                    known[mask] = np.array([_long(fixed | x) for x in more], np.int64)
+                chosen = np.flatnonzero(columns[0] == mask)
+                step = max(1, (1 << 18) // len(known[mask]))
+                for lo in range(0, len(chosen), step):
+                    at = np.repeat(chosen[lo : lo + step], len(known[mask]))
+                    masks = np.tile(known[mask], len(at) // len(known[mask]))
+                    parts = [masks, columns[2][at] & masks, *(c[at] for c in columns[1:])]
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in parts], ["mask", "k", "id", "fp", "fp2"])
+
+    return run
 
-def links(fps: DataFrame, radius: int = 3, bucket_rows: int = 4096, confirm: int | None = None) -> DataFrame:
-    """Spanning links (a, b) among distinct fingerprints ``fp`` at ``radius`` or fewer differing bits.
 
-    With ``confirm`` a link needs second fingerprints ``fp2`` that differ in so many bits at most.
-    A bucket is a mask and the bits under it. The list of masks depends on the
-    radius alone, so that it may be broadcast; of the buckets only sizes are
-    looked at, and one row per mask reaches the driver.
+def buckets(fps: DataFrame, radius: int, bucket_rows: int) -> DataFrame:
+    """Rows (mask, k, part, id, fp, fp2) of (id, fp, fp2) in buckets in which every pair within the radius meets.
+
+    Of the buckets only sizes are looked at, and none of them reaches the driver.
     """
-    spark, masks, parts = fps.sparkSession, [0], []
-    other = F.col("fp2") if confirm is not None else F.lit(0).cast("long").alias("fp2")
-    rows = fps.select(F.lit(0).cast("long").alias("mask"), "fp", other)
+    out, rows = None, fps.select(F.lit(0).cast("long").alias("mask"), "id", "fp", "fp2")
+    columns = ["mask", "k", "id", "fp", "fp2"]
     for level in range(LEVELS):
-        table = spark.createDataFrame([(_long(m), _long(x)) for m, x in finer(masks, radius, level + 2)], "mask long, finer long")
-        rows = rows.join(F.broadcast(table), "mask").select(F.col("finer").alias("mask"), F.col("fp").bitwiseAND(F.col("finer")).alias("k"), "fp", "fp2")
-        sizes = rows.groupBy("mask", "k").agg(F.count("*").alias("n")).where("n > 1")
-        if level == LEVELS - 1:
-            parts.append(rows.join(sizes, ["mask", "k"]))
-            break
-        sizes = cut(sizes)
-        masks = [r.mask % (1 << BITS) for r in sizes.where(F.col("n") > bucket_rows).select("mask").distinct().collect()]
-        met = rows.join(sizes, ["mask", "k"])
-        if not masks:
-            parts.append(met)
+        rows = rows.mapInArrow(_finer(radius, level), "mask long, k long, id long, fp long, fp2 long")
+        sizes = cut(rows.groupBy("mask", "k").agg(F.count("*").alias("n")).where("n > 1"))
+        # a row of a crowded bucket is copied once for each of its groups, or under each further table, whichever are fewer
+        further = comb(radius + level + 3, level + 3) if level < LEVELS - 1 else 1 << 62
+        met = rows.join(sizes.withColumn("groups", F.ceil(F.col("n") / bucket_rows)), ["mask", "k"])
+        dealt = _dealt(met.where(F.col("groups") <= further), columns)
+        out = dealt if out is None else out.unionByName(dealt)
+        if sizes.where(F.ceil(F.col("n") / bucket_rows) > further).isEmpty():
             break
-        parts.append(met.where(F.col("n") <= bucket_rows))
-        rows = cut(met.where(F.col("n") > bucket_rows).select("mask", "fp", "fp2"))
-    pairs = parts[0]
-    for part in parts[1:]:
-        pairs = pairs.unionByName(part)
-    pairs = pairs.select("mask", "k", "fp", "fp2").repartition("mask", "k").sortWithinPartitions("mask", "k")
+        rows = cut(met.where(F.col("groups") > further).select("mask", "id", "fp", "fp2"))
+    return out
+
+
+def _dealt(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """A bucket's rows in ``groups``, each of which meets every other in a part of its own; one group is one part."""
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("id"), F.col("groups")))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)))
+    part = F.least("own", "other") * F.col("groups") + F.greatest("own", "other")
+    return rows.select(*columns, part.alias("part"))
+
+
+def links(fps: DataFrame, radius: int = 3, bucket_rows: int = 4096, confirm: int | None = None) -> DataFrame:
+    """Spanning links (a, b), as ids, among rows (id, fp, fp2) whose ``fp`` differ in ``radius`` bits or fewer.
+
+    Rows (fp) without an id are their own ids. With ``confirm`` a link needs distances
+    of ``fp`` and ``fp2`` that add up to so many bits at most.
+    """
+    if "id" not in fps.columns:
+        fps = fps.select(F.col("fp").alias("id"), "fp", F.lit(0).cast("long").alias("fp2"))
+    keys = ["mask", "k", "part"]
+    pairs = buckets(fps, radius, bucket_rows).select(*keys, "id", "fp", "fp2").repartition(*keys).sortWithinPartitions(*keys)
     return pairs.mapInArrow(_compare(radius, confirm), "a long, b long")
 
 
@@ -249,18 +281,26 @@ def groups(docs: DataFrame, shingle: int = 3, radius: int = 3, bucket_rows: int
     a repeated doc_id are judged each by its own text. Other columns are ignored.
 
     A wide radius finds more copies that were edited, but also texts that have
-    nothing in common. With ``confirm`` different fingerprints link only if second
-    ones, of another seed, differ in so many bits at most; of texts that share the
-    first fingerprint the smallest second one stands for all.
+    nothing in common. With ``confirm`` documents have two fingerprints of
+    independent seeds; they link if either is within the radius and both
+    distances add up to ``confirm`` at most. Those that agree in both are one class;
+    all others are confirmed, those that agree in one of them too.
     """
     prints = cut(fingerprints(docs, shingle, confirm is not None))
-    classes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.min("fp2").alias("fp2")))
-    roots = connected_components(links(classes.select("fp", "fp2"), radius, bucket_rows, confirm))
-    roots = roots.select(F.col("node").alias("fp"), "root")
-    joined = classes.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    classes = prints.groupBy("fp", "fp2").agg(F.min("doc_id").alias("first"))
+    if confirm is None:
+        classes = cut(classes.withColumn("id", F.col("fp")))
+        found = links(classes.select("id", "fp", "fp2"), radius, bucket_rows)
+    else:
+        classes = cut(classes.withColumn("id", F.monotonically_increasing_id()))
+        found = links(classes.select("id", "fp", "fp2"), radius, bucket_rows, confirm)
+        turned = classes.select("id", F.col("fp2").alias("fp"), F.col("fp").alias("fp2"))
+        found = found.unionByName(links(turned, radius, bucket_rows, confirm))
+    roots = connected_components(found).select(F.col("node").alias("id"), "root")
+    joined = classes.join(roots, "id", "left").select("fp", "fp2", "first", F.coalesce("root", "id").alias("root"))
     least = joined.groupBy(F.col("root").alias("r")).agg(F.min("first").alias("component_id"))
-    named = joined.join(least, F.col("root") == F.col("r")).select(F.col("fp").alias("p"), "component_id")
-    return prints.join(named, F.col("fp") == F.col("p")).select("doc_id", "fp", "component_id")
+    named = joined.join(least, F.col("root") == F.col("r")).select(F.col("fp").alias("p"), F.col("fp2").alias("p2"), "component_id")
+    return prints.join(named, (F.col("fp") == F.col("p")) & (F.col("fp2") == F.col("p2"))).select("doc_id", "fp", "component_id")
 
 
 def hex16(fp: Column) -> Column:

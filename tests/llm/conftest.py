@@ -19,7 +19,7 @@ def spark():
 #: Names that the operators' own code gives to columns.
 CLASHING = """label labelled_id id metadata index value kept_id kept_n component_id first root node draw tie rounds extra rank slice place of z at before
 n taken taken_copy copy target source_size bucket key held_out lang_pred letters clean mask finer k
-doc of place places lengths h n_words n_removed window length block copy start marks words tie chars named""".split()
+doc places lengths h n_words n_removed window length block start marks words chars named part own other groups fp2 chunk kind""".split()
 
 
 @pytest.fixture(scope="session")

@@ -51,7 +51,7 @@ def test_bit_sliced_comparison(radius):
     assert found == {(i, j) for i in range(len(a)) for j in range(len(b)) if (int(a[i]) ^ int(b[j])).bit_count() <= radius}
 
 
-@pytest.mark.parametrize("bucket_rows", [4096, 5])
+@pytest.mark.parametrize("bucket_rows", [4096, 5, 1])
 def test_links_lose_nothing(spark, bucket_rows):
     rng = random.Random(4)
     fps = sorted({f for _ in range(4) for f in near_group(rng, rng.getrandbits(64), 60, 3)} | {rng.getrandbits(64) for _ in range(60)})
@@ -73,19 +73,49 @@ def test_groups(docs_of):
     assert sorted(r.doc_id for r in kept) == sorted(set(rows.values())) and {r.fp for r in kept} == {"x"}
 
 
-def test_wide_radius_with_second_fingerprints(spark):
-    """Pairs that only the first or only the second fingerprint has close don't link; nothing else is lost."""
+def close(x, y, radius, confirm):
+    return (x[0] ^ y[0]).bit_count() <= radius and (x[0] ^ y[0]).bit_count() + (x[1] ^ y[1]).bit_count() <= confirm
+
+
+def signed(x):
+    return x - (1 << 64) if x >> 63 else x
+
+
+@pytest.mark.parametrize("bucket_rows", [4096, 30, 3])
+def test_wide_radius_with_second_fingerprints(spark, bucket_rows):
+    """Pairs that only the first or only the second fingerprint has close don't link; nothing else is lost, equal first ones included."""
     rng = random.Random(5)
     centre, other = rng.getrandbits(64), rng.getrandbits(64)
-    firsts = near_group(rng, centre, 60, 9) + [rng.getrandbits(64) for _ in range(30)]
+    firsts = near_group(rng, centre, 60, 8) + [centre] * 20 + [rng.getrandbits(64) for _ in range(30)]
     rows = [(f, near_group(rng, other, 1, 12)[0] if rng.random() < 0.7 else rng.getrandbits(64)) for f in firsts]
-    signed = lambda x: x - (1 << 64) if x >> 63 else x
-    table = spark.createDataFrame([(signed(a), signed(b)) for a, b in rows], "fp long, fp2 long")
-    for bucket_rows in (4096, 30):
-        found = {r.node % (1 << 64): r.root for r in connected_components(simhash.links(table, 7, bucket_rows, 16)).collect()}
-        want = classes(rows, lambda x, y: (x[0] ^ y[0]).bit_count() <= 7 and (x[1] ^ y[1]).bit_count() <= 16)
-        got = [found.get(a, signed(a)) for a, _ in rows]
-        assert [[g == h for h in got] for g in got] == [[g == h for h in want] for g in want]
+    table = spark.createDataFrame([(i, signed(a), signed(b)) for i, (a, b) in enumerate(rows)], "id long, fp long, fp2 long").repartition(5)
+    found = {r.node: r.root for r in connected_components(simhash.links(table, 6, bucket_rows, 20)).collect()}
+    want = classes(rows, lambda x, y: close(x, y, 6, 20))
+    assert [found.get(i, i) for i in range(len(rows))] == want and len(set(want)) > 20
+
+
+@pytest.mark.parametrize("radius", [3, 6])
+def test_buckets_are_bounded(spark, radius):
+    """However many fingerprints fall together, a task compares two groups at most, and every close pair meets somewhere."""
+    rng = random.Random(radius)
+    fps = near_group(rng, rng.getrandbits(64), 150, 2) + [0] * 40
+    table = spark.createDataFrame([(i, signed(f), i) for i, f in enumerate(fps)], "id long, fp long, fp2 long").repartition(4)
+    sizes, met = {}, set()
+    for r in simhash.buckets(table, radius, 20).collect():
+        sizes.setdefault((r.mask, r.k, r.part), []).append(r.id)
+    for ids in sizes.values():
+        assert len(ids) <= 2 * 2 * 20  # two groups, each of about 20 by hash
+        met |= {(a, b) for a in ids for b in ids if a < b}
+    near = {(a, b) for a in range(len(fps)) for b in range(a + 1, len(fps)) if (fps[a] ^ fps[b]).bit_count() <= radius}
+    assert near <= met
+
+
+def test_members_of_a_class_link_for_themselves(docs_of, spark, monkeypatch):
+    """Texts 1 and 2 share the first fingerprint, and only 2, of the larger second one, is close to 3; 4 shares it without being confirmed."""
+    prints = {"a": (5, 1), "b": (5, 0xFF), "c": (5 ^ 3, 0xFFF), "d": (5, (1 << 64) - 1)}
+    monkeypatch.setattr(simhash, "fingerprints", lambda docs, *_: spark.createDataFrame([(r.doc_id, *map(signed, prints[r.text])) for r in docs.collect()], "doc_id long, fp long, fp2 long"))
+    found = {r.doc_id: r.component_id for r in simhash.groups(docs_of([(1, "a", "en", "s"), (2, "b", "en", "s"), (3, "c", "en", "s"), (4, "d", "en", "s")]), radius=3, confirm=7).collect()}
+    assert found == {1: 1, 2: 1, 3: 1, 4: 4}
 
 
 def test_components(spark):
