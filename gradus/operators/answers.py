@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import BooleanType, DoubleType
 
+from gradus.functions.algebra import equivalent
+
 _FRACTION = re.compile(r"\\[dt]?frac\{([^{}]+)\}\{([^{}]+)\}")
 _NOISE = re.compile(r"\\(?:left|right|,|;|!|text\{[^{}]*\}|mathrm\{[^{}]*\}|displaystyle)|[\s$]|\\%|%|°|\\circ|\^\\circ")
 
@@ -35,7 +37,7 @@ def value(text: str) -> Fraction | None:
 
 
 def same_answer(a: str | None, b: str | None) -> bool:
-    """Equal as numbers, as sets of comma-separated answers, or as formulas without layout; no symbolic algebra."""
+    """Equal as numbers, as sets of comma-separated answers, as formulas without layout, or by their values at random points."""
     if a is None or b is None:
         return False
     x, y = plain(a), plain(b)
@@ -45,10 +47,10 @@ def same_answer(a: str | None, b: str | None) -> bool:
     if p is not None and q is not None:
         return p == q
     parts = [[re.sub(r"^[a-z]=", "", s) for s in re.split(r",(?!\d{3}(?:\D|$))", t)] for t in (x, y)]
-    if len(parts[0]) != len(parts[1]) or parts == [[x], [y]]:
-        return False
     key = lambda s: (0, value(s)) if value(s) is not None else (1, s)
-    return sorted(map(str, map(key, parts[0]))) == sorted(map(str, map(key, parts[1])))
+    if len(parts[0]) == len(parts[1]) > 1 and sorted(map(str, map(key, parts[0]))) == sorted(map(str, map(key, parts[1]))):
+        return not x.startswith(("(", "[")) or equivalent(a, b)
+    return equivalent(a, b)
 
 
 @pandas_udf(BooleanType())

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gradus.functions import text
-from gradus.functions.draws import draw, draw_sql
+from gradus.functions.draws import divided, draw, draw_sql
 from gradus.operators import answers, keyed, prompts
 from gradus.plans.generate import TOKENS
 from gradus.plans.registry import Registry
@@ -274,3 +274,20 @@ def math_equivalence(spark, sf_dir):
     pred = F.when(F.col("d") % 2 == 0, F.concat(F.lit(r"$\frac{"), top, F.lit("}{8}$"))).otherwise(((F.col("d") % 900 + 1) / 8).cast("decimal(20,3)").cast("string"))
     ref = F.concat((F.col("d") % 900 + 1 + (F.col("d") % 5 == 0).cast("int")).cast("string"), F.lit("/"), bottom)
     return rows.select("doc_id", answers.math_equal(pred, ref).alias("equal"))
+
+
+@query("SELECT doc_id, (d // 7 % 6)::INT AS kind, d % 5 <> 0 AS equal FROM (SELECT doc_id, " + draw_sql("22", "doc_id") + " AS d FROM documents)")
+def math_forms(spark, sf_dir):
+    """Drawn polynomials, roots, sets, intervals, rational functions and powers, each in two forms; one in five is off by one."""
+    rows = documents(spark, sf_dir).select("doc_id", draw(22, "doc_id").alias("d"))
+    rows = rows.withColumns({"kind": (divided(F.col("d"), 7) % 6).cast("int"), "a": divided(F.col("d"), 42) % 30 + 2, "b": divided(F.col("d"), 1260) % 30 + 40, "off": (F.col("d") % 5 == 0).cast("long")})
+    forms = [  # (prediction, reference)
+        ("concat('(x+', a, ')(x-', b, ')')", "concat('x^2-', b - a, 'x-', a * b + off)"),
+        ("concat('\\\\sqrt{', a * a * b, '}')", "concat(a + off, '\\\\sqrt{', b, '}')"),
+        ("concat('\\\\{', a, ', ', b, ', z\\\\}')", "concat('\\\\{z, ', b + off, ', ', a, '\\\\}')"),
+        ("concat('\\\\left[', a, ', \\\\frac{', 3 * b, '}{3}\\\\right)')", "concat('[', a, ', ', b, if(off = 1, ']', ')'))"),
+        ("concat('\\\\frac{x^2-', a * a, '}{x-', a, '}')", "concat('x+', a + off)"),
+        ("concat('x^{', a, '} \\\\cdot x^{-', b, '}')", "concat('\\\\frac{1}{x^{', b - a + off, '}}')"),
+    ]
+    case = lambda side: F.expr("CASE kind " + " ".join(f"WHEN {k} THEN {f[side]}" for k, f in enumerate(forms)) + " END")
+    return rows.select("doc_id", "kind", answers.math_equal(case(0), case(1)).alias("equal"))
