@@ -90,7 +90,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = (public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
-    return alignment.align(read(spark, sf_dir, "documents"), *files)
+    return alignment.align(read(spark, sf_dir, "documents"), *files, pattern=public_tokenizers.PATTERN)
 
 
 @query

@@ -6,7 +6,7 @@ from pathlib import Path
 
 import numpy as np
 import pytest
-from public_tokenizers import path
+from public_tokenizers import PATTERN, path
 from samples import EDGES
 
 from gradus.llm import alignment, queries
@@ -68,12 +68,12 @@ def columns(rows):
     return sorted((-1 if r.doc_id is None else r.doc_id, r.n_a, r.n_b, r.n_groups, r.n_links, r.n_best, r.count_sum, r.groups_sha256) for r in rows)
 
 
-@pytest.mark.parametrize("links", [1 << 21, 50])
-def test_odd_texts(docs_of, links):
+@pytest.mark.parametrize(("links", "pattern"), [(1 << 21, None), (50, PATTERN)])
+def test_odd_texts(docs_of, links, pattern):
     texts = [*EDGES, *ODD, *ODD[:3], None]
     ids = [None if i == 4 else i // 2 for i in range(len(texts))]  # every id twice, one is null
     want, _ = plain(texts)
-    got = alignment.align(docs_of([(i, t, "en", "s") for i, t in zip(ids, texts, strict=True)]), *FILES, links=links).collect()
+    got = alignment.align(docs_of([(i, t, "en", "s") for i, t in zip(ids, texts, strict=True)]), *FILES, pattern, links=links).collect()
     assert columns(got) == sorted((-1 if i is None else i, *w) for i, w in zip(ids, want, strict=True))
     assert sum(w[0] > 0 for w in want) > 10 and any(w[0] == 0 and t for w, t in zip(want, texts, strict=True) if t is not None)
 
@@ -89,6 +89,15 @@ def test_pair_counts(docs_of):
     assert {r.b_id for r in rows if r.best} == {r.b_id for r in rows}
 
 
+def test_faster_encoder():
+    slow, fast = (alignment.ByteLevel(Path(FILES[0]).read_bytes(), p) for p in (None, PATTERN))
+    assert slow.fast is None and fast.fast is not None
+    rng = random.Random(5)
+    letters = "ab  \n\t'sÉß漢字😀1290.,-<|>_Ġ\x00\x85\u3000"
+    texts = [t for t in [*EDGES, *ODD] if t] + ["".join(rng.choice(letters) for _ in range(rng.randint(1, 200))) for _ in range(500)]
+    assert [list(x) for x in slow.encode(texts)] == [list(x) for x in fast.encode(texts)]
+
+
 def test_empty(docs_of):
     assert alignment.align(docs_of([]), *FILES).collect() == []
 
