@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("classify", "generate", "judge", "rollup", "checkers", "keyed", "rating", "items", "sentences")
+MODULES = ("classify", "generate", "judge", "rollup", "checkers", "keyed", "rating", "items", "sentences", "languages")
 
 
 def queries() -> dict:
