@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gradus.functions.draws import below, draw
+from gradus.functions.draws import RANGE, below, draw, permuted
 from gradus.functions.text import boxed, let
 from gradus.operators.numbering import placed
 
@@ -63,11 +63,15 @@ def common_word_tasks(words: DataFrame, tasks: DataFrame, common: int, often: in
     """(task_id, words, label): ``total`` drawn words of which the first ``common`` occur ``often`` times, in drawn order.
 
     ``words`` has (word), the vocabulary, each once; ``tasks`` has (task_id), a stated
-    list of tasks. Each task orders the whole vocabulary by hash, in parts, and keeps
-    the first words of it.
+    list of tasks. The vocabulary is numbered once, in parts; a task's k-th word is the
+    place of k under a permutation of its own, so that as many rows are made as words
+    are drawn. Smaller vocabularies are taken whole.
     """
-    drawn = words.select("word").join(F.broadcast(tasks)).withColumn("d", draw(seed, "task_id", "word"))
-    first = placed(drawn, ["task_id"], ["d", "word"], F.floor(F.col("d") / (1 << 25))).where(F.col("place") < total)
+    hashed = words.select("word", draw(seed, "word").alias("_d"))
+    known = placed(hashed, [], ["_d", "word"], F.floor(F.col("_d") / (RANGE // 64)), "_number").select("word", "_number")
+    size = words.agg(F.count("*").alias("_size"))  # one row
+    rows = tasks.join(F.broadcast(size)).select("task_id", "_size", draw(seed, F.lit("task"), "task_id").alias("_key"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(total - 1).cast("long"))).alias("place"))
+    first = permuted(rows.where("place < _size"), "place", "_size", "_key", "_ix").join(known, F.col("_ix") == F.col("_number"))
     again = F.explode(F.sequence(F.lit(0), F.when(F.col("place") < common, often - 1).otherwise(0))).alias("copy")
     copies = first.select("task_id", "word", "place", again)
     copies = copies.withColumn("e", draw(seed, "task_id", "word", "copy"))

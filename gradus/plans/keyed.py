@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gradus.functions import text
-from gradus.functions.draws import divided, draw, draw_sql
+from gradus.functions.draws import divided, draw, draw_sql, permuted_sql
 from gradus.operators import answers, keyed, prompts
 from gradus.plans.generate import TOKENS
 from gradus.plans.registry import Registry
@@ -254,12 +254,14 @@ def needle_tasks(spark, sf_dir):
     return prompts.needle_tasks(bench, tasks, 3, 42).withColumn("label", F.array_join("label", ","))
 
 
-_COMMON = f"""v AS (SELECT DISTINCT unnest({_T.format(x="text")}) AS word FROM benchmark),
-    p AS (SELECT task_id, word, row_number() OVER (PARTITION BY task_id ORDER BY {draw_sql("42", "task_id", "word")}, word) - 1 AS place FROM v, (SELECT unnest(range(50)) AS task_id) QUALIFY place < 100),
+_COMMON = f"""v AS (SELECT word, row_number() OVER (ORDER BY {draw_sql("42", "word")}, word) - 1 AS number FROM (SELECT DISTINCT unnest({_T.format(x="text")}) AS word FROM benchmark)),
+    tk AS (SELECT task_id, place, size, {draw_sql("42", "'task'", "task_id")} AS key FROM (SELECT unnest(range(50)) AS task_id), (SELECT unnest(range(100)) AS place), (SELECT count(*) AS size FROM v) WHERE place < size),
+    {permuted_sql("pm", "tk", "task_id", "place", "size", "key", "ix")},
+    p AS (SELECT task_id, word, place FROM pm JOIN v ON ix = number WHERE ix < size),
     c AS (SELECT task_id, word, place, unnest(range(CASE WHEN place < 10 THEN 30 ELSE 1 END)) AS copy FROM p)"""
 
 
-@query(f"WITH {_COMMON} SELECT task_id, string_agg(word, ' ' ORDER BY {draw_sql('42', 'task_id', 'word', 'copy')}, word) AS words, string_agg(word, ' ' ORDER BY place) FILTER (place < 10 AND copy = 0) AS label FROM c GROUP BY task_id")
+@query(f"WITH RECURSIVE {_COMMON} SELECT task_id, string_agg(word, ' ' ORDER BY {draw_sql('42', 'task_id', 'word', 'copy')}, word) AS words, string_agg(word, ' ' ORDER BY place) FILTER (place < 10 AND copy = 0) AS label FROM c GROUP BY task_id")
 def common_word_tasks(spark, sf_dir):
     vocabulary = read(spark, sf_dir, "benchmark").select(F.explode(text.tokens(F.col("text"))).alias("word")).distinct()
     found = prompts.common_word_tasks(vocabulary, spark.range(50).withColumnRenamed("id", "task_id"), 10, 30, 100, 42)
