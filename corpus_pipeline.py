@@ -16,7 +16,7 @@ from gradus.llm import bpe, language, mixing, pii, simhash
 from gradus.llm.tables import cut, read
 
 
-SHINGLE, RADIUS, CONFIRM = 5, 6, 22  # of the near-duplicate stage; bits of either fingerprint, and of both together
+SHINGLE, RADIUS, CONFIRM = 5, 7, 24  # of the near-duplicate stage; bits of either fingerprint, and of both together
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
