@@ -104,7 +104,8 @@ def key_bits(rows: int, size: int, tables: int, bucket_rows: int) -> int:
 def key_masks(quantiser: Quantiser, width: int, tables: int, share: float, most: int = 512) -> list[int]:
     """The bits of each key: ``tables`` substrings if ``width`` is theirs, and as many drawn ones as find ``share`` of the made pairs.
 
-    An error if ``most`` keys find less: then ``share`` or ``exact`` must be chosen otherwise.
+    If ``most`` keys find less, one key without bits: then all vectors of a label and
+    length meet, as in the exact mode.
     """
     bits, rng, masks = quantiser.rotation.shape[1], np.random.default_rng(width), []
     if width <= bits // tables or bits < tables:
@@ -112,7 +113,7 @@ def key_masks(quantiser: Quantiser, width: int, tables: int, share: float, most:
         width = max(1, bits // tables)
     while not masks or quantiser.share(masks) < share:
         if len(masks) >= most:
-            raise ValueError(f"{most} keys of {width} bits find {quantiser.share(masks):.3f} of the pairs at the limit, not {share}")
+            return [0]
         masks.append(sum(1 << int(b) for b in rng.choice(bits, width, replace=False)))
     return masks
 
