@@ -30,9 +30,8 @@ def test_contests_of_every_bootstrap(spark):
 
 def test_contests_without_replacement(spark):
     """A group with enough contests draws none twice; one without enough draws as many as asked."""
-    items = spark.createDataFrame([("a", i) for i in range(50)] + [("b", 0)], "g string, item_ix long")
     groups = spark.createDataFrame([("a", 50, 300), ("b", 1, 100)], "g string, n long, n_contests long")
-    found = operators.contests(items, groups, ["g"], 1, 4, 3).collect()
+    found = operators.contests(groups, ["g"], 1, 4, 3).collect()
     of_a = {(r.run, r.item_ix, r.model_a, r.model_b) for r in found if r.g == "a"}
     assert len(of_a) == sum(r.g == "a" for r in found) == 300 and sum(r.g == "b" for r in found) == 100
     assert all(r.model_a > r.model_b and r.item_ix < 50 for r in found)
