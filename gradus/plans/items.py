@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gradus.functions import text
-from gradus.functions.draws import draw, draw_sql
+from gradus.functions.draws import divided, draw, draw_sql
 from gradus.operators import answers, items, prompts
 from gradus.plans import tables
 from gradus.plans.registry import Registry
@@ -293,8 +293,8 @@ _NUM = f"n AS (SELECT doc_id, d % 9 + 1 AS a, d // 16 % 9 + 1 AS b, d // 256 % 9
 def countdown_solutions(spark, sf_dir):
     """Three equations on four numbers: right, with a number used again, with a wrong result, or short of the target."""
     d = draw(31, "doc_id")
-    a, b, c, e = (F.floor(d / q) % 9 + 1 for q in (1, 16, 256, 4096))
-    kind = F.floor(d / 65536) % 4
+    a, b, c, e = (divided(d, q) % 9 + 1 for q in (1, 16, 256, 4096))
+    kind = divided(d, 65536) % 4
     s = lambda x: x.cast("string")
     line = lambda x, op, y, z: F.concat(s(x), F.lit(f" {op} "), s(y), F.lit(" = "), s(z))
     first, second = line(a, "+", b, a + b), line(a + b, "*", c, (a + b) * c)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gradus.functions import text
-from gradus.functions.draws import draw, draw_sql
+from gradus.functions.draws import divided, draw, draw_sql
 from gradus.operators import judge
 from gradus.plans.registry import Registry
 from gradus.plans.tables import answers, read, sql
@@ -24,7 +24,7 @@ _S = f"s AS (SELECT *, {_W.format(c="regexp_extract(verdict, '<classification>\\
 def verdicts(spark, sf_dir):
     rows = answers(spark, sf_dir).withColumn("criterion", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(4).cast("long"))))
     rows = rows.withColumn("d", draw(5, "model", "run", "item_id", "criterion"))
-    said = F.format_string("Note. <classification> CLASS_%d </classification> then <classification>CLASS_%d</classification>", F.col("d") % 6, F.floor(F.col("d") / 8) % 6)
+    said = F.format_string("Note. <classification> CLASS_%d </classification> then <classification>CLASS_%d</classification>", F.col("d") % 6, divided(F.col("d"), 8) % 6)
     return rows.select("model", "run", "item_id", "lang", "competency", "criterion", "d", said.alias("verdict"))
 
 
@@ -87,7 +87,7 @@ _PV = """pv AS (SELECT *, CASE WHEN contains(one, '[[A]]')::INT + contains(one,
 def pairwise(spark, sf_dir):
     d = F.col("d")
     one = F.when(d % 5 == 0, "I say [[A]]").when(d % 5 == 1, "[[B]] it is").when(d % 5 == 2, "[[C]]").when(d % 5 == 3, "[[A]] or [[B]]").otherwise("[[A]].")
-    e = F.floor(d / 8) % 4
+    e = divided(d, 8) % 4
     two = F.when(e == 0, "[[A]]").when(e == 1, "[[B]]").when(e == 2, "[[C]]").otherwise("none")
     rows = verdicts(spark, sf_dir).select("model", "run", "item_id", "competency", "criterion", judge.verdict(one).alias("v1"), judge.verdict(two, F.lit(True)).alias("v2"))
     return rows.withColumn("outcome", judge.combined(F.col("v1"), F.col("v2")))
@@ -127,7 +127,7 @@ _LAST = "CASE " + " ".join(f"WHEN contains({{t}}, '{x}') THEN {1 - p}::DOUBLE" f
 )
 def judge_fine_grained(spark, sf_dir):
     """Labels in words, the second order read the other way round."""
-    d, e = F.col("d"), F.floor(F.col("d") / 8)
+    d, e = F.col("d"), divided(F.col("d"), 8)
     said = lambda x: F.when(x % 7 < 5, F.concat(F.lit("It is "), F.get(F.array(*map(F.lit, _LABELS)), (x % 5).cast("int")))).otherwise("unsure")
     rows = verdicts(spark, sf_dir).select("model", judge.labelled_points(said(d), _LABELS, _POINTS).alias("first"), judge.labelled_points(said(e), _LABELS, _POINTS, reverse=True).alias("second"))
     return judge.fine_grained(rows, ["model"], "first", "second", 1.0)

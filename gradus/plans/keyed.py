@@ -138,7 +138,7 @@ def countdown_lines(spark, sf_dir):
     """Equations, some of them wrong or no equations; a quotient must be whole."""
     d = F.col("d")
     rows = documents(spark, sf_dir).select("doc_id", draw(9, "doc_id").alias("d"))
-    a, b, off = d % 40, F.floor(d / 64) % 12, F.floor(d / 1024) % 3
+    a, b, off = d % 40, divided(d, 64) % 12, divided(d, 1024) % 3
     op = F.element_at(F.array(*map(F.lit, "+-*/")), (d % 4 + 1).cast("int"))
     value = F.when(op == "+", a + b).when(op == "-", a - b).when(op == "*", a * b).otherwise(F.floor(a / F.greatest(b, F.lit(1))))
     line = F.when(d % 13 == 0, "no equation").otherwise(F.concat(a.cast("string"), F.lit(" "), op, F.lit(" "), b.cast("string"), F.lit(" = "), (value + off).cast("string")))
