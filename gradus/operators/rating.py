@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType
@@ -62,11 +62,10 @@ def win_rates(df: DataFrame, by: list[str], a: str = "model_a", b: str = "model_
 
 def allocation(df: DataFrame, levels: list[str], total: int) -> DataFrame:
     """How many contests each finest group gets: the total, split evenly at every level and rounded up each time."""
-    rows = df.select(*levels).distinct().withColumn("n_contests", F.lit(total).cast("long"))
-    for depth in range(len(levels)):
-        count = rows.select(*levels[: depth + 1]).distinct().groupBy(*levels[:depth]).agg(F.count("*").alias("_k"))
-        rows = (rows.join(count, levels[:depth]) if depth else rows.crossJoin(F.broadcast(count))).withColumn("n_contests", F.ceil(F.col("n_contests") / F.col("_k"))).drop("_k")
-    return rows
+    rows, n = df.select(*levels).distinct(), F.lit(total).cast("long")
+    for depth, level in enumerate(levels):  # windows over one row for each finest group
+        n = F.ceil(n / F.size(F.collect_set(level).over(Window.partitionBy(*levels[:depth]))))
+    return rows.select(*levels, n.alias("n_contests"))
 
 
 def balanced(df: DataFrame, entities: list[str], total: int) -> DataFrame:
