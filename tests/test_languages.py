@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from gradus.operators import languages
 
 TEXTS = [
@@ -21,3 +23,18 @@ def test_profile_by_hand(spark):
     rows = {r.gram: r.rank for r in languages.profiles(docs, "lang", "text").collect()}
     # b: 3, b_: 3, _a _ab a ab ab_: 2, _b _b_: 1
     assert [g for g, _ in sorted(rows.items(), key=lambda x: x[1])] == ["b", "b_", "_a", "_ab", "a", "ab", "ab_", "_b", "_b_"]
+
+
+def test_groups_of_letters(spark):
+    df = spark.createDataFrame([("a",), ("añ",), ("𝒳y",)], "w string").select("w", languages.groups(F.col("w")).alias("g"))
+    found = {r.w: r.g for r in df.collect()}
+    assert found == {"a": ["a", "_a", "a_", "_a_"], "añ": ["a", "ñ", "_a", "añ", "ñ_", "_añ", "añ_"], "𝒳y": ["𝒳", "y", "_𝒳", "𝒳y", "y_", "_𝒳y", "𝒳y_"]}
+
+
+def test_texts_move_once(spark):
+    """Texts are dealt out by key, and neither their words nor their groups move again; the profiles come by a broadcast."""
+    docs, known = spark.createDataFrame([(1, "a b")], "id int, text string"), spark.createDataFrame([("x", "a", 1)], "lang string, gram string, rank int")
+    found = languages.nearest(docs, "id", "text", known, "lang")
+    plan = found._jdf.queryExecution().executedPlan().toString().split("LeftOuter", 1)[1]
+    assert found.count() == 1 and "hashpartitioning(id#" in plan and not any(f", {g}#" in line for line in plan.split("\n") if "Exchange hash" in line for g in ("word", "gram"))
+    assert "hashpartitioning(gram" not in plan
