@@ -31,3 +31,22 @@ def test_learns_abbreviations_and_counts_sentences(spark):
     # what the rule of cutting at every full stop gets wrong, the learned one mostly gets right
     plain = docs.select("id", F.regexp_count("text", F.lit(r"[.?!]+[\"]?(\s|$)")).alias("n")).collect()
     assert len(wrong) < sum(r.n != next(w for i, _, w in rows if i == r.id) for r in plain if r.id < 1000) / 2
+
+
+def test_tokens_at_line_ends_of_other_kinds(spark):
+    """U+2028 is no blank: what stands before it does not end a token."""
+    docs = spark.createDataFrame([(1, '"*One,  (two). -- ,;: *_* x.\u0085 “yes!”')], "id long, text string")
+    found = [(r.token, r.next) for r in boundaries.neighbours(docs, "id", "text").collect()]
+    tokens = ["One, ", "two).", "--", "x.\u0085", "yes!"]
+    assert found == list(zip(tokens, [*tokens[1:], None]))
+    assert [r.w for r in spark.createDataFrame([(t,) for t in tokens], "t string").select(boundaries.word(F.col("t")).alias("w")).collect()] == ["one, ", "two)", "--", "x.\u0085", "yes!"]
+
+
+def test_texts_are_cut_once_for_words_and_once_for_breaks(spark):
+    docs = spark.createDataFrame([(1, "One. Two three. Four")], "id long, text string")
+    pairs = boundaries.neighbours(docs, "id", "text")
+    plan = boundaries.abbreviations(pairs)._jdf.queryExecution().optimizedPlan().toString()
+    assert "transform(" not in plan and "count(1) AS times" in plan
+    # nothing is asked of words before tokens are counted
+    below = plan.lower().split("count(1) as times")[1].split("\n", 1)[1].split("aggregate")[0]
+    assert "generate" in below and "rlike" not in below and "regexp_replace" not in below
