@@ -135,3 +135,13 @@ def test_judge_prompts_by_name(spark):
     asked = prompts.JUDGE_PROMPTS["boxed"](F.lit("q"), F.lit(r"so \\boxed{7}"), F.lit("8"))
     assert one(spark, asked) == "Question: q\nAnswer: 7\nRight answer: 8"
     assert one(spark, prompts.JUDGE_PROMPTS["translation"](F.lit("a"), F.lit("b"), F.lit("c"))) == "Source: a\nTranslation: b\nReference: c"
+
+
+def test_sentence_ends_before_other_line_ends(spark):
+    """U+2028 and U+0085 are no blanks, so a mark before them is inside its word."""
+    assert one(spark, text.language_sentences(F.lit("One.  two.) “Three?!” v1. Mr. x.\u0085"))) == ["One.  two.)", "“Three?!”", "v1. Mr.", "x.\u0085"]
+
+
+def test_sides_of_a_mark_are_joined_once(spark):
+    plan = spark.createDataFrame([("One. Two",)], "t string").select(text.english_sentences(F.col("t")))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("array_join(") == 2
