@@ -296,3 +296,14 @@ def test_numbers_of_hot_groups(frame):
     found = {(r.g, r.k): r.place for r in numbered(frame(rows, "g string, k long").repartition(5), ["g"], "k", parts=7).collect()}
     assert found == {**{("hot", 3 * i): i for i in range(500)}, ("a", 7): 0, (None, 1): 0, (None, 5): 1}
     assert numbered(frame([], "g string, k long"), ["g"], "k").count() == 0
+
+
+def test_texts_meet_their_references_whole(frame):
+    """No token moves by itself, and every way of comparing takes the same tables."""
+    tables = frame([(1, "a b c a\nd"), (2, None), (3, "")], "item_id int, pred string"), frame([(i, k, 7 + k) for i in (1, 2, 3) for k in (0, 1)], "item_id int, ref_ix int, ref_id int"), frame([(7, "a a d"), (8, "d\na x a")], "ref_id int, ref string")
+    for made, common in ((generate.overlap(*tables, text.tokens), (3, 3)), (generate.compared(*tables, text.tokens, generate.lcs_of_each), (3, 2))):
+        assert "token#" not in made._jdf.queryExecution().executedPlan().toString()
+        found = {(r.item_id, r.ref_ix): (r.common, r.n_pred, r.n_ref) for r in made.collect()}
+        assert [found[1, 0], found[1, 1]] == [(common[0], 5, 3), (common[1], 5, 4)] and {found[i, k][:2] for i in (2, 3) for k in (0, 1)} == {(0, 0)}
+    recalls = {(r.item_id, r.ref_ix): r.recall for r in generate.rouge_lsum(*tables).collect()}
+    assert recalls[1, 0] == pytest.approx(1) and recalls[1, 1] == pytest.approx(3 / 4) and recalls[2, 0] == 0
