@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,9 +32,9 @@ def placed(df: DataFrame, by: list[str], order: list[str], part: Column, name: s
     return out.withColumn(name, F.col(name) + F.col("_n_before") - 1).drop("_n_part", "_n_at", "_n_before", *names)
 
 
-def numbered(df: DataFrame, by: list[str], key: str, name: str = "place", parts: int = 64) -> DataFrame:
-    """Rows numbered from 0 in order of a numeric key within each group, in parts of the key's range."""
+def numbered(df: DataFrame, by: list[str], key: str, name: str = "place", parts: int = 64, ties: Sequence[str] = ()) -> DataFrame:
+    """Rows numbered from 0 in order of a numeric key within each group, then of the columns ``ties``, in parts of the key's range."""
     low, high = df.agg(F.min(key), F.max(key)).first()
     if low is None:
         return df.withColumn(name, F.lit(0).cast("long"))
-    return placed(df, by, [key], F.least(F.floor((F.col(key) - low) * parts / (high - low + 1)), F.lit(parts - 1)), name)
+    return placed(df, by, [key, *ties], F.least(F.floor((F.col(key) - low) * parts / (high - low + 1)), F.lit(parts - 1)), name)

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gradus.functions.draws import below, intervals, resampled_means, uniform
+from gradus.functions.draws import below, divided, intervals, resampled_sums, uniform
 from gradus.functions.text import norm, ratio
 from gradus.operators.logprob import stderr
+from gradus.operators.numbering import numbered, same
 
 
 def mean_of_means(df: DataFrame, levels: list[str], value: str) -> dict[str, DataFrame]:
@@ -72,9 +75,50 @@ def success(percent: Column, seed: int, *keys: str) -> Column:
     return (uniform(seed, *keys) < percent / 100).cast("int")
 
 
+def redrawn_means(rows: DataFrame, by: list[str], key: str, value: str, bootstraps: int, seed: int, slices: int = 20, chunk: int = 1 << 14, piece: int = 256) -> DataFrame:
+    """(by, bootstrap, value): the mean over as many rows as a group has, drawn from it with replacement, in each bootstrap.
+
+    Rows are numbered in order of the numeric ``key``; the i-th draw of a bootstrap
+    takes the row at draw(seed, by, bootstrap, i) % n. Draws are made where they are
+    used and never move. What moves are the values, as arrays of ``chunk`` places, once
+    for each of a few slices of the bootstraps. A task holds ``piece`` chunks at once:
+    a group with more is taken in pieces, each of which makes the group's draws and
+    sums those that fall on it. Null values count as drawn, but not in the mean.
+    """
+    names = [f"_of_{i}" for i in range(len(by))]
+    sizes = rows.groupBy(*by).agg(F.count("*").alias("_n")).select(*[F.col(b).alias(n) for b, n in zip(by, names, strict=True)], "_n")
+    at = numbered(rows.select(*by, key, F.col(value).cast("double").alias("_value")), by, key, "_at", ties=["_value"])
+    chunks = at.groupBy(*by, divided(F.col("_at"), chunk).alias("_chunk")).agg(F.sort_array(F.collect_list(F.struct("_at", "_value")))["_value"].alias("_values"))
+    chunks = chunks.join(sizes, same(by, names)).drop(*names)
+    head = F.concat_ws("|", F.lit(str(seed)), *[F.col(b).cast("string") for b in by])
+    each = F.explode(F.sequence(F.lit(0), F.lit(slices - 1)))
+    chunks = chunks.withColumns({"_head": head, "_piece": divided(F.col("_chunk"), piece), "_slice": each})
+
+    def sums(table: pa.Table) -> pa.Table:
+        table = table.sort_by("_chunk")
+        first = table.slice(0, 1).to_pylist()[0]
+        flat = pa.concat_arrays([c.flatten() for c in table["_values"].chunks])
+        mine = range(bootstraps * first["_slice"] // slices, bootstraps * (first["_slice"] + 1) // slices)
+        there, values = (x.to_numpy(zero_copy_only=False) for x in (flat.is_valid(), flat.fill_null(0.0)))
+        total, count = resampled_sums(f"{first['_head']}|".encode(), mine, first["_n"], first["_piece"] * piece * chunk, values, there)
+        out = table.select(by).take([0] * len(mine))
+        for name, column in (("bootstrap", np.arange(mine.start, mine.stop)), ("_total", total), ("_count", count)):
+            out = out.append_column(name, pa.array(column))
+        return out
+
+    places = [*by, "_slice", "_piece"]
+    tasks = 8 * rows.sparkSession.sparkContext.defaultParallelism
+    kinds = ", ".join([f"`{b}` {rows.schema[b].dataType.simpleString()}" for b in by] + ["bootstrap long, _total double, _count long"])
+    sums_of = chunks.repartition(tasks, *places).groupBy(*places).applyInArrow(sums, kinds)
+    return sums_of.groupBy(*by, "bootstrap").agg(F.try_divide(F.sum("_total"), F.sum("_count")).alias(value))
+
+
 def percentile_interval(df: DataFrame, by: list[str], key: str, value: str, bootstraps: int, seed: int) -> DataFrame:
-    """(by, low, mid, high): the median and the middle 95 % of the means of resampled rows; ``key`` tells a group's rows apart."""
-    return intervals(resampled_means(df, by, [key], [value], bootstraps, seed), by, value)
+    """(by, low, mid, high): the median and the middle 95 % of the means of resampled rows, of which each bootstrap draws as many as there are with replacement.
+
+    The numeric ``key`` tells a group's rows apart.
+    """
+    return intervals(redrawn_means(df, by, key, value, bootstraps, seed), by, value)
 
 
 def completeness(expected: DataFrame, actual: DataFrame, keys: list[str], model: list[str], reasoning: str | None = None) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gradus.functions.draws import RANGE, draw_sql, poisson_sql
+from gradus.functions.draws import RANGE, draw_sql
 from gradus.operators import rollup
 from gradus.plans.registry import Registry
 from gradus.plans.tables import RUNS, read, scored, sql
@@ -130,14 +130,15 @@ def bootstrap_bernoulli(spark, sf_dir):
 
 @query(
     sql(
-        f"d AS (SELECT model, run, correct, {draw_sql('4156', 'model', 'run', 'item_id')} AS key, unnest(range(0, 1000)) AS bootstrap FROM scored)",
-        f"m AS (SELECT model, run, bootstrap, sum(correct * w) / sum(w)::DOUBLE AS m FROM ({poisson_sql('d', 'key', 'bootstrap', 'w')}) GROUP BY ALL)",
+        "r AS (SELECT model, run, item_id, correct, row_number() OVER (PARTITION BY model, run ORDER BY item_id) - 1 AS place, count(*) OVER (PARTITION BY model, run) AS n FROM scored)",
+        f"d AS (SELECT model, run, bootstrap, {draw_sql('4156', 'model', 'run', 'bootstrap', 'place')} % n AS place FROM r, (SELECT unnest(range(0, 1000)) AS bootstrap))",
+        "m AS (SELECT d.model, d.run, bootstrap, avg(correct) AS m FROM d JOIN r ON d.model = r.model AND d.run = r.run AND d.place = r.place GROUP BY ALL)",
         "SELECT model, run, quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.5) AS mid, quantile_cont(m, 0.975) AS high FROM m GROUP BY model, run",
     ),
     "low mid high",
 )
 def bootstrap_interval(spark, sf_dir):
-    """Of each model and run, from a thousand resamples of its items."""
+    """Of each model and run, from a thousand resamples of its items, as many with replacement as there are."""
     return rollup.percentile_interval(scored(spark, sf_dir), ["model", "run"], "item_id", "correct", 1000, 4156)
 
 

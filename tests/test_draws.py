@@ -1,5 +1,6 @@
 """Permutations and bootstrap weights drawn by hash."""
 
+import hashlib
 from collections import Counter
 
 import duckdb
@@ -7,8 +8,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from gradus import plans
 from gradus.functions import draws
-from gradus.operators import rating
+from gradus.operators import rating, rollup
+from gradus.plans.tables import scored
 
 
 def permuted(spark, rows):
@@ -88,3 +91,51 @@ def test_intervals_as_by_plain_resampling(spark, n):
     width = plain[2] - plain[0]
     assert abs(r.low - plain[0]) < 0.1 * width and abs(r.mid - plain[1]) < 0.1 * width and abs(r.high - plain[2]) < 0.1 * width
     assert means.count() == 1000
+
+
+def plain_draw(*key):
+    return int(hashlib.md5("|".join(map(str, key)).encode()).hexdigest()[:15], 16)
+
+
+@pytest.mark.parametrize("head", ["", "4156|1|2|", "x" * 50, "y" * 55, "z" * 61, "w" * 130])
+@pytest.mark.parametrize("low", [0, 99_990, 10**9])
+def test_draws_of_many_texts(head, low):
+    numbers = np.arange(low, low + 10)
+    assert draws.drawn(head.encode(), draws.digits(numbers)).tolist() == [int(hashlib.md5(f"{head}{i}".encode()).hexdigest()[:15], 16) for i in numbers]
+
+
+def test_redrawn_as_one_by_one(spark):
+    """As many draws as rows, from groups of several chunks and pieces, one row, null keys and null values."""
+    rng = np.random.default_rng(5)
+    sizes = {("a", 1): 137, ("b", 1): 1, ("b", None): 24}
+    rows = [(g, r, 7 * i - 50, None if i % 9 == 4 else float(rng.gamma(2.0))) for (g, r), n in sizes.items() for i in range(n)]
+    df = spark.createDataFrame(rows, "g string, r int, id long, v double").repartition(5)
+    found = {(x.g, x.r, x.bootstrap): x.v for x in rollup.redrawn_means(df, ["g", "r"], "id", "v", 110, 3, slices=7, chunk=10, piece=3).collect()}
+    assert set(found) == {(*k, b) for k in sizes for b in range(110)}
+    for (g, r), n in sizes.items():
+        values = [x[3] for x in rows if x[:2] == (g, r)]
+        for b in range(110):
+            taken = [values[plain_draw(3, g, *([] if r is None else [r]), b, i) % n] for i in range(n)]
+            assert found[g, r, b] == pytest.approx(np.mean([x for x in taken if x is not None]))
+
+
+@pytest.mark.parametrize("n", [300, 2000])
+def test_redrawn_intervals_as_by_plain_resampling(spark, n):
+    values = np.random.default_rng(n).gamma(2.0, 10.0, n)
+    df = spark.createDataFrame([("x", i, float(v)) for i, v in enumerate(values)], "g string, id long, v double")
+    r = rollup.percentile_interval(df, ["g"], "id", "v", 1000, 5).first()
+    rng = np.random.default_rng(n + 1)
+    plain = np.percentile([values[rng.integers(0, n, n)].mean() for _ in range(4000)], [2.5, 50, 97.5])
+    width = plain[2] - plain[0]
+    assert abs(r.low - plain[0]) < 0.1 * width and abs(r.mid - plain[1]) < 0.1 * width and abs(r.high - plain[2]) < 0.1 * width
+
+
+def test_interval_draws_as_many_as_there_are(spark):
+    """In each of a thousand resamples every item of a model and run is replaced by one drawn from all of them."""
+    sf = "/root/testdata/sf0.001"
+    rows = scored(spark, sf).where("model = 1 AND run = 2").orderBy("item_id").collect()
+    values, n = np.array([r.correct for r in rows]), len(rows)
+    draw = lambda b, i: int(hashlib.md5(f"4156|1|2|{b}|{i}".encode()).hexdigest()[:15], 16)
+    means = [values[[draw(b, i) % n for i in range(n)]].mean() for b in range(1000)]
+    found = [r for r in plans.queries()["bootstrap_interval"](spark, sf).collect() if (r.model, r.run) == (1, 2)]
+    assert [(r.low, r.mid, r.high) for r in found] == [tuple(np.round(np.percentile(means, [2.5, 50, 97.5]), 6))]
